@@ -59,8 +59,11 @@ def with_catalogue_fields(hits: DataFrame, impacts: DataFrame, programs: DataFra
         F.lit(None).cast("string").alias("agency"), "measure_id", F.lit(0).alias("priority"), F.lit(False).alias("has_figures"),
     )
     rows = own.unionByName(part(impacts, 1)).unionByName(part(programs, 2))
-    extra = hits.groupBy(*MEASURE_KEY).agg(*[F.first(c).alias(c) for c in carry])
-    return catalogue_of_rows(rows).join(extra, MEASURE_KEY)
+    found = catalogue_of_rows(rows)
+    if not carry:
+        return found
+    extra = hits.groupBy(*MEASURE_KEY).agg(F.min(F.struct(*carry)).alias("__c"))
+    return found.join(extra, MEASURE_KEY).select(*found.columns, "__c.*")
 
 
 def name_search(cat: DataFrame, query: str = "", portfolios: Sequence[str] = (), editions: Sequence[str] = ()) -> DataFrame:

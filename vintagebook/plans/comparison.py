@@ -66,7 +66,7 @@ def agency_overlay(
     """Lines of a measure's default agency: its programs' stitched series and the measure's own by direction."""
     default = overlay_agencies(programs, impacts, keys).where("is_default").select(*keys, "agency")
     touched = programs.where(F.coalesce(F.col("program_name"), F.lit("")) != "").select(*keys, "agency", "program_name").distinct()
-    series = S.line_segments(S.stitched_series(expenses, ["program_name"], latest), ["program_name"])
+    series = S.line_segments(S.stitched_series(expenses, ["program_name"], latest), ["program_name"]).drop("edition")
     lines = touched.join(default, [*keys, "agency"]).join(series, "program_name").select(
         *keys, "agency", F.lit("program").alias("line_kind"), F.col("program_name").alias("label"), "fiscal_year",
         "amount_thousands", "solid", "dashed",
