@@ -1 +1,130 @@
-"""Queries."""
+"""Queries that read program and measure sheets back into records."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from vintagebook.operators import measure_tables as MT
+from vintagebook.operators import measures as M
+from vintagebook.operators import program_tables as PT
+from vintagebook.plans.bindings import Bound
+from vintagebook.plans.registry import query
+from vintagebook.plans.sheets import measure_cells, program_cells
+
+SHEET = PT.SHEET
+
+
+def column_text(column: str) -> Column:
+    return F.array_join(
+        F.transform(column, lambda c: F.concat_ws(":", c["col_idx"].cast("string"), c["fiscal_year"], c["estimate_type"])), "|"
+    )
+
+
+@query("S2_sheet_cells")
+def cells(b: Bound) -> DataFrame:
+    """The cell grid per sheet: rows, columns, numbers."""
+    return program_cells(b).groupBy(*SHEET).agg(
+        F.count(F.lit(1)).alias("n_cells"), F.max("row_idx").alias("last_row"), F.sum("num").cast("long").alias("num_total")
+    )
+
+
+@query("T2_header_windows")
+def windows(b: Bound) -> DataFrame:
+    return PT.header_windows(program_cells(b)).select(*SHEET, "header_row", column_text("columns").alias("columns"))
+
+
+@query("T3_repaired_years")
+def repaired(b: Bound) -> DataFrame:
+    return PT.sheet_columns(PT.header_windows(program_cells(b))).select(*SHEET, "col_idx", "fiscal_year", "estimate_type")
+
+
+@query("T4_borrowed_columns")
+def borrowed(b: Bound) -> DataFrame:
+    grid = program_cells(b)
+    sheets = grid.select(*SHEET, "sheet_idx").distinct()
+    mapped = PT.borrowed_columns(sheets, PT.sheet_columns(PT.header_windows(grid)))
+    return mapped.select(*SHEET, "is_borrowed", F.coalesce(F.size("columns"), F.lit(0)).alias("n_columns"))
+
+
+@query("T5_outcome_consensus")
+def consensus(b: Bound) -> DataFrame:
+    return PT.sheet_outcomes(program_cells(b)).select(*SHEET, "outcome_number", "outcome_description")
+
+
+@query("T6_outcome_names")
+def names(b: Bound) -> DataFrame:
+    return PT.outcome_names(program_cells(b))
+
+
+@query("T7_program_of_total_row")
+def tracked(b: Bound) -> DataFrame:
+    grid = program_cells(b)
+    return PT.program_of_row(PT.row_events(grid, PT.sheet_outcomes(grid)))
+
+
+@query("T8_single_program_totals")
+def single(b: Bound) -> DataFrame:
+    grid = program_cells(b)
+    return PT.single_program_totals(PT.row_events(grid, PT.sheet_outcomes(grid)))
+
+
+@query("T9_program_records")
+def records(b: Bound) -> DataFrame:
+    """The whole way from cells to records, duplicates of a key folded to the first."""
+    rows = PT.program_records(program_cells(b))
+    keys = ["source_file", "outcome_number", "program_number", "fiscal_year", "estimate_type"]
+    return M.first_of_duplicates(
+        rows, keys, ["sheet_idx", "is_fallback", "row_idx", "col_idx"], ["outcome_description", "program_name", "amount_thousands"]
+    )
+
+
+@query("T10_year_columns")
+def years(b: Bound) -> DataFrame:
+    text = F.array_join(F.transform("years", lambda y: F.concat_ws(":", y["col_idx"].cast("string"), y["fiscal_year"])), "|")
+    return MT.year_columns(measure_cells(b)).select(*SHEET, text.alias("years"))
+
+
+@query("T11_row_classes")
+def classes(b: Bound) -> DataFrame:
+    return MT.classified_rows(measure_cells(b)).groupBy("source_file", "row_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("T12_measure_records")
+def measure_records(b: Bound) -> DataFrame:
+    return MT.measure_records(measure_cells(b)).select(
+        "source_file", "measure_name", "agency", "direction", F.array_join("programs", "|").alias("programs"), "is_departmental",
+        "fiscal_year", "amount_thousands",
+    )
+
+
+@query("T12_impacts_of_sheets")
+def impacts_of_sheets(b: Bound) -> DataFrame:
+    return MT.impact_tables(measure_cells(b))[0]
+
+
+@query("T12_programs_of_sheets")
+def programs_of_sheets(b: Bound) -> DataFrame:
+    return MT.impact_tables(measure_cells(b))[1]
+
+
+@query("T13_sparse_totals")
+def sparse(b: Bound) -> DataFrame:
+    return MT.sparse_totals(MT.sheet_rows(measure_cells(b)))
+
+
+@query("T14_table_titles")
+def titles(b: Bound) -> DataFrame:
+    found = MT.table_titles(MT.sheet_rows(measure_cells(b)))
+    return found.select(*SHEET, "title", MT.is_measure_title(F.col("title")).alias("is_measures"))
+
+
+@query("A22_reconciled_sheets")
+def reconciled(b: Bound) -> DataFrame:
+    """Sums of the parsed lines against the grand totals printed in each sheet."""
+    grid = measure_cells(b)
+    printed = MT.classified_rows(grid).where("row_class = 'grand_total'").select(
+        "source_file", F.when(F.col("label").contains("receipt"), "receipt").otherwise("payment").alias("direction"),
+        F.explode("amounts").alias("amount_thousands"),
+    )
+    return M.reconcile(MT.measure_records(grid), printed, ["source_file", "direction"])
