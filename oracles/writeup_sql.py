@@ -1,3 +1,67 @@
-"""SQL."""
+"""SQL for the write-up queries."""
 
-SQL: dict[str, str] = {}
+from oracles.identity_sql import MT
+from oracles.scalar_sql import _BLANK
+
+DL = f"""raw AS (SELECT CAST(doc_id AS VARCHAR) AS doc, doc_id, source, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+st AS (SELECT *, (pos - 1) % 13 AS step, CASE WHEN pos = 0 THEN -1 ELSE (pos - 1) // 13 END AS cyc, doc_id % 10 = 7 AND pos = 45 AS divider, doc_id % 10 = 3 AND pos = 25 AS caption FROM raw),
+dl AS (SELECT doc, doc_id, pos AS line_no, CAST(pos // 20 + 1 AS INT) AS page, step, divider, caption,
+  CASE WHEN divider THEN 'divider' WHEN caption OR pos = 0 THEN 'body' WHEN step = 0 THEN 'portfolio' WHEN step IN (1, 2) THEN 'heading' WHEN step BETWEEN 3 AND 7 THEN 'table'
+       WHEN step = 10 THEN 'bullet' WHEN step = 12 THEN 'dash' ELSE 'body' END AS style,
+  CASE WHEN divider THEN 'Appendix B: Statement of risks' WHEN caption THEN 'Table 1: Summary of measures'
+       WHEN pos = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'Part 2: Payment Measures' ELSE 'Part 1: Revenue Measures' END
+       WHEN step = 0 THEN 'P ORTFOLIO ' || upper(source) WHEN step = 1 THEN 'Measure ' || doc || ' – item ' || CAST(cyc AS VARCHAR) WHEN step = 2 THEN 'continued (a)'
+       WHEN step = 3 THEN CASE WHEN cyc % 2 = 0 THEN 'Payments ($m)' ELSE 'Related receipts ($m)' END WHEN step = 4 THEN '2015-16 2016-17 2017-18'
+       WHEN step = 5 THEN 'Department ' || CAST(length(t) % 6 AS VARCHAR) || ' ' || CAST(length(t) AS VARCHAR) || '.5 - nfp' WHEN step = 6 THEN 'and Trade' WHEN step = 7 THEN 'Total – Payments 1.5 - nfp' ELSE t END AS text,
+  length(t) AS size, cyc, step IN (11, 12) AS indented FROM st),
+pg AS (SELECT doc, page, CASE WHEN any_value(doc_id) % 2 = 0 THEN 'payment' ELSE 'receipt' END AS section,
+  NOT coalesce(page >= (SELECT min(page) FROM dl d WHERE d.doc = dl.doc AND d.divider), false) AND NOT bool_or(caption) AS is_read FROM dl GROUP BY doc, page),
+gl AS (SELECT dl.*, pg.section FROM dl JOIN pg USING (doc, page) WHERE is_read AND regexp_replace(text, '^{_BLANK}|{_BLANK}$', '', 'g') <> ''),
+s1 AS (SELECT *, coalesce(lag(style) OVER w, '') AS before, last_value(CASE WHEN style IN ('portfolio', 'heading') THEN style END IGNORE NULLS) OVER w AS structure,
+   coalesce(last_value(CASE WHEN style IN ('portfolio', 'heading') THEN style END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS structure_before
+   FROM gl WINDOW w AS (PARTITION BY doc ORDER BY line_no)),
+s2 AS (SELECT *, CASE WHEN structure = 'heading' THEN CAST(sum(CASE WHEN style = 'heading' AND before <> 'heading' THEN 1 ELSE 0 END) OVER w AS BIGINT) END AS measure_no,
+   CAST(sum(CASE WHEN style = 'portfolio' AND structure_before <> 'portfolio' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS portfolio_no FROM s1 WINDOW w AS (PARTITION BY doc ORDER BY line_no))"""
+TABLES = """tb AS (SELECT *, last_value(CASE WHEN step = 3 AND style = 'table' THEN line_no WHEN style <> 'table' OR step = 7 THEN -1 END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no) AS table_no
+   FROM s2 WHERE measure_no IS NOT NULL),
+tp AS (SELECT *, lag(table_no) OVER (PARTITION BY doc ORDER BY line_no) AS table_before FROM tb)"""
+PROSE = f"""pr AS (SELECT * FROM tp WHERE style NOT IN ('heading', 'portfolio') AND NOT (step = 3 AND style = 'table') AND NOT coalesce(table_no >= 0, false) AND NOT (step = 7 AND style = 'table' AND coalesce(table_before >= 0, false))),
+p1 AS (SELECT *, CAST(sum(CASE WHEN style IN ('bullet', 'dash') THEN 1 ELSE 0 END) OVER (PARTITION BY doc, measure_no ORDER BY line_no) AS BIGINT) AS bullet_no FROM pr),
+p2 AS (SELECT *, CASE WHEN style = 'bullet' THEN 'dot' WHEN style = 'dash' THEN 'dash' WHEN indented AND bullet_no > 0 THEN 'more' ELSE 'text' END AS kind,
+   regexp_matches(regexp_replace(text, '{_BLANK}$', ''), '[.:!?]["”’)]*$') AS ended FROM p1),
+p3 AS (SELECT *, coalesce(sum(CASE WHEN kind = 'text' AND ended THEN 1 ELSE 0 END) OVER (PARTITION BY doc, measure_no ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS para FROM p2),
+cp AS (SELECT doc, measure_no, bullet_no, min(line_no) AS line_no, 'text' AS marker, string_agg(text, ' ' ORDER BY line_no) AS text FROM p3 WHERE kind = 'text' GROUP BY doc, measure_no, bullet_no, para
+   UNION ALL SELECT doc, measure_no, bullet_no, min(line_no), arg_min(kind, line_no), string_agg(text, ' ' ORDER BY line_no) FROM p3 WHERE kind <> 'text' GROUP BY doc, measure_no, bullet_no),
+cm AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc, measure_no ORDER BY line_no) - 1 AS INT) AS ordinal FROM cp)"""
+PHRASES = """ph AS (SELECT *, lag(step) OVER w AS prev_step, lead(step) OVER w AS next_step FROM p3 WINDOW w AS (PARTITION BY doc, measure_no ORDER BY line_no)),
+px AS (SELECT doc, measure_no, line_no, 'Program ' || CAST(doc_id % 5 AS VARCHAR) || CASE WHEN next_step = 9 THEN ' Extension' ELSE '' END AS phrase FROM ph WHERE step = 8
+  UNION ALL SELECT doc, measure_no, line_no, 'Extension' FROM ph WHERE (step = 9 AND coalesce(prev_step, -1) <> 8) OR step = 12 UNION ALL SELECT doc, measure_no, line_no, 'Act 2002' FROM ph WHERE step = 10)"""
+
+SQL = {
+    "T15_lines_of_words": """WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS doc, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+w AS (SELECT doc, pos, list_filter(string_split(t, ' '), lambda x: x <> '') AS ws FROM l),
+j AS (SELECT doc, CAST(pos // 40 + 1 AS INT) AS page, pos, list_reduce(list_transform(ws, lambda x, i: CASE WHEN i % 4 = 0 OR i = len(ws) THEN x ELSE x || ' ' END), lambda a, b: a || b) AS text FROM w WHERE len(ws) > 0)
+SELECT doc, page, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY pos) AS INT) AS line, md5(text) AS digest FROM j""",
+    "T16_page_sections": f"WITH {DL} SELECT doc, page, section, is_read FROM pg",
+    "T17_measures": f"""WITH {DL}, h AS (SELECT doc, measure_no, string_agg(text, ' ' ORDER BY line_no) AS title, arg_min(section, line_no) AS document_section, arg_min(page, line_no) AS source_page, arg_min(portfolio_no, line_no) AS portfolio_no
+  FROM s2 WHERE style = 'heading' GROUP BY ALL), p AS (SELECT doc, portfolio_no, string_agg(replace(text, 'P ORTFOLIO', 'PORTFOLIO'), ' ' ORDER BY line_no) AS portfolio FROM s2 WHERE style = 'portfolio' GROUP BY ALL)
+SELECT doc, measure_no, regexp_replace(replace(title, '–', '-'), ' \\(a\\)$', '') AS measure_name, coalesce(portfolio, '') AS portfolio, document_section, source_page FROM h LEFT JOIN p USING (doc, portfolio_no)""",
+    "T18_financial_values": f"""WITH {DL}, {TABLES}, r AS (SELECT t.doc, t.measure_no, t.table_no * 100000 + 1 AS row_order, CASE WHEN h.cyc % 2 = 0 THEN 'Payment' ELSE 'Receipt' END AS impact_type, h.cyc % 2 <> 0 AS is_related,
+  'Department' || CASE WHEN EXISTS (SELECT 1 FROM tp x WHERE x.doc = t.doc AND x.table_no = t.table_no AND x.step = 6) THEN ' and Trade' ELSE '' END AS department_name,
+  [CAST(t.size % 6 AS VARCHAR), CAST(t.size AS VARCHAR) || '.5', '-', 'nfp'] AS vals FROM tp t JOIN tp h ON h.doc = t.doc AND h.line_no = t.table_no WHERE t.step = 5 AND t.style = 'table' AND t.table_no >= 0)
+SELECT doc, measure_no, row_order, impact_type, is_related, department_name, CAST(i AS INT) AS year_index, CASE WHEN vals[i + 1] = 'nfp' THEN 'special' ELSE 'numeric' END AS value_kind,
+  CASE WHEN vals[i + 1] = '-' THEN 0.0 ELSE TRY_CAST(vals[i + 1] AS DOUBLE) END AS value_numeric_million, vals[i + 1] AS value_raw FROM r, (VALUES (0), (1), (2), (3)) v(i)""",
+    "T19_paragraphs": f"WITH {DL}, {TABLES}, {PROSE} SELECT doc, measure_no, bullet_no, line_no, md5(text) AS digest FROM cm WHERE marker = 'text'",
+    "T20_components": f"""WITH {DL}, {TABLES}, {PROSE} SELECT doc, measure_no, ordinal, CASE marker WHEN 'text' THEN 0 WHEN 'dot' THEN 1 ELSE 2 END AS level, marker,
+  CASE WHEN marker = 'dash' THEN last_value(CASE WHEN marker = 'dot' THEN ordinal END IGNORE NULLS) OVER (PARTITION BY doc, measure_no ORDER BY ordinal) END AS parent_ordinal, md5(text) AS digest FROM cm""",
+    "T21_related_phrases": f"""WITH {DL}, {TABLES}, {PROSE}, {PHRASES}, f AS (SELECT doc, measure_no, phrase, min(line_no) AS line_no FROM px GROUP BY ALL)
+SELECT doc, measure_no, CAST(row_number() OVER (PARTITION BY doc, measure_no ORDER BY line_no) - 1 AS INT) AS ordinal, phrase FROM f""",
+    "T22_full_texts": f"""WITH {DL}, {TABLES}, {PROSE}, t AS (SELECT doc, measure_no, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS text FROM cm WHERE marker = 'text' GROUP BY ALL)
+SELECT doc, measure_no, md5(regexp_replace(text, '^{_BLANK}|{_BLANK}$', '', 'g')) AS digest FROM t""",
+    "W3_running_state": """SELECT user_id, event_id, event_type, round(value, 4) AS value, last_value(CASE WHEN event_type = 'error' THEN round(value, 4) END IGNORE NULLS) OVER w AS last_error,
+  lag(event_type) OVER w AS previous_type, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS purchases FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
+    "W11_bullet_blocks": f"""WITH {MT}, r AS (SELECT *, (SELECT count(*) FROM comp c WHERE c.measure_id = comp.measure_id AND c.marker = 'dash' AND c.parent_ordinal = comp.ordinal) AS n FROM comp WHERE marker <> 'dash'),
+b AS (SELECT *, CASE WHEN marker = 'text' OR coalesce(lag(marker) OVER (PARTITION BY measure_id ORDER BY ordinal), 'text') = 'text' THEN 1 ELSE 0 END AS s FROM r),
+k AS (SELECT *, CAST(sum(s) OVER (PARTITION BY measure_id ORDER BY ordinal) AS BIGINT) AS block FROM b)
+SELECT measure_id, block, CASE WHEN max(marker) = 'text' THEN 'text' ELSE 'list' END AS block_type, string_agg(CAST(ordinal AS VARCHAR) || '+' || CAST(n AS VARCHAR), '|' ORDER BY ordinal) AS items FROM k GROUP BY ALL""",
+}

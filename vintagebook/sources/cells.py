@@ -29,14 +29,8 @@ def grid_decoder(content: bytes) -> Iterable[Cell]:
             yield name, index, row, col, str(value), number
 
 
-def decoded_workbooks(
-    spark: SparkSession, root: str, decoder: Callable[[bytes], Iterable[Cell]] = grid_decoder
-) -> DataFrame:
-    """Decode every workbook below ``root``; a file that fails becomes one error row and the rest goes on."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", WORKBOOK_GLOB).load(root).select("path", "content")
-    )
+def decoded_files(files: DataFrame, decoder: Callable[[bytes], Iterable[Cell]] = grid_decoder) -> DataFrame:
+    """Decode (path, content) rows to cells; a file that fails becomes one error row and the rest goes on."""
     names = [field.strip().split(" ")[0] for field in _DECODED.split(",")]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,7 +42,18 @@ def decoded_workbooks(
                     rows = [(path, None, None, None, None, None, None, "error", repr(problem))]
                 yield pd.DataFrame(rows, columns=names)
 
-    return without_temporary(files).mapInPandas(decode, _DECODED)
+    return files.select("path", "content").mapInPandas(decode, _DECODED)
+
+
+def decoded_workbooks(
+    spark: SparkSession, root: str, decoder: Callable[[bytes], Iterable[Cell]] = grid_decoder
+) -> DataFrame:
+    """Decode every workbook below ``root``."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", WORKBOOK_GLOB).load(root).select("path", "content")
+    )
+    return decoded_files(without_temporary(files), decoder)
 
 
 def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -103,17 +103,21 @@ def check_editions(editions: Sequence[str], known: Sequence[str]) -> None:
         raise ValueError(f"unknown editions: {unknown}; known: {sorted(known)}")
 
 
-def rebuilt_rows(current: DataFrame, fresh: DataFrame, editions: Sequence[str] = (), files: Sequence[str] = ()) -> DataFrame:
+def rebuilt_rows(
+    current: DataFrame, fresh: DataFrame, editions: Sequence[str] = (), files: DataFrame | None = None
+) -> DataFrame:
     """``current`` with the rows of the given editions and files replaced by those of ``fresh``.
 
-    A file alone replaces its own rows and nothing else of its edition.
+    A file alone replaces its own rows and nothing else of its edition. ``files`` is a
+    table with source_file, so that any number of files can be named.
     """
-    touched = F.lit(False)
-    if editions:
-        touched = touched | F.col("edition").isin(list(editions))
-    if files:
-        touched = touched | F.col("source_file").isin(list(files))
-    return current.where(~touched).unionByName(fresh.where(touched))
+    listed = F.col("edition").isin(list(editions)) if editions else F.lit(False)
+    kept, new = current.where(~listed), fresh.where(listed)
+    if files is not None:
+        names = files.select("source_file").distinct()
+        kept = kept.join(names, "source_file", "left_anti")
+        new = new.unionByName(fresh.where(~listed).join(names, "source_file", "left_semi"))
+    return kept.select(*current.columns).unionByName(new.select(*current.columns))
 
 
 def with_stable_ids(fresh: DataFrame, current: DataFrame) -> DataFrame:
@@ -124,19 +128,20 @@ def with_stable_ids(fresh: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def rebuild_table(
-    spark: SparkSession, path: str, fresh: DataFrame, editions: Sequence[str] = (), files: Sequence[str] = ()
+    spark: SparkSession, path: str, fresh: DataFrame, editions: Sequence[str] = (), files: DataFrame | None = None
 ) -> None:
     """Rebuild some editions or files of a table partitioned by edition; other partitions are not touched.
 
     The affected partitions are computed in full and checkpointed before anything is
-    overwritten, so a lost executor or a failed job leaves the table as it was.
+    overwritten, so a lost executor or a failed job leaves the table as it was. Only the
+    names of affected editions, a few dozen at most, reach the driver.
     """
     current = spark.read.parquet(path)
     listed = set(editions)
-    if files:
-        by_file = F.col("source_file").isin(list(files))
-        rows = current.where(by_file).select("edition").union(fresh.where(by_file).select("edition")).distinct()
-        listed |= {row["edition"] for row in rows.collect()}
+    if files is not None:
+        names = files.select("source_file").distinct()
+        rows = current.select("edition", "source_file").unionByName(fresh.select("edition", "source_file"))
+        listed |= {r["edition"] for r in rows.join(names, "source_file", "left_semi").select("edition").distinct().collect()}
     if not listed:
         return
     affected = current.where(F.col("edition").isin(sorted(listed)))

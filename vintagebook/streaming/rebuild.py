@@ -24,10 +24,7 @@ def rebuild_stream(
     failure leaves the same table.
     """
     def replace(batch: DataFrame, _: int) -> None:
-        rows = transform(batch)
-        files = [row["source_file"] for row in batch.select("source_file").distinct().collect()]
-        if files:
-            rebuild_table(spark, table, rows, files=files)
+        rebuild_table(spark, table, transform(batch), files=batch.select("source_file"))
 
     arriving = spark.readStream.schema(schema).parquet(incoming)
     return arriving.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(replace).start()
