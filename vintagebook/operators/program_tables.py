@@ -15,6 +15,7 @@ from vintagebook.functions import fixed as V
 from vintagebook.functions.numbers import to_amount
 from vintagebook.functions.text import clean_program_name, squash
 from vintagebook.functions.years import fiscal_year_in, fiscal_year_label, start_year
+from vintagebook.session import cut_lineage
 
 SHEET = ["source_file", "sheet_name"]
 
@@ -263,9 +264,13 @@ def unpivoted(cells: DataFrame, totals: DataFrame, outcomes: DataFrame) -> DataF
 
 
 def program_records(cells: DataFrame) -> DataFrame:
-    """All records of all outcome sheets, in the order (sheet_idx, is_fallback, row_idx, col_idx)."""
-    outcomes = sheet_outcomes(cells)
-    events = row_events(cells, outcomes)
+    """All records of all outcome sheets, in the order (sheet_idx, is_fallback, row_idx, col_idx).
+
+    What was learnt about each sheet (one row) and its marked rows (a few) are
+    checkpointed, so that the cells are scanned once per step and not once per use.
+    """
+    outcomes = cut_lineage(sheet_outcomes(cells))
+    events = cut_lineage(row_events(cells, outcomes))
     names = program_names(events)
     totals = program_of_row(events).withColumn("is_fallback", F.lit(False)).unionByName(
         single_program_totals(events).withColumn("is_fallback", F.lit(True))

@@ -10,11 +10,21 @@ from vintagebook.operators import measures as M
 from vintagebook.operators import program_tables as PT
 from vintagebook.plans.bindings import Bound
 from vintagebook.plans.registry import query
-from vintagebook.plans.sheets import measure_cells, program_cells
+from vintagebook.plans import sheets as P
+from vintagebook.session import stored
 
 SHEET = PT.SHEET
 
 
+def program_cells(b: Bound) -> DataFrame:
+    """The grid as a table on disk, which is what reading starts from."""
+    return stored(P.program_cells(b))
+
+
+def measure_cells(b: Bound) -> DataFrame:
+    return stored(P.measure_cells(b))
+
+
 def column_text(column: str) -> Column:
     return F.array_join(
         F.transform(column, lambda c: F.concat_ws(":", c["col_idx"].cast("string"), c["fiscal_year"], c["estimate_type"])), "|"
