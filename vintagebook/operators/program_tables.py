@@ -66,7 +66,8 @@ def header_windows(cells: DataFrame) -> DataFrame:
     """
     text = squash(F.col("value"))
     low = F.lower(F.coalesce(F.col("value"), F.lit("")))
-    barrier = F.col("num").isNotNull() | text.rlike(V.PROGRAM_HEADING) | text.rlike(V.PROGRAM_TOTAL) | text.rlike(V.PROGRAM_TOTAL_UNNUMBERED)
+    names_program = text.rlike(V.PROGRAM_HEADING) | text.rlike(V.PROGRAM_TOTAL) | text.rlike(V.PROGRAM_TOTAL_UNNUMBERED)
+    barrier = F.col("num").isNotNull() | (low.contains("program") & names_program)
     by_row = Window.partitionBy(*SHEET).orderBy("row_idx")
     upto = by_row.rangeBetween(Window.unboundedPreceding, 0)
     around = by_row.rangeBetween(1 - V.HEADER_WINDOW, V.HEADER_WINDOW - 1)
@@ -123,6 +124,12 @@ def borrowed_columns(sheets: DataFrame, columns: DataFrame) -> DataFrame:
     )
 
 
+def speaking_cells(cells: DataFrame) -> DataFrame:
+    """Text cells that mention an outcome or a program: the only ones the patterns below can match."""
+    low = F.lower("value")
+    return cells.where(F.col("num").isNull() & (low.contains("outcome") | low.contains("program")))
+
+
 def outcome_signals(cells: DataFrame) -> DataFrame:
     """Per sheet, the outcome number its title, its description and its first program state."""
     text = squash(F.col("value"))
@@ -131,8 +138,7 @@ def outcome_signals(cells: DataFrame) -> DataFrame:
     desc = F.struct(desc_no.alias("no"), F.trim(F.regexp_extract(text, V.OUTCOME_LINE, 2)).alias("text"))
     program = F.nullif(F.regexp_extract(text, V.PROGRAM_HEADING, 1), F.lit(""))
     place = F.struct("row_idx", "col_idx")
-    early = cells.where(F.col("value").isNotNull())
-    found = early.groupBy(*SHEET, "sheet_idx").agg(
+    found = speaking_cells(cells).groupBy(*SHEET, "sheet_idx").agg(
         F.min_by(title, F.when(title.isNotNull() & (F.col("row_idx") < 6), place)).alias("title_no"),
         F.min_by(desc, F.when(desc_no.isNotNull() & (F.col("row_idx") < 8), place)).alias("description"),
         F.min_by(F.struct(program.alias("number"), F.col("row_idx").alias("row")), F.when(program.isNotNull(), place)).alias("program"),
@@ -165,7 +171,7 @@ def outcome_names(cells: DataFrame) -> DataFrame:
     """(workbook, outcome) -> the first short "Outcome N: name" line anywhere in the workbook."""
     text = squash(F.col("value"))
     number = F.nullif(F.regexp_extract(text, V.OUTCOME_LINE, 1), F.lit("")).cast("int")
-    lines = cells.where(F.length(text) <= V.OUTCOME_NAME_MAX).select(
+    lines = speaking_cells(cells).where(F.length(text) <= V.OUTCOME_NAME_MAX).select(
         "source_file", "sheet_idx", "row_idx", "col_idx", number.alias("outcome_number"),
         F.trim(F.regexp_extract(text, V.OUTCOME_LINE, 2)).alias("name"),
     ).where(F.col("outcome_number").isNotNull())
@@ -197,7 +203,7 @@ def row_events(cells: DataFrame, outcomes: DataFrame) -> DataFrame:
     outcome_total = F.regexp_extract(text, V.OUTCOME_TOTAL, 1)
     heading = F.regexp_extract(text, V.PROGRAM_HEADING, 1)
     total = F.regexp_extract(text, V.PROGRAM_TOTAL, 1)
-    words = cells.where(F.col("value").rlike("(?i)outcome|program")).join(
+    words = speaking_cells(cells).join(
         outcomes.select(*SHEET, "outcome_number", F.col("columns").isNotNull().alias("mapped")), SHEET
     )
     empty = F.lit(None).cast("string")
