@@ -43,7 +43,9 @@ class Bound:
     @cached_property
     def base(self) -> DataFrame:
         """Line items with order, part and supplier: the wide join all fact views share."""
-        orders = self.table("orders").where(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp")).select(
+        raw = self.table("orders")
+        limit = F.lit("1999-01-01").cast(raw.schema["o_orderdate"].dataType)  # same type, so that the filter reaches the scan
+        orders = raw.where(F.col("o_orderdate") < limit).select(
             F.col("o_orderkey").alias("l_orderkey"),
             (F.year("o_orderdate") + YEAR_SHIFT).alias("order_year"), F.month("o_orderdate").alias("order_month"),
         )

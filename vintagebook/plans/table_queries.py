@@ -11,7 +11,7 @@ from vintagebook.operators import program_tables as PT
 from vintagebook.plans.bindings import Bound
 from vintagebook.plans.registry import query
 from vintagebook.plans import sheets as P
-from vintagebook.session import stored
+from vintagebook.session import cut_lineage, stored
 
 SHEET = PT.SHEET
 
@@ -21,6 +21,12 @@ def program_cells(b: Bound) -> DataFrame:
     return stored(P.program_cells(b))
 
 
+def events(b: Bound) -> DataFrame:
+    """The marked rows of all outcome sheets: a few per sheet, used several times."""
+    grid = program_cells(b)
+    return cut_lineage(PT.row_events(grid, PT.sheet_outcomes(grid)))
+
+
 def measure_cells(b: Bound) -> DataFrame:
     return stored(P.measure_cells(b))
 
@@ -69,14 +75,12 @@ def names(b: Bound) -> DataFrame:
 
 @query("T7_program_of_total_row")
 def tracked(b: Bound) -> DataFrame:
-    grid = program_cells(b)
-    return PT.program_of_row(PT.row_events(grid, PT.sheet_outcomes(grid)))
+    return PT.program_of_row(events(b))
 
 
 @query("T8_single_program_totals")
 def single(b: Bound) -> DataFrame:
-    grid = program_cells(b)
-    return PT.single_program_totals(PT.row_events(grid, PT.sheet_outcomes(grid)))
+    return PT.single_program_totals(events(b))
 
 
 @query("T9_program_records")
