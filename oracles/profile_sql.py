@@ -2,7 +2,7 @@
 
 from oracles.identity_sql import CAT, CELLS, DISPLAY, HIERARCHY, MT, RELATED, RESOLVED, SQL as ID_SQL, YEARS
 from oracles.scalar_sql import _BLANK, DOCS, canonical
-from oracles.search_sql import ENRICH, HITS, NEAR
+from oracles.search_sql import ENRICH, HITS, NEAR_DOCS
 from oracles.series_sql import SQL as SERIES_SQL
 from oracles.shared import ALIASES, MIP, PE, PE_ONLY, measure_id, stitch
 
@@ -48,7 +48,7 @@ SELECT measure_id, measure_name, edition, CASE WHEN measure_name IS NOT NULL THE
     "Q11_measures_by_program": f"""WITH {MIP}{PE_ONLY}, {ALIASES}, {RESOLVED}, {DISPLAY}, {CANON_HEADS},
 ix AS (SELECT DISTINCT program_name, replace(portfolio, '2017-18 PBS ', '') AS portfolio, measure_name, edition FROM resolved WHERE matched)
 SELECT program_name, portfolio, measure_name, edition, measure_id, portfolios, agencies, n_impacts, n_programs FROM ix JOIN heads USING (measure_name, edition)""",
-    "Q12_topic_search": f"""WITH {DOCS}, {MIP}, {NEAR}, top AS (SELECT query_id, rank, measure_name, edition, round(greatest(0, 1 - d / 2), 6) AS score, portfolio,
+    "Q12_topic_search": f"""WITH {DOCS}, {MIP}, {NEAR_DOCS}, top AS (SELECT query_id, rank, measure_name, edition, round(greatest(0, 1 - d / 2), 6) AS score, portfolio,
   regexp_replace(substr(text, 1, 180), '^{_BLANK}|{_BLANK}$', '', 'g') AS snippet FROM ranked JOIN docs ON doc_id = id WHERE rank <= 50),
 a AS (SELECT measure_name, edition, CASE WHEN portfolio = '' THEN NULL ELSE {canonical('portfolio')} END AS portfolio, NULL AS agency, false AS f FROM top
   UNION ALL SELECT measure_name, edition, {canonical('portfolio')}, agency, true FROM mi UNION ALL SELECT measure_name, edition, {canonical('portfolio')}, agency, true FROM mp),
