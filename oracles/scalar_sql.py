@@ -39,7 +39,6 @@ def canonical(raw: str) -> str:
 FAMILY = "CASE " + " ".join(
     "WHEN " + " OR ".join(f"contains(lower(portfolio), {_Q(k)})" for k in keys) + f" THEN {_Q(name)}" for name, keys in PORTFOLIO_FAMILIES
 ) + " ELSE portfolio END"
-NUMBER = "replace(format('{:t,}', CAST(trunc(CAST(l_extendedprice AS DECIMAL(18,2))) AS BIGINT)), 't', '')"
 COMMAS = "format('{:,}', CAST(trunc(CAST(l_extendedprice AS DECIMAL(18,2))) AS BIGINT)) || '.' || split_part(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), '.', 2)"
 PLAIN = "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)"
 AMOUNT = f"CASE l_linenumber WHEN 1 THEN '(' || {COMMAS} || ')' WHEN 2 THEN 'nfp' WHEN 3 THEN '..' WHEN 4 THEN ' ' || {COMMAS} || chr(160) ELSE {PLAIN} END"

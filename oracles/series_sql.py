@@ -1,6 +1,6 @@
 """SQL for the series queries."""
 
-from oracles.shared import ALIASES, BASE, MI, MR, PE, PE_ONLY, eord, stitch
+from oracles.shared import ALIASES, MI, MR, PE, PE_ONLY, eord, stitch
 
 SLICE = "NOT (edition = '2016-17 October Budget' AND fiscal_year = '2015-16')"
 SPELL = """
