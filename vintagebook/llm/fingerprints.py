@@ -30,6 +30,10 @@ ROWS, WIDTH, STEPS, CHILDREN = 3, 8, 6, 4
 PARAGRAPH_END = r"\n+|(?<=[.!?])\s+"
 
 
+def _record(**fields: Column) -> Column:
+    return F.named_struct(*[part for name, value in fields.items() for part in (F.lit(name), value)])
+
+
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit("check"))
 
@@ -45,13 +49,13 @@ def _place(hashed: Column, row: int) -> Column:
 
 def sketch(digests: Column, level: int) -> Column:
     """Cells (n, k, c) of the digests, row by row."""
-    hashed = F.transform(digests, lambda d: F.struct(d.alias("k"), F.xxhash64(d, F.lit(level)).alias("h"), _check(d).alias("c")))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+    hashed = F.transform(digests, lambda d: _record(k=d, h=F.xxhash64(d, F.lit(level)), c=_check(d)))
+    zero = _record(n=F.lit(0), k=F.lit(0).cast("long"), c=F.lit(0).cast("long"))
 
     def cells(all_hashed: Column) -> Column:
         def cell(row: int, at: int) -> Column:
             inside = F.filter(all_hashed, lambda x: _place(x["h"], row) == at)
-            return F.aggregate(inside, zero, lambda s, x: F.struct((s["n"] + 1).alias("n"), s["k"].bitwiseXOR(x["k"]).alias("k"), s["c"].bitwiseXOR(x["c"]).alias("c")))
+            return F.aggregate(inside, zero, lambda s, x: _record(n=s["n"] + 1, k=s["k"].bitwiseXOR(x["k"]), c=s["c"].bitwiseXOR(x["c"])))
 
         return F.array(*[cell(r, i) for r in range(ROWS) for i in range(WIDTH)])
 
@@ -60,7 +64,7 @@ def sketch(digests: Column, level: int) -> Column:
 
 
 def subtracted(one: Column, other: Column) -> Column:
-    return F.zip_with(one, other, lambda a, b: F.struct((a["n"] - b["n"]).alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["c"].bitwiseXOR(b["c"]).alias("c")))
+    return F.zip_with(one, other, lambda a, b: _record(n=a["n"] - b["n"], k=a["k"].bitwiseXOR(b["k"]), c=a["c"].bitwiseXOR(b["c"])))
 
 
 def peeled(cells: Column, level: int) -> Column:
@@ -68,21 +72,21 @@ def peeled(cells: Column, level: int) -> Column:
 
     def pure_of(state: Column) -> Column:
         alone = F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"])))
-        return F.array_distinct(F.transform(alone, lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c"), F.xxhash64(x["k"], F.lit(level)).alias("h"))))
+        return F.array_distinct(F.transform(alone, lambda x: _record(n=x["n"], k=x["k"], c=x["c"], h=F.xxhash64(x["k"], F.lit(level)))))
 
     def without(state: Column, pure: Column) -> Column:
         def taken(x: Column, i: Column) -> Column:
             row = F.floor(i / WIDTH).cast("int")
             place = lambda p: F.when(row == 0, _place(p["h"], 0)).when(row == 1, _place(p["h"], 1)).otherwise(_place(p["h"], 2))
             hits = F.filter(pure, lambda p: place(p) == i % WIDTH)
-            return F.aggregate(hits, F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c")), lambda s, p: F.struct((s["n"] - p["n"]).alias("n"), s["k"].bitwiseXOR(p["k"]).alias("k"), s["c"].bitwiseXOR(p["c"]).alias("c")))
+            return F.aggregate(hits, _record(n=x["n"], k=x["k"], c=x["c"]), lambda s, p: _record(n=s["n"] - p["n"], k=s["k"].bitwiseXOR(p["k"]), c=s["c"].bitwiseXOR(p["c"])))
 
-        return F.struct(F.transform(state["cells"], taken).alias("cells"), (state["found"] + F.size(pure)).alias("found"))
+        return _record(cells=F.transform(state["cells"], taken), found=state["found"] + F.size(pure))
 
     def step(state: Column, _: Column) -> Column:
         return F.transform(F.array(pure_of(state)), lambda pure: F.when(F.size(pure) == 0, state).otherwise(without(state, pure)))[0]
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
+    start = _record(cells=cells, found=F.lit(0))
     return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)
 
 

@@ -1,10 +1,11 @@
 """Best-fit packing with certified bin counts.
 
-Short pieces are dealt over partitions and packed best fit decreasing. Dual-feasible
-functions give every partition a lower bound for its number of sequences. A partition
-that meets its bound without remainder is done; any other keeps its fullest sequences
-and exchanges the pieces of its emptiest ones with the other such partitions, which
-are dealt anew and packed again, until one partition is left or nothing improves.
+Short pieces are dealt over partitions, alike in their lengths, and packed best fit decreasing. The dual-feasible
+function that bounds the whole best gives every partition a lower bound for its number of
+sequences; these add up to the bound of the whole. A partition with a gap keeps the
+sequences that meet their bound and exchanges the pieces of the others, and some of
+sequences of many small pieces to fill gaps with, with the other partitions; they are
+dealt anew and packed again, until one partition is left or nothing is left to exchange.
 
 Defined cases: a null text is an empty one and gives one piece of the end token;
 repeated rows are packed each; a null id stays null; no rows give no rows.
@@ -28,8 +29,10 @@ from vintagebook.session import stored
 
 CAPACITY, END = 1024, 2
 #: Pieces of a partition, about; a partition is packed by one task.
-PARTITION = 8192
+PARTITION = 1 << 15
 ROUNDS = 12
+#: A sequence short of its bound by more than this is exchanged, and so is this share of the sequences with most pieces.
+SLACK, STOCK = 0.01, 0.02
 _ENCODERS: dict[str, tiktoken.Encoding] = {}
 
 
@@ -80,32 +83,46 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.asarray(fills, np.int64)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> float:
-    """The largest of the bounds that dual-feasible functions give, not rounded up.
+def best_dual(counts: np.ndarray, capacity: int) -> np.ndarray:
+    """Weights of the lengths 0 .. capacity under the dual-feasible function with the largest sum for these counts.
 
-    Those that drop small items and fill up large ones, for every limit between, and
+    No sequence's weights exceed 1 in sum, so the sum over any pieces bounds their sequences
+    from below, and the bounds of partitions add up to that of the whole. Tried are the
+    functions that drop lengths below a limit and round up those above its complement, and
     those that round to multiples of 1/k, for small k.
     """
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
-    below, above = np.cumsum(counts * size), np.cumsum(counts[::-1])[::-1]
-    limit = np.arange(1, capacity // 2 + 1)
-    kept = below[capacity - limit] - below[limit - 1] + np.append(above, 0)[capacity - limit + 1] * capacity
-    best = max(below[-1], kept.max(initial=0)) / capacity
+    found, best = size / capacity, float((counts * size).sum()) / capacity
+    for limit in range(1, capacity // 2 + 1):
+        weights = np.where(size > capacity - limit, 1.0, np.where(size < limit, 0.0, size / capacity))
+        if (total := float((counts * weights).sum())) > best:
+            found, best = weights, total
     for k in range(1, 21):
-        exact = (k + 1) * size % capacity == 0
-        best = max(best, float((counts * np.where(exact, size / capacity, (k + 1) * size // capacity / k)).sum()))
-    return best
+        weights = np.where((k + 1) * size % capacity == 0, size / capacity, (k + 1) * size // capacity / k)
+        if (total := float((counts * weights).sum())) > best:
+            found, best = weights, total
+    return found
+
+
+def lower_bound(lengths: np.ndarray, capacity: int) -> float:
+    """A bound on the number of sequences, not rounded up."""
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    return float((counts * best_dual(counts, capacity)).sum())
 
 
-def _packed(capacity: int, round_no: int, last: bool):
+def _packed(capacity: int, dual: np.ndarray, round_no: int, last: bool):
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lengths = rows["length"].to_numpy(np.int64)
         bins, offsets, fills = best_fit(lengths, capacity)
-        gap = fills.size - lower_bound(lengths, capacity)
+        certified = np.bincount(bins, weights=dual[lengths])
+        gap = fills.size - certified.sum()
         done = np.ones(fills.size, bool)
         if gap > 1e-9 and not last:
-            done[np.argsort(fills, kind="stable")[: 4 * math.ceil(gap) + 4]] = False
+            done[certified < 1 - SLACK] = False
+            done[np.argsort(certified, kind="stable")[: 4 * math.ceil(gap)]] = False
+        if not last:
+            # sequences of many small pieces, which fit in where others' gaps are
+            done[np.argsort(-np.bincount(bins), kind="stable")[: math.ceil(STOCK * fills.size)]] = False
         sequence = ((np.int64(round_no) << 20 | np.int64(key[0])) << 32 | bins) * 2 + 1
         return rows.assign(sequence_id=sequence, offset=offsets, done=done[bins])
 
@@ -114,18 +131,26 @@ def _packed(capacity: int, round_no: int, last: bool):
 
 def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Rows of ``cut`` (with a length up to the capacity) and sequence_id, offset."""
+    shuffles = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = stored(cut).withColumn("row", F.monotonically_increasing_id())
     full = cut.where(F.col("length") == capacity).withColumn("sequence_id", F.col("row") * 2).withColumn("offset", F.lit(0).cast("long"))
     out, rest, before = [full], cut.where(F.col("length") < capacity), None
     schema = rest.schema.simpleString()[7:-1].replace(":", " ") + ", part int, sequence_id long, offset long, done boolean"
     for round_no in range(ROUNDS):
-        n = rest.count()
+        # one row per length, so never more than the capacity
+        counts = np.zeros(capacity + 1, np.int64)
+        for row in rest.groupBy("length").count().collect():
+            counts[row["length"]] = row["count"]
+        n = int(counts.sum())
         if not n:
             break
+        dual = best_dual(counts, capacity)
         parts = math.ceil(n / PARTITION)
         last = parts == 1 or n == before or round_no == ROUNDS - 1
-        dealt = rest.withColumn("part", F.pmod(F.xxhash64("row", F.lit(round_no)), F.lit(parts)).cast("int"))
-        placed = stored(dealt.groupBy("part").applyInPandas(_packed(capacity, round_no, last), schema))
+        # dealt in order of length, as cards are, so that partitions are alike in their lengths
+        ordered = rest.repartitionByRange(shuffles, "length", "row").sortWithinPartitions("length", "row")
+        dealt = ordered.withColumn("part", F.pmod(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + F.spark_partition_id(), F.lit(parts)).cast("int"))
+        placed = stored(dealt.groupBy("part").applyInPandas(_packed(capacity, dual, round_no, last), schema))
         out.append(placed.where("done").select(full.columns))
         if last:
             break
