@@ -28,14 +28,7 @@ from vintagebook.session import stored
 
 ROWS, WIDTH, STEPS, CHILDREN = 3, 8, 6, 4
 PARAGRAPH_END = r"\n+|(?<=[.!?])\s+"
-
-
-def _record(**fields: Column) -> Column:
-    return F.named_struct(*[part for name, value in fields.items() for part in (F.lit(name), value)])
-
-
-def _check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit("check"))
+_EMPTY = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
 
 
 def paragraphs(text: Column) -> Column:
@@ -43,55 +36,31 @@ def paragraphs(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, PARAGRAPH_END), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
-def _place(hashed: Column, row: int) -> Column:
-    return F.shiftrightunsigned(hashed, 3 * row).bitwiseAND(F.lit(WIDTH - 1).cast("long"))
-
-
-def sketch(digests: Column, level: int) -> Column:
-    """Cells (n, k, c) of the digests, row by row."""
-    hashed = F.transform(digests, lambda d: _record(k=d, h=F.xxhash64(d, F.lit(level)), c=_check(d)))
-    zero = _record(n=F.lit(0), k=F.lit(0).cast("long"), c=F.lit(0).cast("long"))
-
-    def cells(all_hashed: Column) -> Column:
-        def cell(row: int, at: int) -> Column:
-            inside = F.filter(all_hashed, lambda x: _place(x["h"], row) == at)
-            return F.aggregate(inside, zero, lambda s, x: _record(n=s["n"] + 1, k=s["k"].bitwiseXOR(x["k"]), c=s["c"].bitwiseXOR(x["c"])))
-
-        return F.array(*[cell(r, i) for r in range(ROWS) for i in range(WIDTH)])
+def _goes(hashed: str, cell: str) -> str:
+    """SQL: whether a digest of this hash goes to the cell of this number."""
+    return f"(shiftrightunsigned({hashed}, 3 * int({cell} div {WIDTH})) & {WIDTH - 1}) = {cell} % {WIDTH}"
 
-    # transform over one element: a name for an intermediate value
-    return F.transform(F.array(hashed), cells)[0]
 
+def sketch(digests: str, level: int) -> str:
+    """SQL: cells (n, k, c) of an array of digests, row by row. A transform over one element names an intermediate value."""
+    hashed = f"transform({digests}, d -> named_struct('k', d, 'h', xxhash64(d, {level}), 'c', xxhash64(d, 'check')))"
+    gathered = "(s, x) -> named_struct('n', s.n + 1, 'k', s.k ^ x.k, 'c', s.c ^ x.c)"
+    cells = f"transform(sequence(0, {ROWS * WIDTH - 1}), i -> aggregate(filter(hs, x -> {_goes('x.h', 'i')}), {_EMPTY}, {gathered}))"
+    return f"transform(array({hashed}), hs -> {cells})[0]"
 
-def subtracted(one: Column, other: Column) -> Column:
-    return F.zip_with(one, other, lambda a, b: _record(n=a["n"] - b["n"], k=a["k"].bitwiseXOR(b["k"]), c=a["c"].bitwiseXOR(b["c"])))
 
+def subtracted(one: str, other: str) -> str:
+    return f"zip_with({one}, {other}, (a, b) -> named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'c', a.c ^ b.c))"
 
-def peeled(cells: Column, level: int) -> Column:
-    """struct(cells, found): what is left of a difference, and how many digests peeling gave."""
 
-    def pure_of(state: Column) -> Column:
-        alone = F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"])))
-        return F.array_distinct(F.transform(alone, lambda x: _record(n=x["n"], k=x["k"], c=x["c"], h=F.xxhash64(x["k"], F.lit(level)))))
-
-    def without(state: Column, pure: Column) -> Column:
-        def taken(x: Column, i: Column) -> Column:
-            row = F.floor(i / WIDTH).cast("int")
-            place = lambda p: F.when(row == 0, _place(p["h"], 0)).when(row == 1, _place(p["h"], 1)).otherwise(_place(p["h"], 2))
-            hits = F.filter(pure, lambda p: place(p) == i % WIDTH)
-            return F.aggregate(hits, _record(n=x["n"], k=x["k"], c=x["c"]), lambda s, p: _record(n=s["n"] - p["n"], k=s["k"].bitwiseXOR(p["k"]), c=s["c"].bitwiseXOR(p["c"])))
-
-        return _record(cells=F.transform(state["cells"], taken), found=state["found"] + F.size(pure))
-
-    def step(state: Column, _: Column) -> Column:
-        return F.transform(F.array(pure_of(state)), lambda pure: F.when(F.size(pure) == 0, state).otherwise(without(state, pure)))[0]
-
-    start = _record(cells=cells, found=F.lit(0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)
-
-
-def _is_empty(cells: Column) -> Column:
-    return F.forall(cells, lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0))
+def peeled(cells: str, level: int) -> str:
+    """SQL: struct(cells, found), what is left of a difference and how many digests peeling gave."""
+    alone = "filter(state.cells, x -> abs(x.n) = 1 AND x.c = xxhash64(x.k, 'check'))"
+    pure = f"array_distinct(transform({alone}, x -> named_struct('n', x.n, 'k', x.k, 'c', x.c, 'h', xxhash64(x.k, {level}))))"
+    taken = "(s, p) -> named_struct('n', s.n - p.n, 'k', s.k ^ p.k, 'c', s.c ^ p.c)"
+    rest = f"transform(state.cells, (x, i) -> aggregate(filter(pure, p -> {_goes('p.h', 'i')}), x, {taken}))"
+    step = f"transform(array({pure}), pure -> CASE WHEN size(pure) = 0 THEN state ELSE named_struct('cells', {rest}, 'found', state.found + size(pure)) END)[0]"
+    return f"aggregate(sequence(1, {STEPS}), named_struct('cells', {cells}, 'found', 0), (state, t) -> {step})"
 
 
 def differing(pairs: DataFrame) -> DataFrame:
@@ -99,26 +68,23 @@ def differing(pairs: DataFrame) -> DataFrame:
     counted, level = [], 0
     rest = pairs
     while True:
-        diff = subtracted(sketch(F.col("one"), level), sketch(F.col("other"), level))
-        done = rest.select("no", "kind", "one", "other", peeled(diff, level).alias("state"))
-        done = stored(done.select("no", "kind", "one", "other", "state.found", _is_empty(F.col("state.cells")).alias("whole")))
+        state = F.expr(peeled(subtracted(sketch("one", level), sketch("other", level)), level))
+        done = rest.select("no", "kind", "one", "other", state.alias("state"))
+        done = stored(done.select("no", "kind", "one", "other", "state.found", F.expr("forall(state.cells, x -> x.n = 0 AND x.k = 0 AND x.c = 0)").alias("whole")))
         counted.append(done.where("whole").select("no", "kind", "found"))
         stuck = done.where("not whole").select("no", "kind", "one", "other")
         if stuck.isEmpty():
             break
-
-        def share(digests: str, child: Column, bits: int = 2 * level) -> Column:
-            return F.filter(digests, lambda d: F.shiftrightunsigned(F.xxhash64(d, F.lit("deal")), bits).bitwiseAND(F.lit(CHILDREN - 1).cast("long")) == child)
-
         dealt = stuck.withColumn("child", F.explode(F.sequence(F.lit(0), F.lit(CHILDREN - 1))))
-        rest = dealt.select("no", "kind", share("one", F.col("child")).alias("one"), share("other", F.col("child")).alias("other"))
+        share = "filter({0}, d -> (shiftrightunsigned(xxhash64(d, 'deal'), {1}) & {2}) = child) AS {0}"
+        rest = dealt.selectExpr("no", "kind", *[share.format(c, 2 * level, CHILDREN - 1) for c in ("one", "other")])
         level += 1
     return union_all(counted).groupBy("no", "kind").agg(F.sum("found").alias("differing"))
 
 
-def written_out(cells: Column) -> Column:
-    """A sketch as text: count and digests of every cell in hexadecimal digits."""
-    return F.array_join(F.transform(cells, lambda x: F.concat(F.lower(F.hex(x["n"].cast("long"))), F.lit("."), F.lower(F.hex(x["k"])))), "-")
+def written_out(cells: str) -> str:
+    """SQL: a sketch as text, the count and digests of every cell in hexadecimal digits."""
+    return f"array_join(transform({cells}, x -> concat(lower(hex(x.n)), '.', lower(hex(x.k)))), '-')"
 
 
 def succession(docs: DataFrame) -> DataFrame:
@@ -173,7 +139,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 
     sizes = chain.select("no", "doc_id", "n_chars", "copies").join(versions, "no").join(following.select("no", F.size("following").alias("n_following")), "no").join(found, "no")
     out = sizes.select(
-        "doc_id", "n_chars", "edited_sha256", written_out(sketch(F.col("own"), 0)).alias("fingerprint"), written_out(sketch(F.col("changed"), 0)).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", F.expr(written_out(sketch("own", 0))).alias("fingerprint"), F.expr(written_out(sketch("changed", 0))).alias("edited_fingerprint"),
         likeness("d_edited", F.size("own"), F.size("changed")).alias("near_edited"), likeness("d_next", F.size("own"), F.col("n_following")).alias("near_next"),
         F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("one of the copies"))
     return out.drop("one of the copies")
