@@ -4,9 +4,10 @@ A text's sketch has ``ROWS`` x ``WIDTH`` cells. Every different paragraph's dige
 one cell of each row, where a count, an exclusive-or of digests and one of check sums
 gather. Subtracting two sketches cell by cell leaves only what differs; a cell with one
 digest left gives it away, which is then taken out of its other cells, and so on
-(peeling). Where that gets stuck the sketch was too small: the digests are dealt over four
-times as many sketches, with new hashes, and only what did not peel is retried. All of it
-is done within rows, so a text's retry moves nothing.
+(peeling). Sketches that shall tell all differences are made of as many such tables as the
+counts of both texts ask for, digests dealt over them by hash. Where peeling gets stuck a
+table was too small: its digests are dealt over four tables, with new hashes, and only what
+did not peel is retried. All of it is done within rows, so a text's retry moves nothing.
 
 Paragraphs end at line breaks and after full stops, question and exclamation marks; a
 paragraph counts once however often it repeats. Likeness of two sketches is
@@ -26,7 +27,7 @@ from vintagebook.llm.common import union_all
 from vintagebook.llm.repeats import tidy_shuffles
 from vintagebook.session import stored
 
-ROWS, WIDTH, STEPS, CHILDREN = 3, 8, 6, 4
+ROWS, WIDTH, STEPS, CHILDREN, LOAD = 3, 8, 6, 4, 8
 PARAGRAPH_END = r"\n+|(?<=[.!?])\s+"
 _EMPTY = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
 
@@ -36,17 +37,18 @@ def paragraphs(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, PARAGRAPH_END), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
-def _goes(hashed: str, cell: str) -> str:
-    """SQL: whether a digest of this hash goes to the cell of this number."""
-    return f"(shiftrightunsigned({hashed}, 3 * int({cell} div {WIDTH})) & {WIDTH - 1}) = {cell} % {WIDTH}"
+def _hashed(digest: str, level: int) -> str:
+    """SQL: a digest with its check sum and the numbers of the cells it goes to, one in each row."""
+    cells = ", ".join(f"int({row * WIDTH} + (shiftrightunsigned(h, {3 * row}) & {WIDTH - 1}))" for row in range(ROWS))
+    # transform over one element names an intermediate value
+    return f"named_struct('k', {digest}, 'c', xxhash64({digest}, 'check'), 'at', transform(array(xxhash64({digest}, {level})), h -> array({cells}))[0])"
 
 
 def sketch(digests: str, level: int) -> str:
-    """SQL: cells (n, k, c) of an array of digests, row by row. A transform over one element names an intermediate value."""
-    hashed = f"transform({digests}, d -> named_struct('k', d, 'h', xxhash64(d, {level}), 'c', xxhash64(d, 'check')))"
+    """SQL: cells (n, k, c) of an array of digests, row by row."""
     gathered = "(s, x) -> named_struct('n', s.n + 1, 'k', s.k ^ x.k, 'c', s.c ^ x.c)"
-    cells = f"transform(sequence(0, {ROWS * WIDTH - 1}), i -> aggregate(filter(hs, x -> {_goes('x.h', 'i')}), {_EMPTY}, {gathered}))"
-    return f"transform(array({hashed}), hs -> {cells})[0]"
+    cells = f"transform(sequence(0, {ROWS * WIDTH - 1}), i -> aggregate(filter(hs, x -> array_contains(x.at, i)), {_EMPTY}, {gathered}))"
+    return f"transform(array(transform({digests}, d -> {_hashed('d', level)})), hs -> {cells})[0]"
 
 
 def subtracted(one: str, other: str) -> str:
@@ -56,29 +58,42 @@ def subtracted(one: str, other: str) -> str:
 def peeled(cells: str, level: int) -> str:
     """SQL: struct(cells, found), what is left of a difference and how many digests peeling gave."""
     alone = "filter(state.cells, x -> abs(x.n) = 1 AND x.c = xxhash64(x.k, 'check'))"
-    pure = f"array_distinct(transform({alone}, x -> named_struct('n', x.n, 'k', x.k, 'c', x.c, 'h', xxhash64(x.k, {level}))))"
-    taken = "(s, p) -> named_struct('n', s.n - p.n, 'k', s.k ^ p.k, 'c', s.c ^ p.c)"
-    rest = f"transform(state.cells, (x, i) -> aggregate(filter(pure, p -> {_goes('p.h', 'i')}), x, {taken}))"
+    pure = f"transform(array_distinct(transform({alone}, x -> named_struct('n', x.n, 'k', x.k))), x -> named_struct('n', x.n, 'x', {_hashed('x.k', level)}))"
+    taken = "(s, p) -> named_struct('n', s.n - p.n, 'k', s.k ^ p.x.k, 'c', s.c ^ p.x.c)"
+    rest = f"transform(state.cells, (x, i) -> aggregate(filter(pure, p -> array_contains(p.x.at, i)), x, {taken}))"
     step = f"transform(array({pure}), pure -> CASE WHEN size(pure) = 0 THEN state ELSE named_struct('cells', {rest}, 'found', state.found + size(pure)) END)[0]"
     return f"aggregate(sequence(1, {STEPS}), named_struct('cells', {cells}, 'found', 0), (state, t) -> {step})"
 
 
+def _dealt(pairs: DataFrame, parts: str, salt: str) -> DataFrame:
+    """Every pair as ``parts`` pairs (an SQL number), digests dealt over them by hash."""
+    numbered = pairs.selectExpr("*", f"int({parts}) AS parts").selectExpr("*", "explode(sequence(0, parts - 1)) AS part")
+    share = "CASE WHEN parts = 1 THEN {0} ELSE filter({0}, d -> pmod(xxhash64(d, '{1}'), parts) = part) END AS {0}"
+    return numbered.selectExpr("no", "kind", "size", *[share.format(c, salt) for c in ("one", "other")])
+
+
 def differing(pairs: DataFrame) -> DataFrame:
-    """(no, kind, differing) from pairs (no, kind, one, other) of digest arrays: how many digests are in one of them only."""
+    """(no, kind, differing) from pairs (no, kind, one, other) of digest arrays: how many digests are in one of them only.
+
+    No more can differ than both have, so sketches first are that large: a pair has one of
+    the small tables for about ``LOAD`` of its digests.
+    """
     counted, level = [], 0
-    rest = pairs
+    sized = pairs.selectExpr("no", "kind", f"greatest(1, ceil((size(one) + size(other)) / {LOAD})) AS size", "one", "other")
+    rest = _dealt(_dealt(sized, "ceil(size / 16)", "group"), "ceil(size / ceil(size / 16))", "table")
     while True:
         state = F.expr(peeled(subtracted(sketch("one", level), sketch("other", level)), level))
-        done = rest.select("no", "kind", "one", "other", state.alias("state"))
-        done = stored(done.select("no", "kind", "one", "other", "state.found", F.expr("forall(state.cells, x -> x.n = 0 AND x.k = 0 AND x.c = 0)").alias("whole")))
+        done = rest.select("no", "kind", "size", "one", "other", state.alias("state"))
+        done = done.selectExpr("no", "kind", "size", "one", "other", "state.found AS found", "forall(state.cells, x -> x.n = 0 AND x.k = 0 AND x.c = 0) AS whole")
+        # of what peeled only the number is kept
+        kept = ["no", "kind", "size", "found", "whole", *[F.when(~F.col("whole"), F.col(c)).alias(c) for c in ("one", "other")]]
+        done = stored(done.select(kept))
         counted.append(done.where("whole").select("no", "kind", "found"))
-        stuck = done.where("not whole").select("no", "kind", "one", "other")
+        stuck = done.where("not whole").select("no", "kind", "size", "one", "other")
         if stuck.isEmpty():
             break
-        dealt = stuck.withColumn("child", F.explode(F.sequence(F.lit(0), F.lit(CHILDREN - 1))))
-        share = "filter({0}, d -> (shiftrightunsigned(xxhash64(d, 'deal'), {1}) & {2}) = child) AS {0}"
-        rest = dealt.selectExpr("no", "kind", *[share.format(c, 2 * level, CHILDREN - 1) for c in ("one", "other")])
         level += 1
+        rest = _dealt(stuck, str(CHILDREN), f"retry {level}")
     return union_all(counted).groupBy("no", "kind").agg(F.sum("found").alias("differing"))
 
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintagebook.llm.common import bounded_batches
@@ -38,22 +38,25 @@ DATE = "2000-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def planned(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, record_type, refers_to) per row of ``pages``."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    own = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    first = own.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    joined = own.join(first, "digest", "left").withColumn("refers_to", refers)
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
+def _payload() -> Column:
+    return F.coalesce(F.col("html"), F.lit("")).cast("binary")
+
+
+def revisits(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, refers_to) of the pages whose payload a smaller page stores. No payload is shuffled for it."""
+    own = pages.select("page_id", F.sha2(_payload(), 256).alias("digest")).where(F.octet_length(_payload()) >= LEAST)
+    first = own.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = own.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull())
+    return found.select("page_id", "digest", "refers_to").distinct()
 
 
 def _line(name: str, value: object) -> bytes:
     return f"{name}: {value}\r\n".encode("utf-8", "surrogatepass")
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, record_type: str, refers_to: int | None) -> bytes:
-    """One record, uncompressed; its digests and lengths come from the payload."""
+def record_bytes(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
+    """One record, uncompressed, a revisit if it refers to a page; its digests and lengths come from the payload."""
+    record_type = "response" if refers_to is None else "revisit"
     digest = hashlib.sha256(payload).hexdigest()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + _line("Content-Length", len(payload)) + b"\r\n"
     block = http if record_type == "revisit" else http + payload
@@ -84,15 +87,18 @@ def _opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_archives(records: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
-    """Write planned records as archives in ``folder`` and commit its manifest (file, records, bytes, sha256), which is returned."""
-    _, path = _opened(folder)
+def write_archives(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
+    """Write ``pages`` as archives in ``folder`` and commit its manifest (file, records, bytes, sha256), which is returned.
+
+    A page that is a revisit has a row of its own that says so and sorts just before it,
+    so that payloads are moved once, by the sort.
+    """
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = _opened(folder)
         context = TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
-        state: dict = {"n": 0}
+        state: dict = {"n": 0, "told": None}
 
         def close() -> pd.DataFrame:
             state["out"].close()
@@ -104,9 +110,13 @@ def write_archives(records: DataFrame, folder: str, roll: int = ROLL) -> DataFra
             return pd.DataFrame(row)
 
         for batch in batches:
-            for r in zip(*(batch[c] for c in ("page_id", "url", "payload", "record_type", "refers_to"))):
-                page_id, url, payload, record_type, refers_to = (None if x is pd.NA or x is None else x for x in r)
-                data = _member(record_bytes(page_id, url, payload, record_type, refers_to))
+            for page_id, digest, url, payload, refers_to in zip(*(batch[c] for c in ("page_id", "digest", "url", "payload", "refers_to"))):
+                if payload is None:
+                    state["told"] = (page_id, digest, refers_to)
+                    continue
+                told = state["told"]
+                refers_to = told[2] if told and told[:2] == (page_id, digest) else None
+                data = _member(record_bytes(page_id, url, payload, refers_to))
                 if "out" not in state:
                     temporary = f"{root}/_temporary/{shard}-{attempt}-{state['n']}-{uuid.uuid4().hex}"
                     state |= {"temporary": temporary, "out": store.open_output_stream(temporary, compression=None), "records": 0, "bytes": 0, "sha": hashlib.sha256()}
@@ -119,17 +129,20 @@ def write_archives(records: DataFrame, folder: str, roll: int = ROLL) -> DataFra
         if "out" in state:
             yield close()
 
+    spark = pages.sparkSession
     store, root = _opened(folder)
     store.create_dir(f"{root}/_temporary", recursive=True)
-    shards = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # ids as text, so that a null among them doesn't make numbers of floats
-    plain = records.select("page_id", F.col("page_id").cast("string").alias("id"), "url", "payload", "record_type", F.col("refers_to").cast("string").alias("refers"))
-    ordered = plain.repartitionByRange(shards, "page_id", F.xxhash64("url", "payload")).sortWithinPartitions("page_id", "record_type", "url", "payload")
-    named = ordered.select(F.col("id").alias("page_id"), "url", "payload", "record_type", F.col("refers").alias("refers_to"))
-    manifest = bounded_batches(named).mapInPandas(written, "file string, records long, bytes long, sha256 string")
+    stored_ones = pages.select("page_id", F.sha2(_payload(), 256).alias("digest"), "url", _payload().alias("payload"), F.lit(None).cast("long").alias("refers_to"))
+    told = revisits(pages).select("page_id", "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("refers_to").cast("long"))
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["page_id", "digest", F.col("payload").isNotNull(), "url"]
+    ordered = stored_ones.unionByName(told).repartitionByRange(shards, "page_id", "digest").sortWithinPartitions(*order)
+    # ids travel as text, so that a null among them doesn't make numbers of floats
+    as_text = [F.col(c).cast("string").alias(c) for c in ("page_id", "refers_to")]
+    manifest = bounded_batches(ordered.select(*as_text, "digest", "url", "payload")).mapInPandas(written, "file string, records long, bytes long, sha256 string")
     manifest.write.mode("errorifexists").parquet(f"{folder}/manifest.new")
     store.move(f"{root}/manifest.new", f"{root}/manifest")
-    return records.sparkSession.read.parquet(f"{folder}/manifest")
+    return spark.read.parquet(f"{folder}/manifest")
 
 
 def records_in(data: Iterator[bytes]) -> Iterator[bytes]:
@@ -201,7 +214,7 @@ def archive_report(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``pages`` as archives and read them back: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
     spark = pages.sparkSession
     folder = folder or f"{as_uri(ensure_checkpoint_dir(spark))}/archives-{uuid.uuid4().hex}"
-    write_archives(planned(pages), folder)
+    write_archives(pages, folder)
     return read_archives(spark, folder, ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
