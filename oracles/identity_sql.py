@@ -2,18 +2,18 @@
 
 from oracles.scalar_sql import DOCS, canonical
 from oracles.series_sql import SPELL
-from oracles.shared import ALIASES, BASE, MI, MIP, MR, PE, PE_ONLY, eord, measure_id
+from oracles.shared import LATEST, ALIASES, BASE, MI, MIP, MR, PE, PE_ONLY, eord, measure_id
 
 MT = f"""{DOCS}, wu AS (
   SELECT *, {measure_id('measure_name', 'edition')} AS measure_id FROM docs QUALIFY row_number() OVER (PARTITION BY measure_name, edition ORDER BY doc_id) = 1),
 mt AS (SELECT measure_id, measure_name, edition, portfolio, document_section, source_page, doc_id AS id,
-  coalesce((SELECT string_agg(t, chr(10) || chr(10) ORDER BY i) FROM (SELECT unnest(lines) AS t, generate_subscripts(lines, 1) - 1 AS i) WHERE i % 3 = 0 AND trim(t) <> ''), '') AS full_measure_text FROM wu),
+  coalesce((SELECT string_agg(t, chr(10) || chr(10) ORDER BY i) FROM (SELECT unnest(lines) AS t, generate_subscripts(lines, 1) - 1 AS i) WHERE trim(t) <> ''), '') AS full_measure_text FROM wu),
 comp AS (SELECT measure_id, CAST(i AS INT) AS ordinal, CAST(i % 3 AS INT) AS level, ['text', 'dot', 'dash'][i % 3 + 1] AS marker,
   CASE WHEN i % 3 = 2 THEN CAST(i - 1 AS INT) END AS parent_ordinal, t AS text
   FROM (SELECT measure_id, unnest(lines) AS t, generate_subscripts(lines, 1) - 1 AS i FROM wu) WHERE trim(t) <> '')"""
 RELATED = """rel AS (SELECT measure_id AS text_id, o AS ordinal, CASE WHEN o = 1 THEN 'Act ' || CAST(doc_id AS VARCHAR)
     WHEN p_size % 2 = 0 THEN upper(p_type) || ' – ' || upper(p_name) ELSE p_type || ' - ' || p_name END AS phrase
-  FROM wu JOIN part ON p_partkey % 1000000 = doc_id, (VALUES (0), (1)) v(o))"""
+  FROM wu LEFT JOIN part ON p_partkey = doc_id, (VALUES (0), (1)) v(o) WHERE o = 1 OR p_partkey IS NOT NULL)"""
 FIN = """fin AS (SELECT measure_id, CAST(i AS INT) AS row_ordinal, CASE WHEN i % 2 = 0 THEN 'Payment' ELSE 'Receipt' END AS impact_type, i % 4 = 3 AS is_related,
     'Department ' || CAST(length(t) % 6 AS VARCHAR) AS department_name, y AS year_index,
     CASE y WHEN 0 THEN CASE length(t) % 5 WHEN 0 THEN 'nfp' WHEN 1 THEN '-' ELSE CAST(length(t) AS VARCHAR) || '.5' END
@@ -45,7 +45,7 @@ cat AS (SELECT measure_name, edition, arg_max(measure_id, p) AS measure_id, coal
   coalesce(list_sort(list(DISTINCT agency) FILTER (agency IS NOT NULL)), []) AS agencies, bool_or(f) AS has_financial_data FROM allrows GROUP BY ALL)"""
 HIERARCHY = f"""hr AS (SELECT pe.*, coalesce(formal_name, pe.agency) AS shown FROM pe LEFT JOIN disp USING (edition, agency)),
 hd AS (SELECT portfolio, shown, outcome_number, outcome_description FROM hr QUALIFY row_number() OVER (PARTITION BY portfolio, shown, outcome_number
-   ORDER BY edition = '2018-19 Budget' DESC, CASE WHEN edition = '2018-19 Budget' THEN -id ELSE id END) = 1),
+   ORDER BY edition = {LATEST} DESC, CASE WHEN edition = {LATEST} THEN -id ELSE id END) = 1),
 hier AS (SELECT DISTINCT portfolio, shown AS agency, outcome_number, hd.outcome_description, program_number, program_name
    FROM hr JOIN hd USING (portfolio, shown, outcome_number))"""
 

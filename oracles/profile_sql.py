@@ -4,7 +4,7 @@ from oracles.identity_sql import CAT, CELLS, DISPLAY, HIERARCHY, MT, RELATED, RE
 from oracles.scalar_sql import _BLANK, DOCS, canonical
 from oracles.search_sql import ENRICH, HITS, NEAR_DOCS
 from oracles.series_sql import SQL as SERIES_SQL
-from oracles.shared import ALIASES, MIP, PE, PE_ONLY, measure_id, stitch
+from oracles.shared import LATEST, ALIASES, MIP, PE, PE_ONLY, measure_id, stitch
 
 HEADS = """raw AS (SELECT measure_name, edition, measure_id, {portfolio} AS portfolio, agency, 0 AS p FROM mi UNION ALL SELECT measure_name, edition, measure_id, {portfolio}, agency, 1 FROM mp),
 heads AS (SELECT measure_name, edition, any_value(measure_id) AS measure_id, array_to_string(list_sort(list(DISTINCT portfolio)), '|') AS portfolios,
@@ -25,7 +25,7 @@ SQL = {
   program_number, is_departmental, program_name, outcome_number, outcome_description FROM resolved LEFT JOIN disp USING (edition, agency)""",
     "Q2_program_profile": SERIES_SQL["A2_program_profile"] + " WHERE program_name IN ('Brand#1', 'Brand#12', 'Brand#20')",
     "Q3_estimate_history": f"""WITH {PE}, meta AS (SELECT program_name, outcome_number, outcome_description FROM pe QUALIFY row_number() OVER (PARTITION BY program_name
-   ORDER BY edition = '2018-19 Budget' DESC, CASE WHEN edition = '2018-19 Budget' THEN id ELSE -id END) = 1),
+   ORDER BY edition = {LATEST} DESC, CASE WHEN edition = {LATEST} THEN id ELSE -id END) = 1),
 p AS (SELECT program_name, edition, budget_year, fiscal_year, estimate_type, sum(amount_thousands) AS a FROM pe GROUP BY ALL),
 v AS (SELECT program_name, edition, budget_year, string_agg(fiscal_year || ':' || estimate_type || ':' || CAST(a AS VARCHAR), ',' ORDER BY fiscal_year, estimate_type) AS series FROM p GROUP BY ALL),
 n AS (SELECT *, count(*) OVER (PARTITION BY program_name) AS c, row_number() OVER (PARTITION BY program_name ORDER BY budget_year, edition) - 1 AS i FROM v)

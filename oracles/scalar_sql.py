@@ -1,7 +1,7 @@
 """SQL for the column-function queries."""
 
 from oracles.shared import BASE, EDITIONS, fy, measure_id
-from vintagebook.functions.fixed import PORTFOLIO_FAMILIES, PORTFOLIO_VARIANTS
+from vintagebook.functions.fixed import PORTFOLIO_FAMILIES, PORTFOLIO_NAMES
 from vintagebook.plans.bindings import RAW_PORTFOLIOS
 
 _BLANK = "[\\s\\p{Z}\\x1c-\\x1f\\x{85}]+"
@@ -16,7 +16,7 @@ DOCS = f"""
 docs AS (
   SELECT doc_id, lang, source, text,
     CASE WHEN doc_id % 4 = 0 AND p_name IS NOT NULL THEN p_type || ' - ' || p_name ELSE source || ' - write-up ' || CAST(doc_id AS VARCHAR) END AS measure_name,
-    {array(EDITIONS)}[doc_id % 9 + 1] AS edition,
+    {array(EDITIONS)}[doc_id % len({array(EDITIONS)}) + 1] AS edition,
     {array(RAW_PORTFOLIOS)}[CAST(replace(source, 'src', '') AS INT) % 20 + 1] AS portfolio,
     CASE lang WHEN 'en' THEN 'payment' WHEN 'fr' THEN 'receipt' ELSE 'capital' END AS document_section,
     CAST(doc_id % 300 + 1 AS INT) AS source_page, string_split(text, chr(10)) AS lines
@@ -28,7 +28,7 @@ def canonical(raw: str) -> str:
     bare = (
         f"regexp_replace(regexp_replace(regexp_replace(trim({raw}), '^\\d{{4}}-\\d{{2}}\\s+(PAES|PBS|MYEFO)\\s+', '', 'i'), '([A-Za-z])\\d+$', '\\1'), '\\s+', ' ', 'g')"
     )
-    pairs = [(v, name) for name, variants in PORTFOLIO_VARIANTS.items() for v in variants]
+    pairs = list(PORTFOLIO_NAMES.items())
     keys = "[" + ", ".join(_Q(v) for v, _ in pairs) + "]"
     names = "[" + ", ".join(_Q(n) for _, n in pairs) + "]"
     return (

@@ -1,6 +1,6 @@
 """SQL for the series queries."""
 
-from oracles.shared import ALIASES, MI, MR, PE, PE_ONLY, eord, stitch
+from oracles.shared import LATEST, ALIASES, MI, MR, PE, PE_ONLY, eord, stitch
 
 SLICE = "NOT (edition = '2016-17 October Budget' AND fiscal_year = '2015-16')"
 SPELL = """
@@ -40,7 +40,7 @@ SQL = {
     "A1_stitched_series_prefer_earliest": f"WITH {PE} {stitch('pe', 'program_name', earliest=True)}",
     "A2_program_profile": f"""WITH {PE}, st AS ({stitch('pe', 'program_name')}), meta AS (
   SELECT * FROM (SELECT program_name, outcome_number, outcome_description, row_number() OVER (PARTITION BY program_name ORDER BY
-     CASE WHEN edition = '2018-19 Budget' THEN 0 ELSE 1 END, CASE WHEN edition = '2018-19 Budget' THEN id ELSE -id END) AS rn FROM pe) WHERE rn = 1)
+     CASE WHEN edition = {LATEST} THEN 0 ELSE 1 END, CASE WHEN edition = {LATEST} THEN id ELSE -id END) AS rn FROM pe) WHERE rn = 1)
 SELECT st.*, outcome_number, outcome_description FROM st JOIN meta USING (program_name)""",
     "A3_vintage_history": f"""WITH {PE}, p AS (SELECT program_name, edition, budget_year, fiscal_year, estimate_type, sum(amount_thousands) AS a FROM pe GROUP BY ALL)
 SELECT program_name, edition, budget_year,
@@ -85,8 +85,8 @@ s AS (SELECT measure_name, edition, agency, coalesce(min(CASE WHEN a <> 0 THEN f
 SELECT s.measure_name, s.edition, s.agency, y.fiscal_year FROM s JOIN y fy ON fy.edition = s.edition AND fy.fiscal_year = s.f
 JOIN y ON y.edition = s.edition AND y.pos >= fy.pos AND (y.fiscal_year <= s.l OR y.pos <= fy.pos + 3)""",
     "W6_latest_meta": f"""WITH {PE} SELECT agency, program_name, edition, outcome_number, outcome_description FROM pe
-QUALIFY row_number() OVER (PARTITION BY agency, program_name ORDER BY edition = '2018-19 Budget' DESC,
-  CASE WHEN edition = '2018-19 Budget' THEN id ELSE -id END) = 1""",
+QUALIFY row_number() OVER (PARTITION BY agency, program_name ORDER BY edition = {LATEST} DESC,
+  CASE WHEN edition = {LATEST} THEN id ELSE -id END) = 1""",
     "W7_vintage_shade": f"""WITH {PE}, v AS (SELECT DISTINCT program_number, edition, budget_year FROM pe),
 n AS (SELECT *, count(*) OVER (PARTITION BY program_number) AS n, row_number() OVER (PARTITION BY program_number ORDER BY budget_year, edition) - 1 AS i FROM v)
 SELECT program_number, edition, budget_year, round(CASE WHEN n = 1 THEN 1.0 ELSE CAST(i AS DOUBLE) / (n - 1) END, 6) AS shade FROM n""",
@@ -105,10 +105,9 @@ SELECT *, amount_thousands - previous_amount AS revision FROM q""",
     "A11_trend": f"WITH {PE}, {CLEAN} SELECT fiscal_year, CAST(sum(amount_thousands) AS BIGINT) AS amount_thousands FROM clean GROUP BY ALL",
     "A11_trend_by_portfolio": f"WITH {PE}, {CLEAN} SELECT fiscal_year, portfolio_key, CAST(sum(amount_thousands) AS BIGINT) AS amount_thousands FROM clean GROUP BY ALL",
     "Q14_top_portfolios_pivot": f"""WITH {PE}, ac AS (SELECT * FROM pe WHERE estimate_type = 'estimated_actual'), g AS ({top('ac', 'portfolio', 3)})
-SELECT label_group, CAST(sum(CASE WHEN fiscal_year = '2014-15' THEN amount_thousands END) AS BIGINT) AS fy_2014_15,
-  CAST(sum(CASE WHEN fiscal_year = '2015-16' THEN amount_thousands END) AS BIGINT) AS fy_2015_16,
-  CAST(sum(CASE WHEN fiscal_year = '2016-17' THEN amount_thousands END) AS BIGINT) AS fy_2016_17,
-  CAST(sum(CASE WHEN fiscal_year = '2017-18' THEN amount_thousands END) AS BIGINT) AS fy_2017_18 FROM g GROUP BY ALL""",
+SELECT label_group, """ + ", ".join(
+        f"CAST(sum(CASE WHEN fiscal_year = '{y}-{(y + 1) % 100}' THEN amount_thousands END) AS BIGINT) AS fy_{y}_{(y + 1) % 100}" for y in range(2014, 2022)
+    ) + " FROM g GROUP BY ALL",
     "A18_distinct_counts": f"""WITH {PE} SELECT portfolio, count(DISTINCT agency) AS n_agencies, count(DISTINCT program_name) AS n_programs,
   round(avg(CASE WHEN coalesce(outcome_description, '') = '' THEN 1.0 ELSE 0.0 END), 6) AS missing_share FROM pe GROUP BY ALL""",
     "A19_top_groups": f"WITH {PE}, ac AS (SELECT * FROM pe WHERE estimate_type = 'estimated_actual') {top('ac', 'program_name', 3, 'agency')}",
@@ -116,10 +115,6 @@ SELECT label_group, CAST(sum(CASE WHEN fiscal_year = '2014-15' THEN amount_thous
 u AS (SELECT agency, budget_year, program_name, outcome_number, CASE WHEN count(DISTINCT d) = 1 THEN min(d) END AS o FROM r GROUP BY ALL)
 SELECT agency, outcome_number, coalesce(u.o, r.d, 'Outcome ' || CAST(outcome_number AS VARCHAR) || ' (no description in source)') AS outcome_label, count(*) AS n
 FROM r JOIN u USING (agency, budget_year, program_name, outcome_number) GROUP BY ALL""",
-    "A21_clustered_labels": f"""WITH {PE}, l AS (SELECT agency, lower(outcome_description) AS kind,
-   lower(outcome_description) || ' ' || lower(outcome_description) || CASE WHEN outcome_number % 2 = 0 THEN ' servicces' ELSE ' services' END AS label, min(id) AS f
-   FROM pe GROUP BY ALL)
-SELECT agency, label, first(label) OVER (PARTITION BY agency, kind ORDER BY f) AS cluster FROM l""",
     "Q14_outcome_profile": f"""WITH {PE}, {CLEAN} {top('clean', 'outcome_label', 4, 'agency')}""",
     "Q14_program_profile": f"""WITH {PE}, {CLEAN}, c AS (SELECT * FROM clean WHERE contains(lower(outcome_label), 'promo')) {top('c', 'program_name', 3, 'agency')}""",
     "Q15_program_comparison": f"WITH {PE}, st AS ({stitch('pe', 'program_name')}) SELECT program_name, " + ", ".join(

@@ -16,7 +16,8 @@ def eord(edition: str) -> str:
 
 BASE = f"""
 joined AS (
-  SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 AS id, l_suppkey, p_name, p_type, p_brand,
+  SELECT ('0x' || substr(sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_quantity * 100) AS BIGINT),
+           CAST(round(l_extendedprice * 100) AS BIGINT), CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT), strftime(l_shipdate, '%Y%m%d%H%M%S'))), 1, 15))::BIGINT AS id, l_suppkey, p_name, p_type, p_brand,
          l_returnflag, l_linestatus, r_name, n_name, n_nationkey,
          CAST(year(o_orderdate) AS INT) + 20 AS order_year, month(o_orderdate) AS om,
          CAST(year(l_shipdate) AS INT) - CAST(year(o_orderdate) AS INT) AS gap,
@@ -24,14 +25,13 @@ joined AS (
          CAST(p_size % 5 + 1 AS INT) AS outcome_number, CAST(replace(p_brand, 'Brand#', '') AS INT) AS brand
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
   JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
-  WHERE o_orderdate < TIMESTAMP '1999-01-01'
 ), base AS (
   SELECT *, {fy('order_year')} || CASE WHEN om > 6 THEN ' MYEFO' WHEN order_year = 2016 AND om <= 3 THEN ' March Budget'
            WHEN order_year = 2016 THEN ' October Budget' ELSE ' Budget' END AS edition,
          {fy('order_year')} AS budget_year, {fy('order_year + gap')} AS fiscal_year,
-         CASE gap WHEN -1 THEN 'estimated_actual' WHEN 0 THEN 'budget' ELSE 'forward_estimate' END AS estimate_type,
+         CASE WHEN gap < 0 THEN 'estimated_actual' WHEN gap = 0 THEN 'budget' ELSE 'forward_estimate' END AS estimate_type,
          CASE WHEN order_year % 2 = 0 THEN 'N' ELSE 'OCT N' END || CAST(n_nationkey AS VARCHAR) AS short_name
-  FROM joined WHERE gap BETWEEN -1 AND 3
+  FROM joined
 )"""
 
 PE = BASE + """, pe AS (
@@ -74,9 +74,10 @@ MIP = MI + f""", mp AS (
 )"""
 PE_ONLY = PE[len(BASE):]
 
+LATEST = f"(SELECT {fy('max(CAST(year(o_orderdate) AS INT)) + 20')} || ' Budget' FROM orders WHERE month(o_orderdate) <= 6)"
 EDITIONS = [
-    "2015-16 Budget", "2015-16 MYEFO", "2016-17 March Budget", "2016-17 October Budget", "2016-17 MYEFO",
-    "2017-18 Budget", "2017-18 MYEFO", "2018-19 Budget", "2018-19 MYEFO",
+    f"{y}-{(y + 1) % 100} {kind}" for y in range(2015, 2022)
+    for kind in (("March Budget", "October Budget", "MYEFO") if y == 2016 else ("Budget", "MYEFO"))
 ]
 _LIST = "[" + ", ".join(f"'{e}'" for e in EDITIONS) + "]"
 ALIASES = f"""
@@ -93,7 +94,7 @@ al AS (
 )"""
 
 
-def stitch(source: str, keys: str, latest: str = "2018-19 Budget", earliest: bool = False) -> str:
+def stitch(source: str, keys: str, latest: str = LATEST, earliest: bool = False) -> str:
     """SQL for the stitched series of ``source`` by ``keys``."""
     order = eord("edition") + (" ASC, edition DESC" if earliest else " DESC, edition DESC")
     return f"""
@@ -102,5 +103,5 @@ SELECT {keys}, fiscal_year, estimate_type, edition, amount_thousands FROM (
       CASE WHEN estimate_type = 'estimated_actual' THEN 0 ELSE 1 END, {order}, CASE estimate_type WHEN 'budget' THEN 0 ELSE 1 END) AS rn
   FROM (SELECT {keys}, fiscal_year, estimate_type, edition, CAST(sum(amount_thousands) AS BIGINT) AS amount_thousands
         FROM {source} GROUP BY {keys}, fiscal_year, estimate_type, edition)
-  WHERE estimate_type = 'estimated_actual' OR edition = '{latest}')
+  WHERE estimate_type = 'estimated_actual' OR edition = {latest})
 WHERE rn = 1"""

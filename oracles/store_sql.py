@@ -29,12 +29,12 @@ UNION ALL SELECT measure_id, 'phrase', 0, 0, source || '.pdf' FROM wu UNION ALL
 UNION ALL SELECT 'old-' || measure_id, 'delete' FROM mt WHERE CAST(measure_id AS BIGINT) % 5 = 2""",
     "S8_reconciled_collection": f"WITH {MT}, {DOCUMENT} SELECT id, md5(document) AS digest FROM doc",
     "S9_assembled_documents": f"WITH {MT}, {DOCUMENT} SELECT id, md5(document) AS digest, length(document) AS n_chars, measure_name, edition, portfolio FROM doc",
-    "S10_ingest_audit": f"""WITH {PEF}, {ALF}, r AS (SELECT * FROM pe WHERE agency <> 'N3'), f AS (SELECT DISTINCT source_file FROM al), c AS (SELECT f.source_file, count(r.id) AS n FROM f LEFT JOIN r USING (source_file) GROUP BY ALL),
+    "S10_ingest_audit": f"""WITH {PEF}, {ALF}, r AS (SELECT * FROM pe), f AS (SELECT DISTINCT source_file FROM al), c AS (SELECT f.source_file, count(r.id) AS n FROM f LEFT JOIN r USING (source_file) GROUP BY ALL),
 k AS (SELECT amount_thousands, first(amount_thousands) OVER (PARTITION BY {DUP} ORDER BY id) AS kept FROM r)
 SELECT count(*) AS files_scanned, count(*) FILTER (n > 0) AS files_with_records, count(*) FILTER (n = 0) AS files_without_records, CAST(sum(n) AS BIGINT) AS rows,
   (SELECT count(*) FROM k WHERE amount_thousands <> kept) AS conflicting_duplicates FROM c""",
-    "S10_files_without_records": f"WITH {PEF}, {ALF} SELECT DISTINCT source_file FROM al WHERE source_file NOT IN (SELECT source_file FROM pe WHERE agency <> 'N3')",
+    "S10_files_without_records": f"WITH {PEF}, {ALF} SELECT DISTINCT source_file FROM al WHERE source_file NOT IN (SELECT source_file FROM pe)",
     "S11_isolated_errors": """WITH d AS (SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.xlsx' AS source_file, len(string_split(text, chr(10))) AS n FROM documents)
 SELECT source_file, CASE WHEN n < 2 THEN 0 ELSE n END AS n_cells, CASE WHEN n < 2 THEN 'ValueError(''a single line'')' END AS error FROM d""",
-    "S12_append_and_count": f"WITH {MT} SELECT 2 * count(*) AS rows, count(*) AS first_append, count(*) AS second_append FROM mt",
+    "S12_append_and_count": f"WITH {MT} SELECT 3 * count(*) AS rows, count(*) AS first_append, count(*) AS second_append FROM mt",
 }

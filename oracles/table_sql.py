@@ -4,7 +4,7 @@ from oracles.shared import BASE, fy
 
 FACTS = BASE + """, wb AS (
   SELECT *, edition || '/' || r_name || '/' || short_name || ' S' || CAST(l_suppkey AS VARCHAR) || '.xlsx' AS source_file, l_suppkey AS supplier,
-         l_suppkey % 5 AS v, l_suppkey // 5 % 3 AS h FROM base
+         l_suppkey % 5 AS v, l_suppkey // 5 % 3 AS h FROM (SELECT * REPLACE (greatest(-1, least(3, gap)) AS gap) FROM base)
 ), prog AS (
   SELECT source_file, order_year, supplier, v, h, outcome_number AS k, brand AS b, gap, CAST(sum(amount_thousands) AS BIGINT) AS a FROM wb GROUP BY ALL
 ), sheet AS (
@@ -18,7 +18,7 @@ YEAR = fy("order_year + gap")
 LINES = BASE + """, wb AS (
   SELECT *, edition || '/' || r_name || '/' || short_name || ' S' || CAST(l_suppkey AS VARCHAR) || '.xlsx' AS source_file,
          short_name || ' S' || CAST(l_suppkey AS VARCHAR) AS own, p_type || ' - ' || p_name AS measure,
-         CASE WHEN l_returnflag = 'R' THEN 'receipt' ELSE 'payment' END AS direction, l_linestatus = 'O' AS dep FROM base
+         CASE WHEN l_returnflag = 'R' THEN 'receipt' ELSE 'payment' END AS direction, l_linestatus = 'O' AS dep FROM (SELECT * REPLACE (greatest(-1, least(3, gap)) AS gap) FROM base)
 ), ln AS (
   SELECT source_file, own, order_year, n_name, p_name, direction, measure, dep,
          CASE WHEN dep THEN CAST(outcome_number AS VARCHAR) ELSE CAST(outcome_number AS VARCHAR) || '.' || CAST(brand AS VARCHAR) END AS code,

@@ -46,7 +46,7 @@ SELECT doc, page, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY pos) A
     "T17_measures": f"""WITH {DL}, h AS (SELECT doc, measure_no, string_agg(text, ' ' ORDER BY line_no) AS title, arg_min(section, line_no) AS document_section, arg_min(page, line_no) AS source_page, arg_min(portfolio_no, line_no) AS portfolio_no
   FROM s2 WHERE style = 'heading' GROUP BY ALL), p AS (SELECT doc, portfolio_no, string_agg(replace(text, 'P ORTFOLIO', 'PORTFOLIO'), ' ' ORDER BY line_no) AS portfolio FROM s2 WHERE style = 'portfolio' GROUP BY ALL)
 SELECT doc, measure_no, regexp_replace(replace(title, '–', '-'), ' \\(a\\)$', '') AS measure_name, coalesce(portfolio, '') AS portfolio, document_section, source_page FROM h LEFT JOIN p USING (doc, portfolio_no)""",
-    "T18_financial_values": f"""WITH {DL}, {TABLES}, r AS (SELECT t.doc, t.measure_no, t.table_no * 100000 + 1 AS row_order, CASE WHEN h.cyc % 2 = 0 THEN 'Payment' ELSE 'Receipt' END AS impact_type, h.cyc % 2 <> 0 AS is_related,
+    "T18_financial_values": f"""WITH {DL}, {TABLES}, r AS (SELECT t.doc, t.measure_no, t.table_no * 4294967296 + 1 AS row_order, CASE WHEN h.cyc % 2 = 0 THEN 'Payment' ELSE 'Receipt' END AS impact_type, h.cyc % 2 <> 0 AS is_related,
   'Department' || CASE WHEN EXISTS (SELECT 1 FROM tp x WHERE x.doc = t.doc AND x.table_no = t.table_no AND x.step = 6) THEN ' and Trade' ELSE '' END AS department_name,
   [CAST(t.size % 6 AS VARCHAR), CAST(t.size AS VARCHAR) || '.5', '-', 'nfp'] AS vals FROM tp t JOIN tp h ON h.doc = t.doc AND h.line_no = t.table_no WHERE t.step = 5 AND t.style = 'table' AND t.table_no >= 0)
 SELECT doc, measure_no, row_order, impact_type, is_related, department_name, CAST(i AS INT) AS year_index, CASE WHEN vals[i + 1] = 'nfp' THEN 'special' ELSE 'numeric' END AS value_kind,

@@ -1,9 +1,10 @@
 import hashlib
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from vintagebook.operators import identity as I
-from vintagebook.operators import labels as L
 from vintagebook.operators import measures as M
 from vintagebook.operators import search as S
 from vintagebook.operators import series as T
@@ -85,13 +86,6 @@ def test_hot_agency_keeps_all_rows_in_lookups(spark):
     assert shown == {"Hot Agency": 666, "cold": 334}
 
 
-def test_label_clusters_are_greedy_and_leave_fallbacks_alone(spark):
-    labels = ["Protect the environments of Australia", "Protect the enivironments of Australia", "Outcome 1 (no description in source)", "Outcome 2 (no description in source)", "Fund schools"]
-    frame = spark.createDataFrame([("a", label, i) for i, label in enumerate(labels)], "agency string, label string, id int")
-    found = {r["label"]: r["cluster"] for r in L.clustered_labels(frame, ["agency"], "label", "id").collect()}
-    assert found == {labels[0]: labels[0], labels[1]: labels[0], labels[2]: labels[2], labels[3]: labels[3], labels[4]: labels[4]}
-
-
 def test_matrix_has_totals_and_zero_cells(spark):
     rows = spark.createDataFrame([("A", "payment", "2024-25", 5), ("B", "payment", "2025-26", 7), ("A", "receipt", "2024-25", -2)], "agency string, direction string, fiscal_year string, amount_thousands bigint")
     found = {(r["direction"], r["agency"], r["is_total"]): (r["fy_2024_25"], r["fy_2025_26"]) for r in M.impact_matrix(rows, [], ["2024-25", "2025-26"]).collect()}
@@ -172,3 +166,39 @@ def test_workbooks_are_listed_and_damaged_ones_isolated(spark, tmp_path):
 
     cells, errors = C.split_decoded(C.decoded_workbooks(spark, str(tmp_path), decoder))
     assert cells.count() == 1 and "damaged" in errors.first()["error"]
+
+
+def test_crowded_ids_are_those_of_going_through_the_keys_in_order(spark):
+    import hashlib
+
+    space = 80
+    keys = sorted((f"{2014 + i % 3}-15 Budget", f"Measure {i}") for i in range(70))
+    known = {("Measure 3", keys[0][0]): "00000005"}
+    taken, want = set(known.values()), dict(known)
+    for edition, name in keys:
+        salt = 0
+        while (name, edition) not in want:
+            digest = hashlib.sha256(f"{name}\x1f{edition}\x1f{salt}".encode()).hexdigest()
+            found = f"{int(digest[:12], 16) % space:08d}"
+            if found not in taken:
+                want[name, edition] = found
+                taken.add(found)
+            salt += 1
+    frame = spark.createDataFrame([(n, e) for e, n in keys], "measure_name string, edition string")
+    seeds = spark.createDataFrame([(n, e, i) for (n, e), i in known.items()], "measure_name string, edition string, measure_id string")
+    found = I.assign_measure_ids(frame, known=seeds, space=space).collect()
+    assert {(r["measure_name"], r["edition"]): r["measure_id"] for r in found} == want
+    with pytest.raises(ValueError):
+        I.assign_measure_ids(frame, space=60)
+
+
+def test_facts_and_lines_keep_all_rows(spark):
+    from vintagebook.plans.bindings import Bound
+
+    b = Bound(spark, "/root/testdata/sf0.001")
+    facts = b.program_expenses
+    assert facts.count() == b.table("lineitem").count() == facts.select("id").distinct().count()
+    lines = b.table("documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    text = b.measure_text.agg(F.sum(F.length(F.regexp_replace("full_measure_text", "\\s", "")))).first()[0]
+    kept = b.write_ups.select(F.explode("lines").alias("line"))
+    assert text == kept.agg(F.sum(F.length(F.regexp_replace("line", "\\s", "")))).first()[0] and kept.count() <= lines.count()

@@ -23,7 +23,10 @@ def con():
 
 
 def test_every_query_has_sql_and_the_other_way_round():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    statements = set(entry.oracle_sql())
+    assert statements <= set(entry.queries())
+    # those of the optional subpackage that SQL can't express are tested against brute force in tests/llm
+    assert {n for n in set(entry.queries()) - statements if not n.startswith("op") and n != "pipeline"} == set()
 
 
 def test_entry(spark):

@@ -33,60 +33,73 @@ PORTFOLIO_YEAR_PREFIX = "(?i)^\\d{4}-\\d{2}\\s+(?:PAES|PBS|MYEFO)\\s+"
 TITLE_OF_RESOURCE_TABLE = "(?i)^table\\s+1\\.1:?\\s*(.+?)\\s+resource\\s+statement"
 
 # --- fixed values: spellings of one portfolio, canonical name -> variants ------
-PORTFOLIO_VARIANTS = {
-    "Attorney-General's": [
-        "AG", "AGs", "ATTORNEY-GENERAL'S", "ATTORNEY-GENERAL’S", "Attorney General",
-        "Attorney General's", "Attorney-Generals", "Attorney-General’s", "Attorney‑General’s",
-    ],
-    "Agriculture": ["AGRICULTURE"],
-    "Agriculture and Water Resources": ["AGRICULTURE AND WATER RESOURCES"],
-    "Agriculture, Water and the Environment": ["Agriculture Water and the Environment", "AWE"],
-    "Agriculture, Fisheries and Forestry": ["DAFF"],
-    "Climate Change, Energy, the Environment and Water": ["CCEEW", "DCCEEW"],
-    "Environment": ["ENVIRONMENT"],
-    "Environment and Energy": ["ENVIRONMENT AND ENERGY"],
-    "Communications": ["COMMUNICATIONS"],
-    "Communications and the Arts": ["COMMUNICATIONS AND THE ARTS"],
-    "Cross Portfolio": ["CROSS PORTFOLIO"],
-    "Defence": ["DEFENCE"],
-    "Veterans' Affairs": [
-        "DVA", "VETERANS' AFFAIRS", "VETERANS’ AFFAIRS", "Veteran's Affairs", "Veterans",
-        "Veterans Affairs", "Veterans’ Affairs",
-    ],
-    "Education, Skills and Employment": ["DESE", "Education Skills and Employment"],
-    "Education": ["EDUCATION"],
-    "Education and Training": ["EDUCATION AND TRAINING"],
-    "Employment": ["EMPLOYMENT"],
-    "Employment and Workplace Relations": ["DEWR"],
-    "Finance": ["FINANCE"],
-    "Treasury": ["TREASURY"],
-    "Foreign Affairs and Trade": [
-        "DFAT", "FOREIGN AFFAIRS AND TRADE", "Foreign Affairs & Trade",
-        "Foreign Affiars and Trade", "Foriegn Affairs & Trade",
-    ],
-    "Health": ["HEALTH"],
-    "Home Affairs": ["HOME AFFAIRS"],
-    "Immigration and Border Protection": ["IMMIGRATION AND BORDER PROTECTION"],
-    "Human Services": ["HUMAN SERVICES", "Human Services (part of the Social Services Portfolio)"],
-    "Industry": ["INDUSTRY"],
-    "Industry, Science, Energy and Resources": ["DISER"],
-    "Industry, Innovation and Science": ["INDUSTRY, INNOVATION AND SCIENCE"],
-    "Infrastructure and Regional Development": [
-        "INFRASTRUCTURE AND REGIONAL DEVELOPMENT", "Infrastructure adn Regional Development",
-    ],
-    "Infrastructure, Regional Development and Cities": ["INFRASTRUCTURE, REGIONAL DEVELOPMENT AND CITIES"],
-    "Jobs and Innovation": [
-        "JOBS AND INNOVATION",
-        "Jobs and Innovation Portfolio (Department of Industry, Innovation and Science)",
-    ],
-    "Jobs and Small Business": [
-        "JOBS AND SMALL BUSINESS",
-        "Jobs and Innovation Portfolio (Department of Jobs and Small Business)",
-    ],
-    "Prime Minister and Cabinet": ["PM&C", "Prime Minister & Cabinet", "PRIME MINISTER AND CABINET"],
-    "Parliament": ["PARL", "PARLIAMENT"],
-    "Parliamentary Departments": ["Parliamentary Departments - Department of Parliamentary Services"],
-    "Social Services": ["SOCIAL SERVICES", "Social Services (Human Services)"],
+#: Spelling -> display name.
+PORTFOLIO_NAMES = {
+    "AG": "Attorney-General's",
+    "AGs": "Attorney-General's",
+    "ATTORNEY-GENERAL'S": "Attorney-General's",
+    "ATTORNEY-GENERAL’S": "Attorney-General's",
+    "Attorney General": "Attorney-General's",
+    "Attorney General's": "Attorney-General's",
+    "Attorney-Generals": "Attorney-General's",
+    "Attorney-General’s": "Attorney-General's",
+    "Attorney‑General’s": "Attorney-General's",
+    "AGRICULTURE": "Agriculture",
+    "AGRICULTURE AND WATER RESOURCES": "Agriculture and Water Resources",
+    "Agriculture Water and the Environment": "Agriculture, Water and the Environment",
+    "AWE": "Agriculture, Water and the Environment",
+    "DAFF": "Agriculture, Fisheries and Forestry",
+    "CCEEW": "Climate Change, Energy, the Environment and Water",
+    "DCCEEW": "Climate Change, Energy, the Environment and Water",
+    "ENVIRONMENT": "Environment",
+    "ENVIRONMENT AND ENERGY": "Environment and Energy",
+    "COMMUNICATIONS": "Communications",
+    "COMMUNICATIONS AND THE ARTS": "Communications and the Arts",
+    "CROSS PORTFOLIO": "Cross Portfolio",
+    "DEFENCE": "Defence",
+    "DVA": "Veterans' Affairs",
+    "VETERANS' AFFAIRS": "Veterans' Affairs",
+    "VETERANS’ AFFAIRS": "Veterans' Affairs",
+    "Veteran's Affairs": "Veterans' Affairs",
+    "Veterans": "Veterans' Affairs",
+    "Veterans Affairs": "Veterans' Affairs",
+    "Veterans’ Affairs": "Veterans' Affairs",
+    "DESE": "Education, Skills and Employment",
+    "Education Skills and Employment": "Education, Skills and Employment",
+    "EDUCATION": "Education",
+    "EDUCATION AND TRAINING": "Education and Training",
+    "EMPLOYMENT": "Employment",
+    "DEWR": "Employment and Workplace Relations",
+    "FINANCE": "Finance",
+    "TREASURY": "Treasury",
+    "DFAT": "Foreign Affairs and Trade",
+    "FOREIGN AFFAIRS AND TRADE": "Foreign Affairs and Trade",
+    "Foreign Affairs & Trade": "Foreign Affairs and Trade",
+    "Foreign Affiars and Trade": "Foreign Affairs and Trade",
+    "Foriegn Affairs & Trade": "Foreign Affairs and Trade",
+    "HEALTH": "Health",
+    "HOME AFFAIRS": "Home Affairs",
+    "IMMIGRATION AND BORDER PROTECTION": "Immigration and Border Protection",
+    "HUMAN SERVICES": "Human Services",
+    "Human Services (part of the Social Services Portfolio)": "Human Services",
+    "INDUSTRY": "Industry",
+    "DISER": "Industry, Science, Energy and Resources",
+    "INDUSTRY, INNOVATION AND SCIENCE": "Industry, Innovation and Science",
+    "INFRASTRUCTURE AND REGIONAL DEVELOPMENT": "Infrastructure and Regional Development",
+    "Infrastructure adn Regional Development": "Infrastructure and Regional Development",
+    "INFRASTRUCTURE, REGIONAL DEVELOPMENT AND CITIES": "Infrastructure, Regional Development and Cities",
+    "JOBS AND INNOVATION": "Jobs and Innovation",
+    "Jobs and Innovation Portfolio (Department of Industry, Innovation and Science)": "Jobs and Innovation",
+    "JOBS AND SMALL BUSINESS": "Jobs and Small Business",
+    "Jobs and Innovation Portfolio (Department of Jobs and Small Business)": "Jobs and Small Business",
+    "PM&C": "Prime Minister and Cabinet",
+    "Prime Minister & Cabinet": "Prime Minister and Cabinet",
+    "PRIME MINISTER AND CABINET": "Prime Minister and Cabinet",
+    "PARL": "Parliament",
+    "PARLIAMENT": "Parliament",
+    "Parliamentary Departments - Department of Parliamentary Services": "Parliamentary Departments",
+    "SOCIAL SERVICES": "Social Services",
+    "Social Services (Human Services)": "Social Services",
 }
 
 # --- fixed values: portfolio families, first family with a contained keyword wins
@@ -200,5 +213,3 @@ LABEL_LENGTH = 55
 TOPIC_DEFAULT, TOPIC_CAP = 30, 100
 TOP_GROUPS = 8
 MIN_TABLE_YEARS = 4
-CLUSTER_THRESHOLD = 0.90
-FALLBACK_LABEL = "^Outcome \\d+ \\(no description in source\\)$"

@@ -37,12 +37,7 @@ def strip_portfolio_prefix(raw: Column) -> Column:
 
 def canonical_portfolio(raw: Column) -> Column:
     """The portfolio's display name: prefix dropped, then an exact lookup of known variants."""
-    pairs = [
-        F.lit(x)
-        for name, variants in V.PORTFOLIO_VARIANTS.items()
-        for variant in variants
-        for x in (variant, name)
-    ]
+    pairs = [F.lit(x) for pair in V.PORTFOLIO_NAMES.items() for x in pair]
     bare = strip_portfolio_prefix(raw)
     known = F.coalesce(F.try_element_at(F.create_map(*pairs), bare), bare)
     return F.when(raw.isNull() | (raw == ""), raw).otherwise(known)

@@ -13,7 +13,7 @@ from vintagebook.functions.numbers import departmental_label, leading_outcome
 from vintagebook.functions.text import phrase_key
 from vintagebook.functions.years import budget_year_of, edition_order
 from vintagebook.operators.lookups import distinct_union, salted_lookup
-from vintagebook.session import cut_lineage
+from vintagebook.session import stored
 
 
 # --- agencies ------------------------------------------------------------------
@@ -184,19 +184,29 @@ def source_coverage(left: DataFrame, right: DataFrame) -> DataFrame:
 
 # --- ids -----------------------------------------------------------------------------------
 
+def _judged(proposals: DataFrame) -> DataFrame:
+    """Whether each proposal loses its id: to ids that were given before, or to an earlier key proposing the same."""
+    mine = F.struct("rank", *MEASURE_KEY)
+    winners = proposals.groupBy("measure_id").agg(F.min(mine).alias("winner"), F.count(F.lit(1)).alias("n"))
+    contested = winners.where(F.col("n") > 1).select("measure_id", "winner")
+    judged = proposals.join(contested, "measure_id", "left")
+    lost = F.col("taken") | (F.col("winner").isNotNull() & (F.col("winner") != mine))
+    return judged.select(*MEASURE_KEY, "rank", "salt", "measure_id", lost.alias("lost"))
+
+
 def assign_measure_ids(
     keys: DataFrame, order: Column | None = None, known: DataFrame | None = None, space: int = ids.ID_SPACE
 ) -> DataFrame:
     """One id per (measure_name, edition), collisions resolved as if keys came one at a time.
 
-    Every key proposes its id for salt 0, 1, ...; an id goes to the earliest key
-    that proposes it and everyone else moves to the next salt. Because all ids
-    prefer earlier keys this converges to the same answer as going through the
-    keys in order, but each round is one aggregation over all keys at once.
+    Every key proposes its id for salt 0, 1, ...; an id goes to the earliest key that
+    proposes it and everyone else moves to the next salt. Because all ids prefer earlier
+    keys this converges to the same answer as going through the keys in order.
     ``known`` rows (measure_name, edition, measure_id) keep their ids.
 
-    ``order`` ranks the keys (default: edition, then name). The rounds shrink fast:
-    with an id space of 10^8 only real hash collisions take part in a second one.
+    The first round settles all but real collisions and is stored once; later rounds
+    carry only the losers and the holders they now challenge. More keys than ids raise.
+    ``order`` ranks the keys (default: edition, then name).
     """
     rank = order if order is not None else F.struct("edition", "measure_name")
     fresh = keys.groupBy(*MEASURE_KEY).agg(F.min(rank).alias("rank"))
@@ -204,31 +214,30 @@ def assign_measure_ids(
     if known is not None:
         seeds = known.groupBy(*MEASURE_KEY).agg(F.max("measure_id").alias("measure_id"))
         fresh = fresh.join(seeds.select(*MEASURE_KEY), MEASURE_KEY, "left_anti")
-        taken = seeds.select("measure_id").distinct().withColumn("taken", F.lit(True))
-
-    state = fresh.withColumn("salt", F.lit(0))
-    while True:
-        proposed = state.withColumn("measure_id", ids.measure_id(F.col("measure_name"), F.col("edition"), F.col("salt"), space))
-        if seeds is not None:
-            proposed = proposed.join(taken, "measure_id", "left")
-        else:
-            proposed = proposed.withColumn("taken", F.lit(None).cast("boolean"))
-        winners = proposed.groupBy("measure_id").agg(
-            F.min(F.struct("rank", *MEASURE_KEY)).alias("winner"), F.count(F.lit(1)).alias("n")
-        )
-        contested = winners.where(F.col("n") > 1).select("measure_id", "winner")
-        judged = proposed.join(contested, "measure_id", "left")
-        mine = F.struct("rank", *MEASURE_KEY)
-        lost = F.coalesce("taken", F.lit(False)) | (F.col("winner").isNotNull() & (F.col("winner") != mine))
-        judged = judged.withColumn("lost", lost).select(*MEASURE_KEY, "rank", "salt", "measure_id", "lost")
-        judged = cut_lineage(judged)
-        if judged.where("lost").isEmpty():
-            break
-        state = judged.select(*MEASURE_KEY, "rank", (F.col("salt") + F.col("lost").cast("int")).alias("salt"))
-    assigned = judged.select(*MEASURE_KEY, "measure_id", "salt")
+
+    def proposed(rows: DataFrame) -> DataFrame:
+        out = rows.withColumn("measure_id", ids.measure_id(F.col("measure_name"), F.col("edition"), F.col("salt"), space))
+        if seeds is None:
+            return out.withColumn("taken", F.lit(False))
+        taken = seeds.select("measure_id", F.lit(True).alias("taken")).distinct()
+        return out.join(taken, "measure_id", "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+
+    first = stored(_judged(proposed(fresh.withColumn("salt", F.lit(0)))))
+    if first.count() + (seeds.count() if seeds is not None else 0) > space:
+        raise ValueError(f"more keys than the {space} ids there are")
+    settled, moved = first.where("not lost").drop("lost"), stored(first.where("lost"))
+    while not moved.where("lost").isEmpty():
+        again = proposed(moved.where("lost").select(*MEASURE_KEY, "rank", (F.col("salt") + 1).alias("salt")))
+        asked = again.select("measure_id").distinct()
+        calm = moved.where("not lost")
+        holders = settled.join(asked, "measure_id", "left_semi").join(moved.select(*MEASURE_KEY), MEASURE_KEY, "left_anti")
+        holders = holders.unionByName(calm.drop("lost").join(asked, "measure_id", "left_semi")).withColumn("taken", F.lit(False))
+        rest = calm.join(asked, "measure_id", "left_anti")
+        moved = stored(_judged(again.unionByName(holders)).unionByName(rest))
+    kept = settled.join(moved.select(*MEASURE_KEY), MEASURE_KEY, "left_anti").unionByName(moved.drop("lost"))
+    assigned = kept.select(*MEASURE_KEY, "measure_id", "salt")
     if seeds is not None:
-        kept = seeds.select(*MEASURE_KEY, "measure_id", F.lit(0).alias("salt"))
-        assigned = assigned.unionByName(kept)
+        assigned = assigned.unionByName(seeds.select(*MEASURE_KEY, "measure_id", F.lit(0).alias("salt")))
     return assigned
 
 

@@ -1,26 +1,28 @@
 """The logical tables as views over a TPC-H-like schema plus documents and vectors.
 
-Every view keeps all rows it is made from and prunes columns early; nothing here
-samples. Years are moved by 20 so that they read like the source's years.
+Every view keeps all rows it is made from and prunes columns early. Years are moved by
+20 so that they read like the source's years; a figure for a year before its
+publication is an actual, for the same year a budget, for a later one a forward estimate.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintagebook.functions.ids import measure_id
 from vintagebook.functions.years import budget_year_of, fiscal_year_label
 from vintagebook.operators.measures import combine_impacts, first_of_duplicates, programs_touched
 
-LATEST = "2018-19 Budget"
 YEAR_SHIFT = 20
-FISCAL_YEARS = ["2014-15", "2015-16", "2016-17", "2017-18", "2018-19", "2019-20", "2020-21", "2021-22"]
+#: Years a matrix or pivot is asked for: arguments of those queries, wide enough for all years of the tables.
+FISCAL_YEARS = [f"{y}-{(y + 1) % 100}" for y in range(2014, 2022)]
+#: Editions of the alias table and of write-ups; 2016-17 has two budgets.
 EDITIONS = [
-    "2015-16 Budget", "2015-16 MYEFO", "2016-17 March Budget", "2016-17 October Budget", "2016-17 MYEFO",
-    "2017-18 Budget", "2017-18 MYEFO", "2018-19 Budget", "2018-19 MYEFO",
+    f"{y}-{(y + 1) % 100} {kind}" for y in range(2015, 2022)
+    for kind in (("March Budget", "October Budget", "MYEFO") if y == 2016 else ("Budget", "MYEFO"))
 ]
 RAW_PORTFOLIOS = [
     "AG", "DFAT", "PM&C", "Veterans", "DAFF", "2020-21 PAES AGs", "2021-22 PBS PM&C1", "HEALTH", "Health",
@@ -29,6 +31,12 @@ RAW_PORTFOLIOS = [
 ]
 
 
+def row_id(*key: Column | str) -> Column:
+    """A number for a row from all of its key: 60 bits of a digest."""
+    text = F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in key])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+
+
 class Bound:
     """Lazily built logical tables over one directory of Parquet files."""
 
@@ -38,14 +46,18 @@ class Bound:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
+    @cached_property
+    def latest(self) -> str:
+        """The latest plain budget there is an order for: one value, asked for once."""
+        year = self.table("orders").where(F.month("o_orderdate") <= 6).agg(F.max(F.year("o_orderdate")) + YEAR_SHIFT).first()[0]
+        return f"{year}-{(year + 1) % 100:02d} Budget"
+
     # --- facts -------------------------------------------------------------------
 
     @cached_property
     def base(self) -> DataFrame:
         """Line items with order, part and supplier: the wide join all fact views share."""
-        raw = self.table("orders")
-        limit = F.lit("1999-01-01").cast(raw.schema["o_orderdate"].dataType)  # same type, so that the filter reaches the scan
-        orders = raw.where(F.col("o_orderdate") < limit).select(
+        orders = self.table("orders").select(
             F.col("o_orderkey").alias("l_orderkey"),
             (F.year("o_orderdate") + YEAR_SHIFT).alias("order_year"), F.month("o_orderdate").alias("order_month"),
         )
@@ -56,13 +68,11 @@ class Bound:
         suppliers = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey").join(places, "s_nationkey")
         items = self.table("lineitem").select(
             "l_orderkey", "l_partkey", "l_suppkey",
-            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey") % 1_000_000).alias("id"),
+            row_id("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.round(F.col(c) * 100).cast("long") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")], F.date_format("l_shipdate", "yyyyMMddHHmmss")).alias("id"),
             (F.year("l_shipdate") + YEAR_SHIFT).alias("ship_year"),
             F.round("l_extendedprice").cast("long").alias("amount_thousands"), "l_returnflag", "l_linestatus",
         )
-        joined = items.join(orders, "l_orderkey").where(
-            (F.col("ship_year") - F.col("order_year")).between(-1, 3)
-        ).join(parts, "l_partkey").join(suppliers, "l_suppkey")
+        joined = items.join(orders, "l_orderkey").join(parts, "l_partkey").join(suppliers, "l_suppkey")
         year = F.col("order_year")
         half = (
             F.when(F.col("order_month") > 6, F.lit(" MYEFO"))
@@ -72,7 +82,7 @@ class Bound:
         )
         short = F.concat(F.when(year % 2 == 0, F.lit("N")).otherwise(F.lit("OCT N")), F.col("s_nationkey").cast("string"))
         gap = F.col("ship_year") - year
-        kind = F.when(gap == -1, "estimated_actual").when(gap == 0, "budget").otherwise("forward_estimate")
+        kind = F.when(gap < 0, "estimated_actual").when(gap == 0, "budget").otherwise("forward_estimate")
         return joined.select(
             "id", "l_suppkey", "p_name", "p_type", "l_returnflag", "l_linestatus", "r_name", "n_name", "p_brand",
             year.alias("order_year"), gap.alias("gap"), "amount_thousands",
@@ -124,8 +134,7 @@ class Bound:
     def _numbered(rows: DataFrame, *extra: str) -> DataFrame:
         """Add the measure id and a row id made from the row's own key."""
         key = F.concat_ws("|", "edition", "measure_name", "agency", "direction", *[F.col(c).cast("string") for c in extra])
-        row_id = F.conv(F.substring(F.sha2(key, 256), 1, 15), 16, 10).cast("long")
-        return rows.withColumn("measure_id", measure_id(F.col("measure_name"), F.col("edition"))).withColumn("id", row_id)
+        return rows.withColumn("measure_id", measure_id(F.col("measure_name"), F.col("edition"))).withColumn("id", row_id(key))
 
     @cached_property
     def agency_aliases(self) -> DataFrame:
@@ -178,7 +187,7 @@ class Bound:
 
     @cached_property
     def measure_text(self) -> DataFrame:
-        prose = F.filter("lines", lambda line, i: (i % 3 == 0) & (F.trim(line) != ""))
+        prose = F.filter("lines", lambda line: F.trim(line) != "")
         return self.write_ups.select(
             "measure_id", "measure_name", "edition", "portfolio", "document_section", "source_page",
             F.array_join(prose, "\n\n").alias("full_measure_text"), "source_file", F.col("doc_id").alias("id"),
@@ -198,14 +207,13 @@ class Bound:
     @cached_property
     def related(self) -> DataFrame:
         """Phrases per write-up: the text of a measure name as prose would print it, and one that names nothing."""
-        parts = self.table("part").select((F.col("p_partkey") % 1_000_000).alias("doc_id"), "p_type", "p_name", "p_size")
-        named = self.write_ups.select("doc_id", "measure_id").join(parts, "doc_id")
+        parts = self.table("part").select(F.col("p_partkey").alias("doc_id"), "p_type", "p_name", "p_size")
+        named = self.write_ups.select("doc_id", "measure_id").join(parts, "doc_id", "left")
         name = F.concat_ws(" - ", "p_type", "p_name")
         printed = F.when(F.col("p_size") % 2 == 0, F.concat_ws(" – ", F.upper("p_type"), F.upper("p_name"))).otherwise(name)
         none = F.concat(F.lit("Act "), F.col("doc_id").cast("string"))
-        return named.select("measure_id", F.posexplode(F.array(printed, none)).alias("ordinal", "phrase")).withColumnRenamed(
-            "measure_id", "text_id"
-        )
+        both = named.select("measure_id", F.posexplode(F.array(printed, none)).alias("ordinal", "phrase"))
+        return both.where("phrase is not null and phrase <> ''").withColumnRenamed("measure_id", "text_id")
 
     @cached_property
     def financials(self) -> DataFrame:

@@ -115,10 +115,9 @@ def catalogue(b: Bound) -> DataFrame:
 
 @query("A9_hierarchy")
 def hierarchy(b: Bound) -> DataFrame:
-    from vintagebook.plans.bindings import LATEST
     from vintagebook.plans.profiles import program_hierarchy
 
-    return program_hierarchy(b.program_expenses, b.agency_aliases, LATEST)
+    return program_hierarchy(b.program_expenses, b.agency_aliases, b.latest)
 
 
 @query("A10_conflicting_duplicates")
@@ -290,7 +289,7 @@ def seeded(b: Bound) -> DataFrame:
 def crowded(b: Bound) -> DataFrame:
     """An id space hardly larger than the number of keys: collisions everywhere, all ids still distinct."""
     keys = b.documents.select(*MEASURE_KEY).distinct()
-    out = I.assign_measure_ids(keys, space=1_000_000)
+    out = I.assign_measure_ids(keys, space=keys.count() * 5 // 4 + 1)
     return out.agg(F.count(F.lit(1)).alias("n_keys"), F.count_distinct("measure_id").alias("n_ids"))
 
 

@@ -12,7 +12,7 @@ from vintagebook.operators import series as R
 from vintagebook.operators.identity import MEASURE_KEY
 from vintagebook.plans import comparison as C
 from vintagebook.plans import profiles as P
-from vintagebook.plans.bindings import FISCAL_YEARS, LATEST, Bound
+from vintagebook.plans.bindings import FISCAL_YEARS, Bound
 from vintagebook.plans.registry import query
 from vintagebook.plans.search_queries import TEXT_QUERY, TOPIC_QUERIES, _texts_by_document
 
@@ -41,12 +41,12 @@ def programs(b: Bound) -> DataFrame:
 
 @query("Q2_program_profile")
 def program_profile(b: Bound) -> DataFrame:
-    return P.program_profile(b.program_expenses, LATEST, ["Brand#1", "Brand#12", "Brand#20"])
+    return P.program_profile(b.program_expenses, b.latest, ["Brand#1", "Brand#12", "Brand#20"])
 
 
 @query("Q3_estimate_history")
 def history(b: Bound) -> DataFrame:
-    parts = P.estimate_history(b.program_expenses, LATEST)
+    parts = P.estimate_history(b.program_expenses, b.latest)
     point = F.transform("series", lambda p: F.concat_ws(":", p["fiscal_year"], p["estimate_type"], p["amount_thousands"].cast("string")))
     vintages = parts["vintages"].select("program_name", "edition", "budget_year", F.round("shade", 6).alias("shade"), F.array_join(point, ",").alias("series"))
     return vintages.join(parts["meta"], "program_name")
@@ -54,19 +54,19 @@ def history(b: Bound) -> DataFrame:
 
 @query("Q4_program_hierarchy")
 def hierarchy(b: Bound) -> DataFrame:
-    return P.program_hierarchy(b.program_expenses, b.agency_aliases, LATEST)
+    return P.program_hierarchy(b.program_expenses, b.agency_aliases, b.latest)
 
 
 @query("Q5_portfolio_profile")
 def portfolio_profile(b: Bound) -> DataFrame:
     wanted = b.program_expenses.where("budget_year = '2017-18'").select("portfolio", "budget_year").distinct()
-    return P.portfolio_profile(b.program_expenses, b.agency_aliases, LATEST, wanted)
+    return P.portfolio_profile(b.program_expenses, b.agency_aliases, b.latest, wanted)
 
 
 @query("Q6_agency_outcome_profile")
 def agency_outcomes(b: Bound) -> DataFrame:
     requests = b.measure_impacts.where("edition = '2018-19 Budget'").select("agency", "portfolio", F.lit("2018-19").alias("budget_year"))
-    return P.agency_outcome_profile(b.program_expenses, b.agency_aliases, LATEST, requests)
+    return P.agency_outcome_profile(b.program_expenses, b.agency_aliases, b.latest, requests)
 
 
 def _write_up(b: Bound) -> dict[str, DataFrame]:
@@ -144,7 +144,7 @@ def combined_summary(b: Bound) -> DataFrame:
 
 @query("Q15_program_matrix")
 def program_matrix(b: Bound) -> DataFrame:
-    series = R.stitched_series(b.program_expenses, ["portfolio", "program_name"], LATEST)
+    series = R.stitched_series(b.program_expenses, ["portfolio", "program_name"], b.latest)
     return R.pivot_years(series, ["portfolio", "program_name"], FISCAL_YEARS)
 
 
@@ -156,4 +156,4 @@ def overlay_agencies(b: Bound) -> DataFrame:
 @query("Q16_agency_overlay")
 def overlay(b: Bound) -> DataFrame:
     resolved = I.resolve_programs(b.measure_programs, b.program_expenses, b.agency_aliases)
-    return C.agency_overlay(resolved, b.measure_impacts, b.program_expenses, LATEST, MEASURE_KEY)
+    return C.agency_overlay(resolved, b.measure_impacts, b.program_expenses, b.latest, MEASURE_KEY)

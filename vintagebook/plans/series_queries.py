@@ -9,7 +9,7 @@ from vintagebook.operators import measures as M
 from vintagebook.operators import series as S
 from vintagebook.plans import profiles as P
 from vintagebook.plans import trends as T
-from vintagebook.plans.bindings import FISCAL_YEARS, LATEST, Bound
+from vintagebook.plans.bindings import FISCAL_YEARS, Bound
 from vintagebook.plans.registry import query
 
 PROGRAM = ["program_name"]
@@ -18,22 +18,22 @@ SLICE = ("2016-17 October Budget", "2015-16")
 
 @query("A1_stitched_series")
 def stitched(b: Bound) -> DataFrame:
-    return S.stitched_series(b.program_expenses, PROGRAM, LATEST)
+    return S.stitched_series(b.program_expenses, PROGRAM, b.latest)
 
 
 @query("A1_stitched_series_per_agency_outcome")
 def stitched_fine(b: Bound) -> DataFrame:
-    return S.stitched_series(b.program_expenses, ["portfolio", "agency", "outcome_number", "program_name"], LATEST)
+    return S.stitched_series(b.program_expenses, ["portfolio", "agency", "outcome_number", "program_name"], b.latest)
 
 
 @query("A1_stitched_series_prefer_earliest")
 def stitched_earliest(b: Bound) -> DataFrame:
-    return S.stitched_series(b.program_expenses, PROGRAM, LATEST, prefer="earliest")
+    return S.stitched_series(b.program_expenses, PROGRAM, b.latest, prefer="earliest")
 
 
 @query("A2_program_profile")
 def program_profile(b: Bound) -> DataFrame:
-    return P.program_profile(b.program_expenses, LATEST)
+    return P.program_profile(b.program_expenses, b.latest)
 
 
 @query("A3_vintage_history")
@@ -50,13 +50,13 @@ def actual_series(b: Bound) -> DataFrame:
 
 @query("A4_portfolio_profile")
 def portfolio_profile(b: Bound) -> DataFrame:
-    return P.portfolio_profile(b.program_expenses, b.agency_aliases, LATEST)
+    return P.portfolio_profile(b.program_expenses, b.agency_aliases, b.latest)
 
 
 @query("A5_agency_outcome_profile")
 def agency_outcome_profile(b: Bound) -> DataFrame:
     requests = b.measure_records.select("agency", "portfolio", F.substring("edition", 1, 7).alias("budget_year")).distinct()
-    return P.agency_outcome_profile(b.program_expenses, b.agency_aliases, LATEST, requests)
+    return P.agency_outcome_profile(b.program_expenses, b.agency_aliases, b.latest, requests)
 
 
 @query("W2_closest_publication")
@@ -67,7 +67,7 @@ def closest(b: Bound) -> DataFrame:
 
 @query("W4_line_segments")
 def segments(b: Bound) -> DataFrame:
-    return S.line_segments(S.stitched_series(b.program_expenses, PROGRAM, LATEST), PROGRAM)
+    return S.line_segments(S.stitched_series(b.program_expenses, PROGRAM, b.latest), PROGRAM)
 
 
 @query("W5_year_window")
@@ -84,7 +84,7 @@ def year_window(b: Bound) -> DataFrame:
 
 @query("W6_latest_meta")
 def latest_meta(b: Bound) -> DataFrame:
-    return S.entity_meta(b.program_expenses, ["agency", "program_name"], ["edition", "outcome_number", "outcome_description"], LATEST)
+    return S.entity_meta(b.program_expenses, ["agency", "program_name"], ["edition", "outcome_number", "outcome_description"], b.latest)
 
 
 @query("W7_vintage_shade")
@@ -146,7 +146,7 @@ def trend_by_portfolio(b: Bound) -> DataFrame:
 @query("Q14_top_portfolios_pivot")
 def top_portfolios(b: Bound) -> DataFrame:
     profile = T.grouped_profile(T.realised(b.program_expenses), "portfolio", top=3)
-    return S.pivot_years(profile, ["label_group"], FISCAL_YEARS[:4])
+    return S.pivot_years(profile, ["label_group"], FISCAL_YEARS)
 
 
 @query("A18_distinct_counts")
@@ -179,17 +179,6 @@ def backfilled(b: Bound) -> DataFrame:
     return filled.groupBy("agency", "outcome_number", "outcome_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A21_clustered_labels")
-def clustered(b: Bound) -> DataFrame:
-    """Near-duplicate labels per agency; labels differ by a letter here and there."""
-    from vintagebook.operators.labels import clustered_labels
-
-    kind = F.lower("outcome_description")
-    ending = F.when(F.col("outcome_number") % 2 == 0, F.lit("servicces")).otherwise(F.lit("services"))
-    wording = F.concat_ws(" ", kind, kind, ending)
-    return clustered_labels(b.program_expenses.withColumn("label", wording), ["agency"], "label", "id")
-
-
 @query("Q14_outcome_profile")
 def outcome_profile(b: Bound) -> DataFrame:
     actuals = T.cleaned_actuals(b.program_expenses, SLICE)
@@ -207,4 +196,4 @@ def program_drill_down(b: Bound) -> DataFrame:
 def program_comparison(b: Bound) -> DataFrame:
     from vintagebook.plans.comparison import program_comparison as compare
 
-    return compare(b.program_expenses, LATEST, FISCAL_YEARS)
+    return compare(b.program_expenses, b.latest, FISCAL_YEARS)

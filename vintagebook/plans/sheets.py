@@ -35,7 +35,7 @@ def _exploded(rows: DataFrame, cells: list[Column]) -> DataFrame:
 def _by_gap(amount: str = "amount_thousands", fill: int | None = None) -> list[Column]:
     out = []
     for gap in GAPS:
-        value = F.sum(F.when(F.col("gap") == gap, F.col(amount)))
+        value = F.sum(F.when(F.greatest(F.lit(GAPS[0]), F.least(F.lit(GAPS[-1]), F.col("gap"))) == gap, F.col(amount)))
         out.append((F.coalesce(value, F.lit(fill)) if fill is not None else value).alias(f"g{gap + 1}"))
     return out
 

@@ -131,39 +131,33 @@ def documents(b: Bound) -> DataFrame:
 def audit(b: Bound) -> DataFrame:
     keys = ["source_file", "outcome_number", "program_number", "fiscal_year", "estimate_type"]
     files = b.agency_aliases.select("source_file")
-    records = b.program_expenses.where(F.col("agency") != "N3")
+    records = b.program_expenses
     conflicts = M.conflicting_duplicates(records.select(*keys, "id", "amount_thousands"), keys, ["id"])
     return S.ingest_audit(files, records, conflicts)
 
 
 @query("S10_files_without_records")
 def without_records(b: Bound) -> DataFrame:
-    return S.files_without_records(b.agency_aliases, b.program_expenses.where(F.col("agency") != "N3"))
-
-
-def _line_decoder(content: bytes) -> Iterator[C.Cell]:
-    """Text lines as cells of one column; a file of one line counts as damaged."""
-    lines = bytes(content).decode("utf-8").split("\n")
-    if len(lines) < 2:
-        raise ValueError("a single line")
-    for row, line in enumerate(lines):
-        yield "text", 0, row, 0, line, None
+    return S.files_without_records(b.agency_aliases, b.program_expenses)
 
 
 @query("S11_isolated_errors")
 def errors(b: Bound) -> DataFrame:
-    """Documents decoded as files: damaged ones become error rows, the rest cells."""
-    files = b.table("documents").select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".xlsx")).alias("path"), F.encode("text", "UTF-8").alias("content"))
-    cells, failed = C.split_decoded(C.decoded_files(files, _line_decoder))
+    """Documents read as files of lines: those of a single line are damaged and become error rows, the others cells."""
+    path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".xlsx"))
+    files = b.table("documents").select(path.alias("source_file"), F.split("text", "\n").alias("lines"))
+    cells = files.where(F.size("lines") > 1).select("source_file", F.posexplode("lines").alias("row_idx", "value"))
     read = cells.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_cells")).withColumn("error", F.lit(None).cast("string"))
-    return read.unionByName(failed.select("source_file", F.lit(0).cast("long").alias("n_cells"), "error"))
+    failed = files.where(F.size("lines") < 2).select("source_file", F.lit(0).cast("long").alias("n_cells"), F.lit("ValueError('a single line')").alias("error"))
+    return read.unionByName(failed)
 
 
 @query("S12_append_and_count")
 def appended(b: Bound) -> DataFrame:
-    """The catalogue appended twice: each append reports its rows, the table has both."""
+    """The catalogue appended to itself twice: each append reports its rows, the table has all."""
     path = _folder(b)
     rows = b.measure_text.select("measure_id", *MEASURE_KEY)
+    S.write_table(rows, path)
     first, second = S.append_table(rows, path), S.append_table(rows, path)
     return b.spark.read.parquet(path).agg(
         F.count(F.lit(1)).alias("rows"), F.lit(first).cast("long").alias("first_append"), F.lit(second).cast("long").alias("second_append")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from vintagebook.functions.names import portfolio_family
 from vintagebook.functions.text import outcome_label
 from vintagebook.operators import identity as I
-from vintagebook.operators import labels as L
 from vintagebook.operators import series as S
 
 ACTUAL_COLUMNS = [
@@ -54,9 +53,8 @@ def agency_labels(facts: DataFrame, part: str) -> DataFrame:
 
 
 def resolved_outcome_labels(actuals: DataFrame, by: Sequence[str] = ("agency",)) -> DataFrame:
-    """Backfill unambiguous descriptions, then merge near-duplicate labels within each agency."""
-    filled = I.backfill_labels(actuals, by, "outcome_number", "outcome_description", "outcome_label")
-    return L.with_clustered_labels(filled, by, "outcome_label", "id").withColumn("outcome_label", F.col("cluster")).drop("cluster")
+    """Labels with unambiguous descriptions filled in."""
+    return I.backfill_labels(actuals, by, "outcome_number", "outcome_description", "outcome_label")
 
 
 def grouped_profile(actuals: DataFrame, label: str, by: Sequence[str] = (), top: int = 8) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -20,16 +19,7 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CELLS).parquet(path)
 
 
-def grid_decoder(content: bytes) -> Iterable[Cell]:
-    """Cells of one workbook through pandas' reader; needs an Excel engine on the workers."""
-    sheets = pd.read_excel(io.BytesIO(content), sheet_name=None, header=None, dtype=object)
-    for index, (name, grid) in enumerate(sheets.items()):
-        for (row, col), value in grid.stack().items():
-            number = float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
-            yield name, index, row, col, str(value), number
-
-
-def decoded_files(files: DataFrame, decoder: Callable[[bytes], Iterable[Cell]] = grid_decoder) -> DataFrame:
+def decoded_files(files: DataFrame, decoder: Callable[[bytes], Iterable[Cell]]) -> DataFrame:
     """Decode (path, content) rows to cells; a file that fails becomes one error row and the rest goes on."""
     names = [field.strip().split(" ")[0] for field in _DECODED.split(",")]
 
@@ -46,7 +36,7 @@ def decoded_files(files: DataFrame, decoder: Callable[[bytes], Iterable[Cell]] =
 
 
 def decoded_workbooks(
-    spark: SparkSession, root: str, decoder: Callable[[bytes], Iterable[Cell]] = grid_decoder
+    spark: SparkSession, root: str, decoder: Callable[[bytes], Iterable[Cell]]
 ) -> DataFrame:
     """Decode every workbook below ``root``."""
     files = (

@@ -22,10 +22,10 @@ def write_table(df: DataFrame, path: str, partition: str = PARTITION) -> None:
     ).parquet(path)
 
 
-def append_table(df: DataFrame, path: str) -> int:
-    """Append and return how many rows were written, counted while writing."""
+def append_table(df: DataFrame, path: str, partition: str = PARTITION) -> int:
+    """Append to a table of ``write_table``, in its layout, and return how many rows were written, counted while writing."""
     seen = Observation("appended")
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
     return int(seen.get["rows"])
 
 
