@@ -12,15 +12,15 @@ DIRECTORY = "/root/testdata/sf0.001"
 
 def test_registered():
     names = {n for n in entry.queries() if n.startswith("op") or n == "pipeline"}
-    assert len(names) == 11 and {n for n in entry.oracle_sql() if n in names} == {"op8_top_k", "op10_warc"}
+    assert len(names) == 11 and {n for n in entry.oracle_sql() if n in names} == {"op7_mixing", "op8_top_k", "op10_warc"}
 
 
-@pytest.mark.parametrize("name", ["op8_top_k", "op10_warc"])
+@pytest.mark.parametrize("name", ["op7_mixing", "op8_top_k", "op10_warc"])
 def test_equals_sql(spark, name):
     import duckdb
 
     connection = duckdb.connect()
-    for table in ("embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages"):
         connection.execute(f"create view {table} as select * from '{DIRECTORY}/{table}.parquet'")
     result = connection.execute(entry.oracle_sql()[name])
     order = [c[0] for c in result.description]

@@ -9,7 +9,7 @@ import pytest
 import vintagebook.llm.topk as T
 from pyspark.sql import functions as F
 
-from vintagebook.llm.warc import archive_report, parsed, planned, read_archives, records_in, write_archives
+from vintagebook.llm.warc import archive_report, parsed, read_archives, records_in, write_archives
 
 
 def brute(rows, k=20):
@@ -78,7 +78,7 @@ def test_round_trip(spark):
 def test_archives_are_whole_rolled_ordered_and_the_same_again(spark, tmp_path):
     rows = page_rows()
     folders = [f"file://{tmp_path}/{uuid.uuid4().hex}" for _ in range(2)]
-    made = [write_archives(planned(pages(spark, rows).repartition(n)), f, roll=4000).orderBy("file").collect() for n, f in zip((1, 5), folders)]
+    made = [write_archives(pages(spark, rows).repartition(n), f, roll=4000).orderBy("file").collect() for n, f in zip((1, 5), folders)]
     assert [tuple(r)[1:] for r in made[0]] == [tuple(r)[1:] for r in made[1]] and sum(r["records"] for r in made[0]) == len(rows) and len(made[0]) > 4
     ids = []
     for r in made[0]:

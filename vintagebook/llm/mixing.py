@@ -50,9 +50,9 @@ def source_targets(summed: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 
 
 def drawn(doc_id: Column, source: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the id, the source and the seed alone."""
-    key = F.concat_ws("\x1f", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("\x1e")), F.coalesce(source, F.lit("\x1e")))
-    return F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
+    """A number in [0, 1) that depends on the id, the source and the seed alone: 52 bits of a digest."""
+    key = F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(source, F.lit("-")))
+    return F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:

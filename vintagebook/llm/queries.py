@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vintagebook.llm.common import WORD, table
 from vintagebook.llm.fingerprints import fingerprint_report
 from vintagebook.llm.language import language_report
-from vintagebook.llm.mixing import mix_report
+from vintagebook.llm.mixing import SEED, mix_report
 from vintagebook.llm.packing import packing_report
 from vintagebook.llm.repeats import repeats_report
 from vintagebook.llm.simhash import near_duplicates
@@ -38,6 +38,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op7_mixing": rf"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight, source_size * 2e0 AS most FROM s),
+        f AS (SELECT *, (sum(source_size) OVER () * 1.5e0 - coalesce(sum(most) OVER filling, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER filling, 0)) AS level
+              FROM w WINDOW filling AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        c AS (SELECT arg_min(level, most / weight) AS common FROM f WHERE most > level * weight),
+        t AS (SELECT source, source_size, CASE WHEN most <= level * weight OR common IS NULL THEN most ELSE least(most, common * weight) END AS target FROM f, c),
+        r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0e0 END AS rate FROM t)
+        SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN
+            ('0x' || substr(sha256(concat_ws('|', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), '-'), coalesce(d.source, '-'))), 1, 13))::BIGINT / 4503599627370496e0 < rate - floor(rate)
+            THEN 1 ELSE 0 END AS BIGINT) AS taken
+        FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source""",
     "op8_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS v
