@@ -5,7 +5,7 @@ from oracles.scalar_sql import _BLANK
 
 DL = f"""raw AS (SELECT CAST(doc_id AS VARCHAR) AS doc, doc_id, source, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 st AS (SELECT *, (pos - 1) % 13 AS step, CASE WHEN pos = 0 THEN -1 ELSE (pos - 1) // 13 END AS cyc, doc_id % 10 = 7 AND pos = 45 AS divider, doc_id % 10 = 3 AND pos = 25 AS caption FROM raw),
-dl AS (SELECT doc, doc_id, pos AS line_no, CAST(pos // 20 + 1 AS INT) AS page, step, divider, caption,
+sh AS (SELECT doc, doc_id, CASE WHEN pos = 0 THEN 0 ELSE (cyc + 1) * 26 + step END AS line_no, step, divider, caption, t, pos = 0 OR divider OR caption OR step BETWEEN 0 AND 7 AS reworded,
   CASE WHEN divider THEN 'divider' WHEN caption OR pos = 0 THEN 'body' WHEN step = 0 THEN 'portfolio' WHEN step IN (1, 2) THEN 'heading' WHEN step BETWEEN 3 AND 7 THEN 'table'
        WHEN step = 10 THEN 'bullet' WHEN step = 12 THEN 'dash' ELSE 'body' END AS style,
   CASE WHEN divider THEN 'Appendix B: Statement of risks' WHEN caption THEN 'Table 1: Summary of measures'
@@ -14,6 +14,8 @@ dl AS (SELECT doc, doc_id, pos AS line_no, CAST(pos // 20 + 1 AS INT) AS page, s
        WHEN step = 3 THEN CASE WHEN cyc % 2 = 0 THEN 'Payments ($m)' ELSE 'Related receipts ($m)' END WHEN step = 4 THEN '2015-16 2016-17 2017-18'
        WHEN step = 5 THEN 'Department ' || CAST(length(t) % 6 AS VARCHAR) || ' ' || CAST(length(t) AS VARCHAR) || '.5 - nfp' WHEN step = 6 THEN 'and Trade' WHEN step = 7 THEN 'Total – Payments 1.5 - nfp' ELSE t END AS text,
   length(t) AS size, cyc, step IN (11, 12) AS indented FROM st),
+dl AS (SELECT doc, doc_id, line_no, CAST(line_no // 40 + 1 AS INT) AS page, step, divider, caption, style, text, size, cyc, indented FROM sh
+  UNION ALL SELECT doc, doc_id, line_no + CASE WHEN line_no = 0 THEN 1 ELSE 13 END AS line_no, CAST((line_no + CASE WHEN line_no = 0 THEN 1 ELSE 13 END) // 40 + 1 AS INT), 99, false, false, 'body', t, size, cyc, false FROM sh WHERE reworded),
 pg AS (SELECT doc, page, CASE WHEN any_value(doc_id) % 2 = 0 THEN 'payment' ELSE 'receipt' END AS section,
   NOT coalesce(page >= (SELECT min(page) FROM dl d WHERE d.doc = dl.doc AND d.divider), false) AND NOT bool_or(caption) AS is_read FROM dl GROUP BY doc, page),
 gl AS (SELECT dl.*, pg.section FROM dl JOIN pg USING (doc, page) WHERE is_read AND regexp_replace(text, '^{_BLANK}|{_BLANK}$', '', 'g') <> ''),

@@ -197,7 +197,11 @@ def measure_cells(bound: Bound) -> DataFrame:
 
 
 def document_lines(bound: Bound) -> DataFrame:
-    """Documents as styled lines: every text line is kept, its place in a cycle of 13 decides its role."""
+    """Documents as styled lines: the place of a text line in a cycle of 13 decides its role.
+
+    Roles that need a wording of their own (headings, tables, portfolios) get a line with
+    it; the text line itself then follows as prose at the end of the cycle, so none is lost.
+    """
     raw = bound.table("documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "t"))
     pos, step, cycle = F.col("pos"), (F.col("pos") - 1) % 13, F.floor((F.col("pos") - 1) / 13)
     doc, first = F.col("doc_id").cast("string"), F.col("pos") == 0
@@ -232,12 +236,19 @@ def document_lines(bound: Bound) -> DataFrame:
         .otherwise(F.array().cast("array<struct<starts_first:boolean,ends_last:boolean,phrase:string>>"))
     )
     plain = ~first & ~divider & ~caption
-    return raw.select(
-        doc.alias("doc"), (F.floor(pos / 20) + 1).cast("int").alias("page"), pos.alias("line_no"), text.alias("text"),
-        F.when(divider, "divider").when(caption, "body").otherwise(style).alias("style"),
-        F.when(step.isin(11, 12), 120.0).otherwise(90.0).alias("indent"),
-        F.when(plain, runs).otherwise(F.array().cast("array<struct<starts_first:boolean,ends_last:boolean,phrase:string>>")).alias("italic_runs"),
+    none = F.array().cast("array<struct<starts_first:boolean,ends_last:boolean,phrase:string>>")
+    place = F.when(first, F.lit(0)).otherwise((cycle + 1) * 26 + step)
+    shown = F.struct(
+        place.cast("long").alias("line_no"), text.alias("text"), F.when(divider, "divider").when(caption, "body").otherwise(style).alias("style"),
+        F.when(step.isin(11, 12), 120.0).otherwise(90.0).alias("indent"), F.when(plain, runs).otherwise(none).alias("italic_runs"),
+    )
+    moved = F.struct(
+        (place + F.when(first, 1).otherwise(13)).cast("long").alias("line_no"), F.col("t").alias("text"), F.lit("body").alias("style"),
+        F.lit(90.0).alias("indent"), none.alias("italic_runs"),
     )
+    reworded = ~plain | step.between(0, 7)
+    lines = raw.select(doc.alias("doc"), F.explode(F.when(reworded, F.array(shown, moved)).otherwise(F.array(shown))).alias("l"))
+    return lines.select("doc", (F.floor(F.col("l.line_no") / 40) + 1).cast("int").alias("page"), "l.*")
 
 
 def document_words(bound: Bound) -> DataFrame:
