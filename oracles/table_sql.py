@@ -38,7 +38,14 @@ SELECT source_file, outcome_number, program_number, fiscal_year, estimate_type,
     'Brand#' || CAST(b AS VARCHAR) AS program_name, a AS amount_thousands
   FROM prog JOIN mapped USING (source_file, k) WHERE has_columns AND NOT (n > 1 AND b % 7 = 0 AND gap = 3))"""
 
+BUDGET_YEAR = "substr(split_part(source_file, '/', 1), 1, 7)"
+AGENCY = "replace(split_part(source_file, '/', 3), '.xlsx', '')"
+
 SQL = {
+    "S13_built_agency_aliases": f"""WITH {FACTS} SELECT DISTINCT edition, budget_year, r_name AS portfolio, n_name || ' Authority' AS formal_name, {AGENCY} AS short_name, source_file
+FROM wb WHERE supplier % 7 <> 0""",
+    "S14_built_program_expenses": f"""WITH {FACTS}, rec AS ({RECORDS}) SELECT split_part(source_file, '/', 1) AS edition, {BUDGET_YEAR} AS budget_year, split_part(source_file, '/', 2) AS portfolio,
+  {AGENCY} AS agency, rec.*, s.sheet_name FROM rec JOIN (SELECT source_file, k AS outcome_number, sheet_name FROM sheet) s USING (source_file, outcome_number)""",
     "S2_sheet_cells": f"""WITH {FACTS}, r AS (SELECT source_file, 'Table 1.1' AS sheet_name, k AS row_idx, NULL::BIGINT AS num FROM sheet WHERE v = 3
   UNION ALL SELECT s.source_file, s.sheet_name, x.row_idx, NULL FROM sheet s, (VALUES (0), (1), (60), (61), (62), (63)) x(row_idx) WHERE NOT (row_idx = 1 AND v = 3)
   UNION ALL SELECT source_file, sheet_name, 63, 1 FROM sheet, {GAPS}

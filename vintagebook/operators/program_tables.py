@@ -264,9 +264,9 @@ def unpivoted(cells: DataFrame, totals: DataFrame, outcomes: DataFrame) -> DataF
     columns = outcomes.select(*SHEET, "sheet_idx", "outcome_number", "outcome_description", F.explode("columns").alias("c")).select(
         *SHEET, "sheet_idx", "outcome_number", "outcome_description", "c.col_idx", "c.fiscal_year", "c.estimate_type"
     )
-    amount = to_amount(F.col("value"), F.col("num"))
-    amounts = cells.select(*SHEET, "row_idx", "col_idx", amount.alias("amount_thousands")).where(F.col("amount_thousands").isNotNull())
-    return amounts.join(totals, [*SHEET, "row_idx"]).join(columns, [*SHEET, "col_idx"])
+    # parsed last: only cells of total rows and mapped columns are left by then
+    chosen = cells.select(*SHEET, "row_idx", "col_idx", "value", "num").join(totals, [*SHEET, "row_idx"]).join(columns, [*SHEET, "col_idx"])
+    return chosen.withColumn("amount_thousands", to_amount(F.col("value"), F.col("num"))).where("amount_thousands is not null")
 
 
 def program_records(cells: DataFrame) -> DataFrame:

@@ -125,6 +125,19 @@ def program_cells(bound: Bound) -> DataFrame:
     return sheet_level.unionByName(resource_level).unionByName(program_level)
 
 
+def resource_cells(bound: Bound) -> DataFrame:
+    """Workbooks with resource sheets: a program sheet to pass over, the one with the agency's title, and a later one.
+
+    Every seventh supplier's workbook has another title there, which names nobody.
+    """
+    tops = _workbooks(bound).select(*FILE, "n_name").distinct()
+    named = F.concat(F.lit(" Table 1.1: "), F.col("n_name"), F.lit(" Authority – Resource  Statement"))
+    title = F.when(F.col("supplier") % 7 == 0, F.lit("Table 1.1: Overview of measures")).otherwise(named)
+    sheets = [("Program 1.1", 0, F.lit("Table 1.1: Nobody resource statement")), ("T_1.1", 1, title), ("1.1 more", 2, F.lit("Table 1.1: Somebody resource statement"))]
+    parts = [_exploded(tops.withColumns({"sheet_name": F.lit(name), "sheet_idx": F.lit(at)}), [_cell(0, 0, text), _cell(1, 0, "Ordinary annual services")]) for name, at, text in sheets]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def measure_lines(bound: Bound) -> DataFrame:
     """The lines of the measure sheets: one per file, direction, measure, channel and program, in print order."""
     facts = _workbooks(bound).withColumns({

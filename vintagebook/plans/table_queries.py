@@ -12,6 +12,7 @@ from vintagebook.plans.bindings import Bound
 from vintagebook.plans.registry import query
 from vintagebook.plans import sheets as P
 from vintagebook.session import cut_lineage, stored
+from vintagebook.sources.builds import build_agency_aliases, build_program_expenses
 
 SHEET = PT.SHEET
 
@@ -93,6 +94,16 @@ def records(b: Bound) -> DataFrame:
     )
 
 
+@query("S13_built_agency_aliases")
+def built_aliases(b: Bound) -> DataFrame:
+    return build_agency_aliases(stored(P.resource_cells(b)))
+
+
+@query("S14_built_program_expenses")
+def built_expenses(b: Bound) -> DataFrame:
+    return build_program_expenses(program_cells(b))
+
+
 @query("T10_year_columns")
 def years(b: Bound) -> DataFrame:
     text = F.array_join(F.transform("years", lambda y: F.concat_ws(":", y["col_idx"].cast("string"), y["fiscal_year"])), "|")
