@@ -201,7 +201,9 @@ def read_archives(spark: SparkSession, folder: str, columns: tuple[str, ...] = t
                             rows, held = [], 0
                 yield pd.DataFrame(rows, columns=list(columns))
 
-    manifest = spark.read.parquet(f"{folder}/manifest").select("file").repartition("file")
+    manifest = spark.read.parquet(f"{folder}/manifest").select("file")
+    # a number of its own: file names are so few bytes that they would be read by one task
+    manifest = manifest.repartition(max(1, manifest.count()), "file")
     schema = ", ".join(f"{c} {_FIELDS[c]}" for c in columns)
     found = bounded_batches(manifest).mapInPandas(read, schema)
     for c in ("page_id", "refers_to"):
