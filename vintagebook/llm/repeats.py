@@ -117,9 +117,15 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bytes of the wanted phrases of each text."""
+    names = ["key", "phrase", "copies", "big", "bytes"]
     for batch in batches:
+        rows: list[tuple] = []
         for text, wanted in zip(batch["data"], batch["wanted"]):
-            yield pd.DataFrame([(w["key"], w["phrase"], w["copies"], w["big"], text[w["first"] : w["first"] + w["n"] + LENGTH - 1]) for w in wanted], columns=["key", "phrase", "copies", "big", "bytes"])
+            rows += [(w["key"], w["phrase"], w["copies"], w["big"], text[w["first"] : w["first"] + w["n"] + LENGTH - 1]) for w in wanted]
+            if len(rows) > 20_000:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        yield pd.DataFrame(rows, columns=names)
 
 
 def window_ranks(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
