@@ -25,15 +25,14 @@ ENRICH = """SELECT h.measure_id, h.measure_name, h.edition, {extra}, cat.agencie
 NEAR = """near AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
   FROM embeddings c, (SELECT * FROM embeddings WHERE vec_id IN (0, 1, 2, 3, 4)) q),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS INT) AS rank FROM near)"""
-NEAR_DOCS = NEAR.replace("FROM embeddings c,", "FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) c,")
 LISTED = "array_to_string(portfolios, '|') AS portfolios"
 HIER = f"WITH {PE}, {ALIASES}, {DISPLAY}, {HIERARCHY}"
 
 SQL = {
     "F4_text_or_component": f"WITH {MT} SELECT measure_id, measure_name, edition FROM mt WHERE contains(lower(full_measure_text), '{Q}') OR measure_id IN (SELECT measure_id FROM comp WHERE contains(lower(text), '{Q}'))",
     "F7_list_filters": f"WITH {MT}, {MIP}, {CAT} SELECT measure_name, edition, {LISTED} FROM cat WHERE list_has_any(portfolios, ['ASIA', 'Health']) AND edition IN ('2016-17 MYEFO', '2018-19 Budget')",
-    "V1_topic_search": f"""WITH {DOCS}, {NEAR_DOCS} SELECT query_id, rank, id AS measure_id, measure_name, edition, round(greatest(0, 1 - d / 2), 6) AS score,
-  regexp_replace(substr(text, 1, 180), '^{_BLANK}|{_BLANK}$', '', 'g') AS snippet FROM ranked JOIN docs ON doc_id = id WHERE rank <= 30""",
+    "V1_topic_search": f"""WITH {DOCS}, {NEAR} SELECT query_id, rank, id AS measure_id, measure_name, edition, round(greatest(0, 1 - d / 2), 6) AS score,
+  coalesce(regexp_replace(substr(text, 1, 180), '^{_BLANK}|{_BLANK}$', '', 'g'), '') AS snippet FROM ranked LEFT JOIN docs ON doc_id = id WHERE rank <= 30""",
     "J12_nearest_vectors": f"WITH {NEAR} SELECT query_id, id, round(d, 6) AS distance, rank FROM ranked WHERE rank <= 10",
     "V2_text_search": f"WITH {MT}, {MIP}, {CAT}, {HITS} " + ENRICH.format(extra="h.snippet", source="hits"),
     "J9_enriched_hits": f"WITH {MT}, {MIP}, {CAT} " + ENRICH.format(extra="h.id", source="mt"),

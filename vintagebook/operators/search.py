@@ -127,15 +127,15 @@ def nearest_vectors(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[fl
 
 
 def topic_search(
-    vectors: DataFrame, texts: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], n: int = V.TOPIC_DEFAULT, most: int = V.TOPIC_CAP
+    vectors: DataFrame, meta: DataFrame, texts: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], n: int = V.TOPIC_DEFAULT, most: int = V.TOPIC_CAP
 ) -> DataFrame:
     """Write-ups nearest to each query, with score and opening excerpt; asking for more than ``most`` of them raises."""
     if n > most:
         raise ValueError(f"at most {most} write-ups can be asked for")
     hits = nearest_vectors(vectors, queries, n)
-    meta = vectors.select("id", "measure_name", "edition", "portfolio")
     body = texts.select(F.col("measure_id").alias("id"), "full_measure_text")
-    joined = hits.join(meta, "id").join(body, "id", "left")
+    # vectors are scanned alone; names and texts are joined to the few hits
+    joined = hits.join(meta, "id", "left").join(body, "id", "left")
     return joined.select(
         "query_id", "rank", F.col("id").alias("measure_id"), "measure_name", "edition", "portfolio",
         F.round(similarity(F.col("distance")), 6).alias("score"),

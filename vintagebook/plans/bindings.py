@@ -243,9 +243,11 @@ class Bound:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        vectors = self.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-        meta = self.documents.select("doc_id", "measure_name", "edition", "portfolio")
-        return vectors.join(meta, "doc_id").withColumnRenamed("doc_id", "id")
+        return self.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+    @cached_property
+    def vector_meta(self) -> DataFrame:
+        return self.documents.select(F.col("doc_id").alias("id"), "measure_name", "edition", "portfolio")
 
     def query_vectors(self, ids: list[int]) -> list[tuple[int, list[float]]]:
         """Request vectors by id: a handful of rows with unique ids."""

@@ -118,7 +118,7 @@ def by_program(b: Bound) -> DataFrame:
 @query("Q12_topic_search")
 def topic_search(b: Bound) -> DataFrame:
     """Topic hits with the fields of the catalogue."""
-    found = S.topic_search(b.vectors, _texts_by_document(b), b.query_vectors(TOPIC_QUERIES), 50)
+    found = S.topic_search(b.vectors, b.vector_meta, _texts_by_document(b), b.query_vectors(TOPIC_QUERIES), 50)
     hits = found.withColumn("measure_id", F.col("measure_id").cast("string"))
     rows = S.with_catalogue_fields(
         hits.select(*MEASURE_KEY, "portfolio", "measure_id").distinct(), b.measure_impacts, b.measure_programs, []
