@@ -133,8 +133,11 @@ def rebuild_table(
     """Rebuild some editions or files of a table partitioned by edition; other partitions are not touched.
 
     The affected partitions are computed in full and checkpointed before anything is
-    overwritten, so a lost executor or a failed job leaves the table as it was. Only the
-    names of affected editions, a few dozen at most, reach the driver.
+    overwritten; the write then replaces them in one commit, and partitions that have become
+    empty are dropped last. A failure before the commit leaves the table as it was. After
+    one between commit and drop, the emptied partitions still stand; the same call again
+    gives the same rows and drops them. Only the names of affected editions, a few dozen at
+    most, reach the driver.
     """
     current = spark.read.parquet(path)
     listed = set(editions)
