@@ -81,17 +81,23 @@ def merged(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for left, right in zip(batch["left"], batch["right"]):
             x, y = np.asarray(left, np.int64), np.asarray(right, np.int64)
-            nodes = np.unique(np.concatenate([x, y]))
-            at_x, at_y = np.searchsorted(nodes, x), np.searchsorted(nodes, y)
-            parent = np.arange(nodes.size)
+            nodes = parent = None
             for s in range(0, x.size, STRIP):
                 apart = np.bitwise_count(x[s : s + STRIP, None].view(np.uint64) ^ y[None, :].view(np.uint64))
-                i, j = np.nonzero(apart <= RADIUS)
-                parent = merged(parent, at_x[s + i], at_y[j])
-            moved = np.flatnonzero(parent != np.arange(nodes.size))
-            yield pd.DataFrame({"a": nodes[moved], "b": nodes[parent[moved]]})
+                i, j = np.nonzero((apart <= RADIUS) & (apart > 0))
+                if not i.size:
+                    continue
+                if nodes is None:
+                    nodes = np.unique(np.concatenate([x, y]))
+                    parent = np.arange(nodes.size)
+                parent = merged(parent, np.searchsorted(nodes, x[s + i]), np.searchsorted(nodes, y[j]))
+            if nodes is not None:
+                moved = np.flatnonzero(parent != np.arange(nodes.size))
+                found.append((nodes[moved], nodes[parent[moved]]))
+        yield pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
 
 
 def _quarter(fp: F.Column, i: int) -> F.Column:
@@ -125,7 +131,10 @@ def links(distinct: DataFrame) -> DataFrame:
     near = near.where(inside).select(F.col("tile").alias("own"), F.col("part").alias("own_part"), "left", _tile_key(moved).alias("tile"))
     near = near.join(F.broadcast(parts), "tile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     near = near.where((F.col("tile") != F.col("own")) | (F.col("part") >= F.col("own_part")))
-    pairs = near.join(tiles.select("tile", "part", F.col("fps").alias("right")), ["tile", "part"]).select("left", "right")
+    pairs = near.join(tiles.select("tile", "part", F.col("fps").alias("right")), ["tile", "part"])
+    # a number of its own: few bytes make much work here, so partitions must not be merged by their size
+    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(spread, "own", "own_part", "tile", "part").select("left", "right")
     return bounded_batches(pairs).mapInPandas(_compared, "a long, b long")
 
 
