@@ -150,7 +150,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         # dealt in order of length, as cards are, so that partitions are alike in their lengths
         ordered = rest.repartitionByRange(shuffles, "length", "row").sortWithinPartitions("length", "row")
         dealt = ordered.withColumn("part", F.pmod(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + F.spark_partition_id(), F.lit(parts)).cast("int"))
-        placed = stored(dealt.groupBy("part").applyInPandas(_packed(capacity, dual, round_no, last), schema))
+        placed = stored(bounded_batches(dealt).groupBy("part").applyInPandas(_packed(capacity, dual, round_no, last), schema))
         out.append(placed.where("done").select(full.columns))
         if last:
             break
