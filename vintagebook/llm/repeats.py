@@ -39,7 +39,7 @@ LENGTH, CONTEXT = 200, 48
 #: Windows handled at a time, so that a very long text needs no more memory.
 CHUNK = 1 << 21
 #: Bytes of dictionary sorted at a time, and distinct phrases of a trigger that one task sorts.
-SORT_BYTES, SORTED_PHRASES = 3 << 20, 20_000
+SORT_BYTES, SORTED_PHRASES = 2 << 20, 20_000
 _BASE = 0x9E3779B97F4A7C15
 _POSITION_BITS = 22
 _POWERS: list[np.ndarray] = []
@@ -212,7 +212,9 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     long_ones = texts.where(F.octet_length("data") >= LENGTH)
     parse = stored(bounded_batches(long_ones.select("no", "copies", "data")).mapInPandas(_parsed, "no long, copies long, first int, n int, key long, phrase long"))
     keys = parse.groupBy("key").agg(F.sum("copies").alias("times"), F.min("phrase").alias("low"), F.max("phrase").alias("high")).where("times > 1")
-    several = stored(parse.join(keys.select("key", (F.col("low") == F.col("high")).alias("alike")), "key"))
+    # stored, so that the join below reads plain shuffles on both sides, of which a very frequent trigger's can be split
+    keys = stored(keys.select("key", (F.col("low") == F.col("high")).alias("alike")))
+    several = stored(parse.join(keys, "key"))
     alike = several.where("alike").select("no", "first", "n")
 
     apart = several.where("not alike")
