@@ -58,11 +58,11 @@ def repaired_years(columns: DataFrame, keys: list[str]) -> DataFrame:
 def header_windows(cells: DataFrame) -> DataFrame:
     """The header of each sheet: its first window of at most five rows with exactly one actual column.
 
-    A window of rows i..i+4 ends before a later row that names a program, closes
-    one, or holds a number. Text is merged down each column of the window. Only
-    cells near a row that can contain "actual" are spread over windows, so data
-    rows never multiply. Returns one row per sheet: start, row of the actual
-    heading, and its columns.
+    A window of rows i..i+4 ends before a later row that names a program, closes one, or
+    holds a number. Text is merged down each column of the window. Rows are folded to two
+    flags each before any window sees them; only cells near a row that can contain
+    "actual" are joined back and spread over windows, so data rows are neither sorted nor
+    multiplied. Returns one row per sheet: start, row of the actual heading, and its columns.
     """
     text = squash(F.col("value"))
     low = F.lower(F.coalesce(F.col("value"), F.lit("")))
@@ -71,12 +71,18 @@ def header_windows(cells: DataFrame) -> DataFrame:
     by_row = Window.partitionBy(*SHEET).orderBy("row_idx")
     upto = by_row.rangeBetween(Window.unboundedPreceding, 0)
     around = by_row.rangeBetween(1 - V.HEADER_WINDOW, V.HEADER_WINDOW - 1)
-    nearby = cells.where(F.col("value").isNotNull()).select(
+    filled = cells.where(F.col("value").isNotNull())
+    rows = filled.groupBy(*SHEET, "row_idx").agg(
+        F.max(barrier).alias("stops"), F.max(low.contains("actual") | low.contains("revised")).alias("mentions")
+    )
+    near_rows = rows.select(
+        *SHEET, "row_idx", F.max(F.when(F.col("stops"), F.col("row_idx"))).over(upto).alias("barrier_row"),
+        F.max("mentions").over(around).alias("near"),
+    ).where("near").drop("near")
+    nearby = filled.select(
         *SHEET, "sheet_idx", "row_idx", "col_idx", "value",
-        F.max(F.when(barrier, F.col("row_idx"))).over(upto).alias("barrier_row"),
-        F.max(low.contains("actual") | low.contains("revised")).over(around).alias("near"),
         F.when(low.contains("actual") | low.contains("estimated"), F.col("row_idx")).alias("heading_row"),
-    ).where("near")
+    ).join(near_rows, [*SHEET, "row_idx"])
 
     starts = F.sequence(F.greatest(F.lit(0), F.col("row_idx") - (V.HEADER_WINDOW - 1)), F.col("row_idx"))
     spread = nearby.withColumn("start", F.explode(starts)).where(
