@@ -7,14 +7,18 @@ publication is an actual, for the same year a budget, for a later one a forward
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintagebook.functions.ids import measure_id
 from vintagebook.functions.years import budget_year_of, fiscal_year_label
+from vintagebook.operators.identity import MEASURE_KEY, assign_measure_ids
+from vintagebook.operators.lookups import distinct_union
 from vintagebook.operators.measures import combine_impacts, first_of_duplicates, programs_touched
+from vintagebook.session import stored_folder
+from vintagebook.sources.store import write_table
 
 YEAR_SHIFT = 20
 #: Years a matrix or pivot is asked for: arguments of those queries, wide enough for all years of the tables.
@@ -37,12 +41,30 @@ def row_id(*key: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
+#: Where an application has its tables: (application, directory, table) -> folder and columns.
+_BUILT: dict[tuple[str, str, str], tuple[str, list[str]]] = {}
+
+
 class Bound:
-    """Lazily built logical tables over one directory of Parquet files."""
+    """Logical tables over one directory of Parquet files.
+
+    The tables that queries read (facts, measures, write-ups, ids) are built once per
+    application and directory, partitioned by edition, and read from there by all queries.
+    """
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.directory = spark, directory
 
+    def built(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.directory, name)
+        if key not in _BUILT:
+            rows = make()
+            folder = stored_folder(self.spark)
+            write_table(rows, folder)
+            _BUILT[key] = folder, rows.columns
+        folder, columns = _BUILT[key]
+        return self.spark.read.parquet(folder).select(*columns)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
@@ -94,6 +116,9 @@ class Bound:
 
     @cached_property
     def program_expenses(self) -> DataFrame:
+        return self.built("program_expenses", self._program_expenses)
+
+    def _program_expenses(self) -> DataFrame:
         return self.base.select(
             "edition", "budget_year", F.col("r_name").alias("portfolio"), F.col("short_name").alias("agency"),
             "outcome_number", F.col("p_type").alias("outcome_description"),
@@ -105,6 +130,9 @@ class Bound:
 
     @cached_property
     def measure_records(self) -> DataFrame:
+        return self.built("measure_records", self._measure_records)
+
+    def _measure_records(self) -> DataFrame:
         """Measure lines as parsed: programs as a list, one figure per line."""
         formal = F.upper(F.concat(F.lit("Department of "), F.col("n_name")))
         even = F.col("order_year") % 2 == 0
@@ -124,17 +152,22 @@ class Bound:
 
     @cached_property
     def measure_impacts(self) -> DataFrame:
-        return self._numbered(combine_impacts(self.measure_records), "fiscal_year")
+        return self.built("measure_impacts", lambda: self._numbered(combine_impacts(self.measure_records), "fiscal_year"))
 
     @cached_property
     def measure_programs(self) -> DataFrame:
-        return self._numbered(programs_touched(self.measure_records), "program_number", "is_departmental")
+        return self.built("measure_programs", lambda: self._numbered(programs_touched(self.measure_records), "program_number", "is_departmental"))
+
+    @cached_property
+    def measure_ids(self) -> DataFrame:
+        """(measure_name, edition, measure_id) of all measures of facts and write-ups: one id each, also where hashes collide."""
+        keys = lambda: distinct_union(self.measure_records.select(*MEASURE_KEY), self.documents.select(*MEASURE_KEY))
+        return self.built("measure_ids", lambda: assign_measure_ids(keys()).select(*MEASURE_KEY, "measure_id"))
 
-    @staticmethod
-    def _numbered(rows: DataFrame, *extra: str) -> DataFrame:
+    def _numbered(self, rows: DataFrame, *extra: str) -> DataFrame:
         """Add the measure id and a row id made from the row's own key."""
         key = F.concat_ws("|", "edition", "measure_name", "agency", "direction", *[F.col(c).cast("string") for c in extra])
-        return rows.withColumn("measure_id", measure_id(F.col("measure_name"), F.col("edition"))).withColumn("id", row_id(key))
+        return rows.withColumn("id", row_id(key)).join(self.measure_ids, MEASURE_KEY).select(*rows.columns, "measure_id", "id")
 
     @cached_property
     def agency_aliases(self) -> DataFrame:
@@ -181,9 +214,7 @@ class Bound:
     def write_ups(self) -> DataFrame:
         """One write-up per (measure, edition): the first of several."""
         columns = ["doc_id", "portfolio", "document_section", "source_page", "lines", "source_file"]
-        return first_of_duplicates(self.documents, ["measure_name", "edition"], ["doc_id"], columns).withColumn(
-            "measure_id", measure_id(F.col("measure_name"), F.col("edition"))
-        )
+        return self.built("write_ups", lambda: first_of_duplicates(self.documents, MEASURE_KEY, ["doc_id"], columns).join(self.measure_ids, MEASURE_KEY))
 
     @cached_property
     def measure_text(self) -> DataFrame:

@@ -64,6 +64,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_folder(spark: SparkSession) -> str:
+    """A new folder for a table that lives as long as the application."""
+    return f"{ensure_checkpoint_dir(spark)}/stored-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
@@ -71,7 +76,6 @@ def stored(df: DataFrame) -> DataFrame:
     checkpoint the result keeps column pruning and filter pushdown. All tables of an
     application are in one folder, which whoever submits it can delete when it has ended.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/stored-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = stored_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
