@@ -38,16 +38,16 @@ def paragraphs(text: Column) -> Column:
 
 
 def _hashed(digest: str, level: int) -> str:
-    """SQL: a digest with its check sum and the numbers of the cells it goes to, one in each row."""
-    cells = ", ".join(f"int({row * WIDTH} + (shiftrightunsigned(h, {3 * row}) & {WIDTH - 1}))" for row in range(ROWS))
+    """SQL: a digest with its check sum and the cells it goes to, one in each row, as bits."""
+    cells = " | ".join(f"shiftleft(1, int({row * WIDTH} + (shiftrightunsigned(h, {3 * row}) & {WIDTH - 1})))" for row in range(ROWS))
     # transform over one element names an intermediate value
-    return f"named_struct('k', {digest}, 'c', xxhash64({digest}, 'check'), 'at', transform(array(xxhash64({digest}, {level})), h -> array({cells}))[0])"
+    return f"named_struct('k', {digest}, 'c', xxhash64({digest}, 'check'), 'at', transform(array(xxhash64({digest}, {level})), h -> {cells})[0])"
 
 
 def sketch(digests: str, level: int) -> str:
     """SQL: cells (n, k, c) of an array of digests, row by row."""
     gathered = "(s, x) -> named_struct('n', s.n + 1, 'k', s.k ^ x.k, 'c', s.c ^ x.c)"
-    cells = f"transform(sequence(0, {ROWS * WIDTH - 1}), i -> aggregate(filter(hs, x -> array_contains(x.at, i)), {_EMPTY}, {gathered}))"
+    cells = f"transform(sequence(0, {ROWS * WIDTH - 1}), i -> aggregate(filter(hs, x -> getbit(x.at, i) = 1), {_EMPTY}, {gathered}))"
     return f"transform(array(transform({digests}, d -> {_hashed('d', level)})), hs -> {cells})[0]"
 
 
@@ -60,9 +60,11 @@ def peeled(cells: str, level: int) -> str:
     alone = "filter(state.cells, x -> abs(x.n) = 1 AND x.c = xxhash64(x.k, 'check'))"
     pure = f"transform(array_distinct(transform({alone}, x -> named_struct('n', x.n, 'k', x.k))), x -> named_struct('n', x.n, 'x', {_hashed('x.k', level)}))"
     taken = "(s, p) -> named_struct('n', s.n - p.n, 'k', s.k ^ p.x.k, 'c', s.c ^ p.x.c)"
-    rest = f"transform(state.cells, (x, i) -> aggregate(filter(pure, p -> array_contains(p.x.at, i)), x, {taken}))"
-    step = f"transform(array({pure}), pure -> CASE WHEN size(pure) = 0 THEN state ELSE named_struct('cells', {rest}, 'found', state.found + size(pure)) END)[0]"
-    return f"aggregate(sequence(1, {STEPS}), named_struct('cells', {cells}, 'found', 0), (state, t) -> {step})"
+    rest = f"transform(state.cells, (x, i) -> aggregate(filter(pure, p -> getbit(p.x.at, i) = 1), x, {taken}))"
+    ended = "named_struct('cells', state.cells, 'found', state.found, 'going', false)"
+    went_on = f"named_struct('cells', {rest}, 'found', state.found + size(pure), 'going', true)"
+    step = f"transform(array({pure}), pure -> CASE WHEN size(pure) = 0 THEN {ended} ELSE {went_on} END)[0]"
+    return f"aggregate(sequence(1, {STEPS}), named_struct('cells', {cells}, 'found', 0, 'going', true), (state, t) -> CASE WHEN state.going THEN {step} ELSE state END)"
 
 
 def _dealt(pairs: DataFrame, parts: str, salt: str) -> DataFrame:
