@@ -1,5 +1,6 @@
 import hashlib
-import re
+
+import regex
 
 from pyspark.sql import functions as F
 from tests.llm.conftest import documents
@@ -8,7 +9,7 @@ from vintagebook.llm.fingerprints import differing, fingerprint_report, successi
 
 
 def units(text):
-    return {p for p in re.split(r"\n+|(?<=[.!?])[ \t\n\x0b\f\r]+", text) if p}
+    return {p for p in regex.split(r"\n+|(?<=[.!?])[ \t\n\x0b\f\r]+(?<=[^\n.!?]{30}[.!?][ \t\n\x0b\f\r]{1,9})", text) if p}
 
 
 def likeness(a, b):
@@ -27,7 +28,7 @@ def brute(rows):
 
 
 def texts():
-    many = [f"Sentence {i} of it. Another {i % 7}!\nLine {i} \U0001f600é" for i in range(120)]
+    many = [f"Sentence {i} of it. A longer sentence, number {i % 7} of a few. Another {i % 7}!\nLine {i} \U0001f600é" for i in range(120)]
     same = "One. Two. Three.\nFour? Five!\n\nSix"
     return [(10, None), (11, ""), (3, same), (4, same), (900, " ".join(many)), (901, " ".join(many[::-1])), (902, "x" * 9999), (5, "A. A. A. B."), (5, "other text"), (6, same), (6, same), (None, "no id."), (-7, "é\U0001f600")]
 

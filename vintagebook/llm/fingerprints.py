@@ -9,8 +9,8 @@ counts of both texts ask for, digests dealt over them by hash. Where peeling get
 table was too small: its digests are dealt over four tables, with new hashes, and only what
 did not peel is retried. All of it is done within rows, so a text's retry moves nothing.
 
-Paragraphs end at line breaks and after full stops, question and exclamation marks; a
-paragraph counts once however often it repeats. Likeness of two sketches is
+Paragraphs end at line breaks and after sentences of 30 characters or more (shorter ones
+go with the next); a paragraph counts once however often it repeats. Likeness of two sketches is
 1 - differing / (paragraphs of both), 1 for two empty ones.
 
 Defined cases: a null text is an empty one; ids that are null come first in order; rows
@@ -28,7 +28,7 @@ from vintagebook.llm.repeats import tidy_shuffles
 from vintagebook.session import stored
 
 ROWS, WIDTH, STEPS, CHILDREN, LOAD = 3, 8, 6, 4, 8
-PARAGRAPH_END = r"\n+|(?<=[.!?])\s+"
+PARAGRAPH_END = r"\n+|(?<=[.!?])\s+(?<=[^\n.!?]{30}[.!?]\s{1,9})"
 _EMPTY = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
 
 
@@ -59,8 +59,11 @@ def peeled(cells: str, level: int) -> str:
     """SQL: struct(cells, found), what is left of a difference and how many digests peeling gave."""
     alone = "filter(state.cells, x -> abs(x.n) = 1 AND x.c = xxhash64(x.k, 'check'))"
     pure = f"transform(array_distinct(transform({alone}, x -> named_struct('n', x.n, 'k', x.k))), x -> named_struct('n', x.n, 'x', {_hashed('x.k', level)}))"
-    taken = "(s, p) -> named_struct('n', s.n - p.n, 'k', s.k ^ p.x.k, 'c', s.c ^ p.x.c)"
-    rest = f"transform(state.cells, (x, i) -> aggregate(filter(pure, p -> getbit(p.x.at, i) = 1), x, {taken}))"
+    taken = "(s, p) -> named_struct('i', s.i, 'n', s.n - p.n, 'k', s.k ^ p.x.k, 'c', s.c ^ p.x.c)"
+    some = "x -> x.n <> 0 OR x.k <> 0 OR x.c <> 0"
+    rest = f"filter(transform(state.cells, x -> aggregate(filter(pure, p -> getbit(p.x.at, x.i) = 1), x, {taken})), {some})"
+    # only cells with something in them are carried on, with their numbers
+    cells = f"filter(transform({cells}, (x, i) -> named_struct('i', i, 'n', x.n, 'k', x.k, 'c', x.c)), {some})"
     ended = "named_struct('cells', state.cells, 'found', state.found, 'going', false)"
     went_on = f"named_struct('cells', {rest}, 'found', state.found + size(pure), 'going', true)"
     step = f"transform(array({pure}), pure -> CASE WHEN size(pure) = 0 THEN {ended} ELSE {went_on} END)[0]"
@@ -86,7 +89,7 @@ def differing(pairs: DataFrame) -> DataFrame:
     while True:
         state = F.expr(peeled(subtracted(sketch("one", level), sketch("other", level)), level))
         done = rest.select("no", "kind", "size", "one", "other", state.alias("state"))
-        done = done.selectExpr("no", "kind", "size", "one", "other", "state.found AS found", "forall(state.cells, x -> x.n = 0 AND x.k = 0 AND x.c = 0) AS whole")
+        done = done.selectExpr("no", "kind", "size", "one", "other", "state.found AS found", "size(state.cells) = 0 AS whole")
         # of what peeled only the number is kept
         kept = ["no", "kind", "size", "found", "whole", *[F.when(~F.col("whole"), F.col(c)).alias(c) for c in ("one", "other")]]
         done = stored(done.select(kept))
