@@ -134,10 +134,10 @@ def edited(docs: DataFrame, chain: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select(_key(F.col("doc_id"), F.md5(text.cast("binary"))).alias("key"), text.alias("text")).dropDuplicates(["key"])
     half = F.floor(F.col("n_chars") / 2)
-    taken = chain.select("no", F.col("next_key").alias("key"), half.cast("int").alias("half")).join(texts, "key")
-    taken = taken.select("no", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("taken"))
-    kept = chain.select("no", "key", (F.col("n_chars") - half).cast("int").alias("keep")).join(texts, "key")
-    whole = kept.join(taken, "no")
+    taken = chain.select(F.col("key").alias("taker"), F.col("next_key").alias("key"), half.cast("int").alias("half")).join(texts, "key")
+    taken = taken.select(F.col("taker").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("taken"))
+    # both joins are by key, so texts stay where the first has brought them
+    whole = chain.select("no", "key", (F.col("n_chars") - half).cast("int").alias("keep")).join(texts, "key").join(taken, "key")
     return whole.select("no", "text", F.concat(F.substring(F.col("text"), F.lit(1), F.col("keep")), "taken").alias("edited_text"))
 
 
