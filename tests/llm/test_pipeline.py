@@ -8,19 +8,20 @@ import __spark_entry__ as entry
 from vintagebook.llm.simhash import near_duplicates
 
 DIRECTORY = "/root/testdata/sf0.001"
+WITH_SQL = ["op7_mixing", "op8_top_k", "op10_warc", "op11_exact_dedup", "op13_filter_audit"]
 
 
 def test_registered():
     names = {n for n in entry.queries() if n.startswith("op") or n == "pipeline"}
-    assert len(names) == 11 and {n for n in entry.oracle_sql() if n in names} == {"op7_mixing", "op8_top_k", "op10_warc"}
+    assert len(names) == 14 and {n for n in entry.oracle_sql() if n in names} == set(WITH_SQL)
 
 
-@pytest.mark.parametrize("name", ["op7_mixing", "op8_top_k", "op10_warc"])
+@pytest.mark.parametrize("name", WITH_SQL)
 def test_equals_sql(spark, name):
     import duckdb
 
     connection = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "labels"):
         connection.execute(f"create view {table} as select * from '{DIRECTORY}/{table}.parquet'")
     result = connection.execute(entry.oracle_sql()[name])
     order = [c[0] for c in result.description]

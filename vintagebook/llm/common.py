@@ -61,3 +61,21 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     for frame in rest:
         first = first.unionByName(frame)
     return first
+
+
+#: A key is hot if it holds more than one in so many rows; that many keys at most are hot.
+HOT_SHARE = 1000
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """``rows`` left joined with ``found``, which has one row per ``key`` and in ``size`` how many of the ``n_rows`` rows hold it.
+
+    Hot keys, fewer than ``HOT_SHARE`` by their definition, are broadcast, so that their rows
+    stay where they are; the other keys, none of which is large, meet by a shuffle.
+    ``found`` should be a stored table: it is read several times.
+    """
+    bound = n_rows // HOT_SHARE
+    hot = F.broadcast(found.where(F.col(size) > bound))
+    near = rows.join(hot, key)
+    others = rows.join(hot.select(key), key, "left_anti").join(found.where(F.col(size) <= bound), key, "left")
+    return near.unionByName(others)

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vintagebook.llm.alignment import alignment_report
+from vintagebook.llm.audit import audit_report
 from vintagebook.llm.common import WORD, table
+from vintagebook.llm.exactdedup import exact_dedup_report
 from vintagebook.llm.fingerprints import fingerprint_report
 from vintagebook.llm.language import language_report
 from vintagebook.llm.mixing import SEED, mix_report
@@ -35,6 +38,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": lambda spark, sf_dir: top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0),
     "op9_language": _on("documents", language_report),
     "op10_warc": _on("pages", archive_report),
+    "op11_exact_dedup": _on("documents", exact_dedup_report),
+    "op12_alignment": _on("documents", alignment_report),
+    "op13_filter_audit": lambda spark, sf_dir: audit_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
 SQL: dict[str, str] = {
@@ -70,6 +76,36 @@ SQL: dict[str, str] = {
                CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN first END AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)""",
+    "op11_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op13_filter_audit": rf"""
+        WITH f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+        o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+              FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+        s AS (SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+        d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words,
+                     min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+        m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                     CASE WHEN len(words) < 50 THEN 1 ELSE 0 END | CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+                     | CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 4 ELSE 0 END
+                     | CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END | CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask
+              FROM d LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+        r AS (SELECT part, filter_order, step, bit,
+                     sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+                     sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+                     sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+                     sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                     sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+                     sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+              FROM s, c GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+               CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+               CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+        FROM r""",
 }
 
 
