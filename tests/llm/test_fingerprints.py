@@ -9,7 +9,7 @@ from vintagebook.llm.fingerprints import differing, fingerprint_report, successi
 
 
 def units(text):
-    return {p for p in regex.split(r"\n+|(?<=[.!?])[ \t\n\x0b\f\r]+(?<=[^\n.!?]{30}[.!?][ \t\n\x0b\f\r]{1,9})", text) if p}
+    return {p for p in regex.split(r"\n+|(?<=[.!?])[ \t\n\x0b\f\r]+", text) if p}
 
 
 def likeness(a, b):

@@ -5,7 +5,8 @@ import pytest
 from tests.llm.conftest import documents
 
 import __spark_entry__ as entry
-from vintagebook.llm.simhash import near_duplicates
+from vintagebook.llm.exactdedup import deduplicated
+from vintagebook.llm.nearcopies import near_copies
 
 DIRECTORY = "/root/testdata/sf0.001"
 WITH_SQL = ["op7_mixing", "op8_top_k", "op10_warc", "op11_exact_dedup", "op13_filter_audit"]
@@ -35,8 +36,9 @@ def test_stages(spark):
     toxic_free = P.drop_toxic(spark, docs, DIRECTORY).cache()
     assert toxic_free.columns == docs.columns and 0 < toxic_free.count() <= docs.count()
     single = P.drop_near_duplicates(spark, toxic_free, DIRECTORY).cache()
-    groups = {r["component_id"] for r in near_duplicates(toxic_free).collect()}
+    groups = {r["component_id"] for r in near_copies(toxic_free).collect()}
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(groups)
+    assert len(groups) < deduplicated(toxic_free).count() < toxic_free.count()
     cut = P.drop_repeats(spark, single, DIRECTORY).cache()
     assert cut.columns == docs.columns and all(r["n_chars"] == len(r["text"]) for r in cut.collect())
     mix = P.mix_sources(spark, cut, DIRECTORY).cache()
@@ -49,6 +51,20 @@ def test_stages(spark):
 def test_run_keeps_going_on_rows_without_ids(spark):
     docs = documents(spark, [(None, "a b c", "en", None), (1, "a b c", "en", "s"), (1, "a b c", "en", "s"), (2, "", None, None), (3, None, None, None)])
     kept = P.drop_near_duplicates(spark, docs, DIRECTORY)
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "None"]
-    assert P.drop_repeats(spark, kept, DIRECTORY).count() == 3
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2"]
+    assert P.drop_repeats(spark, kept, DIRECTORY).count() == 2
     assert P.pack(spark, P.mix_sources(spark, kept, DIRECTORY), DIRECTORY).columns[0] == "doc_id"
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_empty_tables(spark, tmp_path, n):
+    """No documents, or no labels, with columns named like the stages' own."""
+    docs = documents(spark, [(1, "a b c", "en", "s")][:n])
+    for column in ("component_id", "copies", "k", "kept", "size", "text_sha256", "own"):
+        docs = docs.withColumn(column, docs["key"])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in P.STAGES[:-1]:
+        made = stage(spark, docs, str(tmp_path))
+        assert made.columns == docs.columns and made.count() <= 2 * n
+    assert P.run(spark, str(tmp_path)).count() <= 2 * n

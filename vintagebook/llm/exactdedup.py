@@ -54,11 +54,11 @@ def _cell(probe: int) -> Column:
     return F.pmod(F.xxhash64(_SHA, F.lit(probe)), F.lit(CELLS)).cast("int")
 
 
-def repeated_cells(digests: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, bitmap): the cells that at least two probes of the digests fall on."""
+def hit_cells(digests: DataFrame, buckets: int, times: int = 2) -> DataFrame:
+    """(bucket, bitmap): the cells that at least so many probes of the digests fall on."""
     cells = digests.select(_bucket(buckets).alias("bucket"), F.explode(F.array(*[_cell(i) for i in range(PROBES)])).alias("cell"))
-    twice = cells.groupBy("bucket", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    return twice.groupBy("bucket").agg(F.bitmap_construct_agg(F.col("cell").cast("long")).alias("bitmap"))
+    often = cells.groupBy("bucket", "cell").agg(F.count("*").alias("n")).where(F.col("n") >= times)
+    return often.groupBy("bucket").agg(F.bitmap_construct_agg(F.col("cell").cast("long")).alias("bitmap"))
 
 
 def _is_set(bitmap: Column, cell: Column) -> Column:
@@ -79,7 +79,7 @@ def tested(rows: DataFrame, cells: DataFrame, buckets: int, mark: str) -> DataFr
 
 def _filtered(digests: DataFrame, slices: int, buckets: int) -> Iterator[tuple[int, DataFrame]]:
     for i in range(slices):
-        yield i, stored(repeated_cells(digests.where(F.col(_SLICE) == i), buckets))
+        yield i, stored(hit_cells(digests.where(F.col(_SLICE) == i), buckets))
 
 
 def _digests(docs: DataFrame, slices: int, *columns: Column) -> DataFrame:

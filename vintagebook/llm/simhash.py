@@ -7,8 +7,9 @@ paired. Paired tiles are compared whole: numpy exclusive-or and bit counts. A ti
 pair passes on a spanning forest of its links, at most one edge per fingerprint;
 equal texts have become one fingerprint before that.
 
-Defined cases: null and blank texts have fingerprint zero; a null id never becomes
-a component id unless the whole component has none; repeated rows stay as they are.
+Defined cases: null and blank texts have fingerprint zero; texts of any length are read
+whole, one row at a time; a null id never becomes a component id unless the whole component
+has none; repeated rows stay as they are; no rows give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,16 +35,20 @@ TILE = 4096
 STRIP = 256
 
 
-def fingerprint_of(text: str | None) -> int:
-    """64-bit SimHash of the text's word shingles as a signed long."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's word shingles in their order, repeats included; of a shorter text the whole is one."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if len(words) < SHINGLE:
+        return np.zeros(0, np.uint64)
+    if len(words) < size:
         shingles = [b" ".join(words)]
     else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(size))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed long."""
     ones = np.zeros(64, np.int64)
     for at in range(0, hashes.size, 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -52,6 +57,11 @@ def fingerprint_of(text: str | None) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint_of(text: str | None) -> int:
+    """64-bit SimHash of the text's word shingles as a signed long."""
+    return majority_bits(shingle_hashes(text))
+
+
 @F.pandas_udf(LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint_of(t) for t in texts], dtype="int64")
