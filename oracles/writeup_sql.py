@@ -14,11 +14,14 @@ sh AS (SELECT doc, doc_id, CASE WHEN pos = 0 THEN 0 ELSE (cyc + 1) * 26 + step E
        WHEN step = 3 THEN CASE WHEN cyc % 2 = 0 THEN 'Payments ($m)' ELSE 'Related receipts ($m)' END WHEN step = 4 THEN '2015-16 2016-17 2017-18'
        WHEN step = 5 THEN 'Department ' || CAST(length(t) % 6 AS VARCHAR) || ' ' || CAST(length(t) AS VARCHAR) || '.5 - nfp' WHEN step = 6 THEN 'and Trade' WHEN step = 7 THEN 'Total – Payments 1.5 - nfp' ELSE t END AS text,
   length(t) AS size, cyc, step IN (11, 12) AS indented FROM st),
-dl AS (SELECT doc, doc_id, line_no, CAST(line_no // 40 + 1 AS INT) AS page, step, divider, caption, style, text, size, cyc, indented FROM sh
-  UNION ALL SELECT doc, doc_id, line_no + CASE WHEN line_no = 0 THEN 1 ELSE 13 END AS line_no, CAST((line_no + CASE WHEN line_no = 0 THEN 1 ELSE 13 END) // 40 + 1 AS INT), 99, false, false, 'body', t, size, cyc, false FROM sh WHERE reworded),
+d0 AS (SELECT doc, doc_id, line_no, step, divider, caption, style, text, size, cyc, indented FROM sh
+  UNION ALL SELECT doc, doc_id, line_no + CASE WHEN line_no = 0 THEN 1 ELSE 13 END, 99, false, false, 'body', t, size, cyc, false FROM sh WHERE reworded),
+d1 AS (SELECT *, CAST(line_no // 40 + 1 AS INT) AS page, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM d0),
+dl AS (SELECT doc, doc_id, CAST(page * 1024 + row_number() OVER (PARTITION BY doc, page ORDER BY line_no) AS INT) AS line_no, page, step, divider, caption, style,
+  array_to_string(ws, ' ') AS text, ws, size, cyc, indented FROM d1 WHERE len(ws) > 0),
 pg AS (SELECT doc, page, CASE WHEN any_value(doc_id) % 2 = 0 THEN 'payment' ELSE 'receipt' END AS section,
   NOT coalesce(page >= (SELECT min(page) FROM dl d WHERE d.doc = dl.doc AND d.divider), false) AND NOT bool_or(caption) AS is_read FROM dl GROUP BY doc, page),
-gl AS (SELECT dl.*, pg.section FROM dl JOIN pg USING (doc, page) WHERE is_read AND regexp_replace(text, '^{_BLANK}|{_BLANK}$', '', 'g') <> ''),
+gl AS (SELECT dl.*, pg.section FROM dl JOIN pg USING (doc, page) WHERE is_read AND (style IN ('bullet', 'dash') OR regexp_replace(text, '^{_BLANK}|{_BLANK}$', '', 'g') <> '')),
 s1 AS (SELECT *, coalesce(lag(style) OVER w, '') AS before, last_value(CASE WHEN style IN ('portfolio', 'heading') THEN style END IGNORE NULLS) OVER w AS structure,
    coalesce(last_value(CASE WHEN style IN ('portfolio', 'heading') THEN style END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS structure_before
    FROM gl WINDOW w AS (PARTITION BY doc ORDER BY line_no)),
@@ -35,15 +38,16 @@ p3 AS (SELECT *, coalesce(sum(CASE WHEN kind = 'text' AND ended THEN 1 ELSE 0 EN
 cp AS (SELECT doc, measure_no, bullet_no, min(line_no) AS line_no, 'text' AS marker, string_agg(text, ' ' ORDER BY line_no) AS text FROM p3 WHERE kind = 'text' GROUP BY doc, measure_no, bullet_no, para
    UNION ALL SELECT doc, measure_no, bullet_no, min(line_no), arg_min(kind, line_no), string_agg(text, ' ' ORDER BY line_no) FROM p3 WHERE kind <> 'text' GROUP BY doc, measure_no, bullet_no),
 cm AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc, measure_no ORDER BY line_no) - 1 AS INT) AS ordinal FROM cp)"""
-PHRASES = """ph AS (SELECT *, lag(step) OVER w AS prev_step, lead(step) OVER w AS next_step FROM p3 WINDOW w AS (PARTITION BY doc, measure_no ORDER BY line_no)),
-px AS (SELECT doc, measure_no, line_no, 'Program ' || CAST(doc_id % 5 AS VARCHAR) || CASE WHEN next_step = 9 THEN ' Extension' ELSE '' END AS phrase FROM ph WHERE step = 8
-  UNION ALL SELECT doc, measure_no, line_no, 'Extension' FROM ph WHERE (step = 9 AND coalesce(prev_step, -1) <> 8) OR step = 12 UNION ALL SELECT doc, measure_no, line_no, 'Act 2002' FROM ph WHERE step = 10)"""
+PHRASES = f"""ru AS (SELECT *, CASE WHEN step = 8 THEN ws[greatest(len(ws) - 1, 1):] WHEN step IN (9, 12) THEN ws[1:1] WHEN step = 10 AND len(ws) > 1 THEN ws[2:2] END AS run,
+  CASE WHEN step = 8 THEN len(ws) <= 2 ELSE step IN (9, 12) END AS starts, CASE WHEN step = 8 THEN true WHEN step IN (9, 12) THEN len(ws) = 1 ELSE step = 10 AND len(ws) = 2 END AS ends FROM p3),
+op AS (SELECT *, coalesce(lag(ends) OVER (PARTITION BY doc, measure_no ORDER BY line_no), false) AS open_before FROM ru),
+jo AS (SELECT *, CAST(sum(CASE WHEN starts AND open_before AND kind NOT IN ('dot', 'dash') THEN 0 ELSE 1 END) OVER (PARTITION BY doc, measure_no ORDER BY line_no) AS BIGINT) AS phrase_no FROM op WHERE run IS NOT NULL),
+pt AS (SELECT doc, measure_no, min(line_no) AS line_no, regexp_replace(string_agg(array_to_string(run, ' '), ' ' ORDER BY line_no), '^{_BLANK}|{_BLANK}$', '', 'g') AS phrase FROM jo GROUP BY doc, measure_no, phrase_no),
+px AS (SELECT * FROM pt WHERE regexp_matches(phrase, '[\\p{{L}}\\p{{N}}]'))"""
 
 SQL = {
-    "T15_lines_of_words": """WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS doc, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-w AS (SELECT doc, pos, list_filter(string_split(t, ' '), lambda x: x <> '') AS ws FROM l),
-j AS (SELECT doc, CAST(pos // 40 + 1 AS INT) AS page, pos, list_reduce(list_transform(ws, lambda x, i: CASE WHEN i % 4 = 0 OR i = len(ws) THEN x ELSE x || ' ' END), lambda a, b: a || b) AS text FROM w WHERE len(ws) > 0)
-SELECT doc, page, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY pos) AS INT) AS line, md5(text) AS digest FROM j""",
+    "T15_lines_of_words": f"""WITH {DL} SELECT doc, page, line_no, style, CASE WHEN indented THEN 120e0 ELSE 90e0 END AS indent,
+  CASE WHEN step IN (8, 9, 12) OR step = 10 AND len(ws) > 1 THEN 1 ELSE 0 END AS n_runs, md5(text) AS digest FROM dl""",
     "T16_page_sections": f"WITH {DL} SELECT doc, page, section, is_read FROM pg",
     "T17_measures": f"""WITH {DL}, h AS (SELECT doc, measure_no, string_agg(text, ' ' ORDER BY line_no) AS title, arg_min(section, line_no) AS document_section, arg_min(page, line_no) AS source_page, arg_min(portfolio_no, line_no) AS portfolio_no
   FROM s2 WHERE style = 'heading' GROUP BY ALL), p AS (SELECT doc, portfolio_no, string_agg(replace(text, 'P ORTFOLIO', 'PORTFOLIO'), ' ' ORDER BY line_no) AS portfolio FROM s2 WHERE style = 'portfolio' GROUP BY ALL)

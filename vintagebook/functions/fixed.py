@@ -195,6 +195,8 @@ SPARSE_RATIO = 0.2
 # --- fixed values: write-up documents --------------------------------------------------
 CONTENT_TOP, CONTENT_BOTTOM = 110.0, 730.0
 LINE_TOLERANCE, WORD_GAP = 2.5, 1.0
+PORTFOLIO_SIZE, HEADING_SIZE, SIZE_TOLERANCE, DIVIDER_SIZE = 12.96, 9.96, 0.5, 13.0
+BULLET_GLYPHS, BULLET_INDENT = ("•", "–", "-", "*"), 112.0
 SECTION_MARKER = "(?i)^(?:Part\\s+\\d+:\\s*)?(Receipt|Payment|Revenue|Expense|Capital)\\s+Measures$"
 SUMMARY_CAPTION = "(?i)^Table\\s+(?:A\\.)?\\d+[:.]"
 FOREIGN_APPENDIX = "(?i)^Appendix\\s+[A-Z]:\\s*Policy\\s+decisions\\s+published\\s+in\\b"

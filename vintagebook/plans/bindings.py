@@ -18,7 +18,7 @@ from vintagebook.operators.identity import MEASURE_KEY, assign_measure_ids
 from vintagebook.operators.lookups import distinct_union
 from vintagebook.operators.measures import combine_impacts, first_of_duplicates, programs_touched
 from vintagebook.session import stored_folder
-from vintagebook.sources.store import write_table
+from vintagebook.sources.store import PARTITION, write_table
 
 YEAR_SHIFT = 20
 #: Years a matrix or pivot is asked for: arguments of those queries, wide enough for all years of the tables.
@@ -41,26 +41,38 @@ def row_id(*key: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
-#: Where an application has its tables: (application, directory, table) -> folder and columns.
-_BUILT: dict[tuple[str, str, str], tuple[str, list[str]]] = {}
+#: Where an application has its tables: (application, directory, its files' state, table) -> folder and columns.
+_BUILT: dict[tuple[str, str, str, str], tuple[str, list[str]]] = {}
 
 
 class Bound:
     """Logical tables over one directory of Parquet files.
 
     The tables that queries read (facts, measures, write-ups, ids) are built once per
-    application and directory, partitioned by edition, and read from there by all queries.
+    application, directory and state of its files, partitioned by edition where they have
+    one, and read from there by all queries. A changed file makes them be built anew.
     """
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.directory = spark, directory
 
+    @cached_property
+    def state(self) -> str:
+        """A digest of names, sizes and times of the files, whose contents are not read for it."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.directory)
+        mark = F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
+        found = files.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(mark)).alias("x"), F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("y")).first()
+        return f"{found['n']} {found['x']} {found['y']}"
+
     def built(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.directory, name)
+        key = (self.spark.sparkContext.applicationId, self.directory, self.state, name)
         if key not in _BUILT:
             rows = make()
             folder = stored_folder(self.spark)
-            write_table(rows, folder)
+            if PARTITION in rows.columns:
+                write_table(rows, folder)
+            else:
+                rows.write.parquet(folder)
             _BUILT[key] = folder, rows.columns
         folder, columns = _BUILT[key]
         return self.spark.read.parquet(folder).select(*columns)
@@ -190,6 +202,14 @@ class Bound:
 
     # --- write-ups ------------------------------------------------------------------
 
+    @cached_property
+    def styled_lines(self) -> DataFrame:
+        """Documents, printed as words, read back as styled lines."""
+        from vintagebook.operators.words import lines_of_words
+        from vintagebook.plans.sheets import document_words
+
+        return self.built("styled_lines", lambda: lines_of_words(document_words(self)))
+
     @cached_property
     def documents(self) -> DataFrame:
         """Documents as write-ups before de-duplication; some share their name with a measure of the facts."""

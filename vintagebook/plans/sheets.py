@@ -209,11 +209,19 @@ def measure_cells(bound: Bound) -> DataFrame:
     return head.unionByName(body)
 
 
-def document_lines(bound: Bound) -> DataFrame:
-    """Documents as styled lines: the place of a text line in a cycle of 13 decides its role.
+#: How a printed line of each style looks: font and size.
+PRINT = {
+    "portfolio": ("Arial-BoldMT", 12.96), "heading": ("Arial-BoldMT", 9.96), "table": ("ArialMT", 8.04), "divider": ("Arial-BoldMT", 15.0),
+    "bullet": ("BookAntiqua", 10.02), "dash": ("BookAntiqua", 10.02), "body": ("BookAntiqua", 10.02),
+}
+
+
+def _printed_lines(bound: Bound) -> DataFrame:
+    """Documents as lines to print: the place of a text line in a cycle of 13 decides its role.
 
     Roles that need a wording of their own (headings, tables, portfolios) get a line with
     it; the text line itself then follows as prose at the end of the cycle, so none is lost.
+    Words from ``slant`` to ``upright`` (counted from 0) are in italics.
     """
     raw = bound.table("documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "t"))
     pos, step, cycle = F.col("pos"), (F.col("pos") - 1) % 13, F.floor((F.col("pos") - 1) / 13)
@@ -238,26 +246,19 @@ def document_lines(bound: Bound) -> DataFrame:
         .when(step == 5, figures).when(step == 6, F.lit("and Trade")).when(step == 7, F.lit("Total – Payments 1.5 - nfp"))
         .otherwise(F.col("t"))
     )
-    run = lambda starts, ends, phrase: F.struct(
-        F.lit(starts).alias("starts_first"), F.lit(ends).alias("ends_last"), phrase.alias("phrase")
-    )
-    runs = (
-        F.when(step == 8, F.array(run(False, True, F.concat(F.lit("Program "), (F.col("doc_id") % 5).cast("string")))))
-        .when(step == 9, F.array(run(True, False, F.lit("Extension")), run(False, False, F.lit("."))))
-        .when(step == 10, F.array(run(False, False, F.lit("Act 2002"))))
-        .when(step == 12, F.array(run(True, False, F.lit("Extension"))))
-        .otherwise(F.array().cast("array<struct<starts_first:boolean,ends_last:boolean,phrase:string>>"))
-    )
     plain = ~first & ~divider & ~caption
-    none = F.array().cast("array<struct<starts_first:boolean,ends_last:boolean,phrase:string>>")
+    words = F.size(F.filter(F.split("t", " "), lambda w: w != ""))
+    slant = F.when(step == 8, F.greatest(words - 2, F.lit(0))).when(step.isin(9, 12), 0).when(step == 10, 1)
+    upright = F.when(step == 8, words - 1).when(step.isin(9, 12), 0).when(step == 10, 1)
+    none = F.lit(None).cast("int")
     place = F.when(first, F.lit(0)).otherwise((cycle + 1) * 26 + step)
     shown = F.struct(
         place.cast("long").alias("line_no"), text.alias("text"), F.when(divider, "divider").when(caption, "body").otherwise(style).alias("style"),
-        F.when(step.isin(11, 12), 120.0).otherwise(90.0).alias("indent"), F.when(plain, runs).otherwise(none).alias("italic_runs"),
+        F.when(step.isin(11, 12), 120.0).otherwise(90.0).alias("indent"), F.when(plain, slant).otherwise(none).alias("slant"), F.when(plain, upright).otherwise(none).alias("upright"),
     )
     moved = F.struct(
         (place + F.when(first, 1).otherwise(13)).cast("long").alias("line_no"), F.col("t").alias("text"), F.lit("body").alias("style"),
-        F.lit(90.0).alias("indent"), none.alias("italic_runs"),
+        F.lit(90.0).alias("indent"), none.alias("slant"), none.alias("upright"),
     )
     reworded = ~plain | step.between(0, 7)
     lines = raw.select(doc.alias("doc"), F.explode(F.when(reworded, F.array(shown, moved)).otherwise(F.array(shown))).alias("l"))
@@ -265,18 +266,28 @@ def document_lines(bound: Bound) -> DataFrame:
 
 
 def document_words(bound: Bound) -> DataFrame:
-    """Documents as positioned words: 40 lines a page, uneven baselines, narrow and wide gaps, a running header."""
-    lines = bound.table("documents").select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "t"))
-    words = lines.select("doc", "pos", F.posexplode(F.filter(F.split("t", " "), lambda w: w != "")).alias("w", "text"))
-    row = F.col("pos") % 40
-    gap = F.when(F.col("w") % 4 == 3, 0.5).otherwise(3.0)
-    body = words.select(
-        "doc", (F.floor(F.col("pos") / 40) + 1).cast("int").alias("page"), "text",
-        (F.lit(70.0) + F.col("w") * 12).alias("x0"), (F.lit(82.0) + F.col("w") * 12 - gap).alias("x1"),
-        (F.lit(120.0) + row * 14 + (F.col("w") % 3) * 0.7).alias("top"),
+    """Documents as positioned words: 40 lines a page, uneven baselines, long words in two parts that touch, a running header."""
+    lines = _printed_lines(bound).withColumn("row", F.col("line_no") % 40)
+    parts = lambda w: F.when(F.length(w) < 8, F.array(F.struct(w.alias("p"), F.lit(3.0).alias("gap")))).otherwise(
+        F.array(F.struct(F.substring(w, 1, 4).alias("p"), F.lit(0.5).alias("gap")), F.struct(F.substr(w, F.lit(5)).alias("p"), F.lit(3.0).alias("gap")))
+    )
+    font = F.element_at(F.create_map(*[F.lit(x) for style, (name, _) in PRINT.items() for x in (style, name)]), F.col("style"))
+    size = F.element_at(F.create_map(*[F.lit(x) for style, (_, pt) in PRINT.items() for x in (style, pt)]), F.col("style"))
+    words = lines.withColumns({"font": font, "size": size}).select("*", F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("w", "word"))
+    italic = F.coalesce(F.col("w").between(F.col("slant"), F.col("upright")), F.lit(False))
+    glyph = F.when(F.col("style") == "bullet", "•").when(F.col("style") == "dash", "–")
+    look = F.when(italic, "BookAntiqua-Italic").otherwise(F.col("font"))
+    shown = F.transform(parts(F.col("word")), lambda p: F.struct(p["p"].alias("p"), p["gap"].alias("gap"), look.alias("font")))
+    sign = F.array(F.struct(glyph.alias("p"), F.lit(3.0).alias("gap"), F.lit("TimesNewRomanPSMT").alias("font")))
+    pieces = F.when((F.col("w") == 0) & glyph.isNotNull(), F.concat(sign, shown)).otherwise(shown)
+    slots = words.select("*", F.posexplode(pieces).alias("i", "piece"))
+    x0 = F.col("indent") + F.col("w") * 24 + F.when(glyph.isNotNull() & ((F.col("w") > 0) | (F.col("i") > 0)), 12).otherwise(0) + F.when((F.col("w") > 0) | glyph.isNull(), F.col("i")).otherwise(F.greatest(F.col("i") - 1, F.lit(0))) * 12
+    page = (F.floor(F.col("line_no") / 40) + 1).cast("int").alias("page")
+    body = slots.select(
+        "doc", page, F.col("piece.p").alias("text"), x0.alias("x0"), (x0 + 12 - F.col("piece.gap")).alias("x1"),
+        (F.lit(120.0) + F.col("row") * 14 + ((F.col("w") + F.col("i")) % 3) * 0.7).alias("top"), F.col("piece.font").alias("font"), "size",
     )
-    running = lines.where(row == 0).select(
-        "doc", (F.floor(F.col("pos") / 40) + 1).cast("int").alias("page"), F.lit("Budget").alias("text"),
-        F.lit(70.0).alias("x0"), F.lit(90.0).alias("x1"), F.lit(50.0).alias("top"),
+    running = lines.where("row = 0").select(
+        "doc", page, F.lit("Budget").alias("text"), F.lit(70.0).alias("x0"), F.lit(90.0).alias("x1"), F.lit(50.0).alias("top"), F.lit("Arial-BoldMT").alias("font"), F.lit(9.96).alias("size"),
     )
     return body.unionByName(running)

@@ -39,7 +39,7 @@ MEASURE_TEXT_COMPONENT = (
 MEASURE_TEXT_RELATED = "measure_id string not null, ordinal int not null, phrase string not null"
 VECTORS = "id string, document string, measure_name string, edition string, portfolio string, embedding array<float>"
 CELLS = "source_file string, sheet_name string, sheet_idx int, row_idx int, col_idx int, value string, num double"
-WORDS = "doc string, page int, text string, x0 double, x1 double, top double"
+WORDS = "doc string, page int, text string, x0 double, x1 double, top double, font string, size double"
 LINES = (
     "doc string, page int, line_no int, text string, style string, indent double, "
     "italic_runs array<struct<starts_first: boolean, ends_last: boolean, phrase: string>>"
