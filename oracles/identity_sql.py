@@ -32,8 +32,16 @@ resolved AS (SELECT mp.*, CASE WHEN hit.id IS NOT NULL THEN hit.program_name WHE
   hit.outcome_description, hit.id IS NOT NULL AS matched FROM mp LEFT JOIN hit USING (id))"""
 SPELL_CANON = SPELL.replace("a.portfolio = w.portfolio", "a.portfolio = replace(w.portfolio, '2017-18 PBS ', '')").replace("b.portfolio = w.portfolio", "b.portfolio = replace(w.portfolio, '2017-18 PBS ', '')")
 DISPLAY = "disp AS (SELECT edition, short_name AS agency, arg_min(formal_name, id) AS formal_name FROM al GROUP BY ALL)"
-YEARS = [(y, f"{y}-{(y + 1) % 100}", f"fy_{y}_{(y + 1) % 100}") for y in range(2014, 2022)]
-CELLS = ", ".join(f"CAST(coalesce(sum(CASE WHEN fiscal_year = '{y}' THEN amount_thousands END), 0) AS BIGINT) AS {c}" for _, y, c in YEARS)
+
+
+def matrix(rows: str, key: str) -> str:
+    """Common tables ``mx``: the rows (key columns, fiscal_year, amount) with all years of their edition as text."""
+    return f"""cl AS ({rows}), yr AS (SELECT DISTINCT edition, fiscal_year FROM cl), ky AS (SELECT DISTINCT {key} FROM cl),
+mx AS (SELECT {key}, string_agg(fiscal_year || ':' || CAST(coalesce(amount, 0) AS VARCHAR), ',' ORDER BY fiscal_year) AS figures
+  FROM ky JOIN yr USING (edition) LEFT JOIN cl USING ({key}, fiscal_year) GROUP BY ALL)"""
+
+
+BY_DIRECTION = matrix("SELECT edition, direction, fiscal_year, CAST(sum(amount_thousands) AS BIGINT) AS amount FROM mi GROUP BY ALL", "edition, direction")
 DUP = "source_file, outcome_number, program_number, fiscal_year, estimate_type"
 PEF = PE.replace("fiscal_year, estimate_type, amount_thousands\n", "fiscal_year, estimate_type, amount_thousands, edition || '/' || r_name || '/' || short_name || '.xlsx' AS source_file\n")
 SEL = """sel AS (SELECT r_name AS portfolio, p_brand AS program_name, min(p_type) AS kind FROM base WHERE gap = 0 GROUP BY ALL),
@@ -78,9 +86,9 @@ SELECT measure_name, edition, agency, portfolio FROM a QUALIFY row_number() OVER
 SELECT {DUP}, id, amount_thousands AS dropped_amount, kept_amount FROM k WHERE amount_thousands <> kept_amount""",
     "W1_first_of_duplicates": f"WITH {PEF} SELECT {DUP}, id, amount_thousands FROM pe QUALIFY row_number() OVER (PARTITION BY {DUP} ORDER BY id) = 1",
     "A12_direction_totals": f"WITH {MI} SELECT measure_name, edition, fiscal_year, direction, CAST(sum(amount_thousands) AS BIGINT) AS amount_thousands FROM mi GROUP BY ALL",
-    "A13_impact_matrix": f"""WITH {MI} SELECT edition, direction, agency, false AS is_total, {CELLS} FROM mi GROUP BY edition, direction, agency
-UNION ALL SELECT edition, direction, 'Total' AS agency, true AS is_total, {CELLS} FROM mi GROUP BY edition, direction""",
-    "A14_combined_matrix": f"WITH {MI} SELECT edition, direction, {CELLS} FROM mi GROUP BY edition, direction",
+    "A13_impact_matrix": f"""WITH {MI}, {matrix("SELECT edition, direction, agency, false AS is_total, fiscal_year, CAST(sum(amount_thousands) AS BIGINT) AS amount FROM mi GROUP BY ALL UNION ALL "
+        "SELECT edition, direction, 'Total', true, fiscal_year, CAST(sum(amount_thousands) AS BIGINT) FROM mi GROUP BY ALL", "edition, direction, agency, is_total")} SELECT * FROM mx""",
+    "A14_combined_matrix": f"WITH {MI}, {BY_DIRECTION} SELECT * FROM mx",
     "A14_net_totals": f"""WITH {MI} SELECT measure_id, measure_name, edition, CAST(sum(amount_thousands) AS BIGINT) AS net_total,
   CAST(coalesce(sum(amount_thousands) FILTER (direction = 'payment'), 0) AS BIGINT) AS payment_total, CAST(coalesce(sum(amount_thousands) FILTER (direction = 'receipt'), 0) AS BIGINT) AS receipt_total FROM mi GROUP BY ALL""",
     "A15_dominant_agency": f"""WITH {MI}, t AS (SELECT measure_name, edition, agency, CAST(sum(amount_thousands) AS BIGINT) AS total FROM mi GROUP BY ALL)

@@ -16,7 +16,7 @@ DOCS = f"""
 docs AS (
   SELECT doc_id, lang, source, text,
     CASE WHEN doc_id % 4 = 0 AND p_name IS NOT NULL THEN p_type || ' - ' || p_name ELSE source || ' - write-up ' || CAST(doc_id AS VARCHAR) END AS measure_name,
-    {array(EDITIONS)}[doc_id % len({array(EDITIONS)}) + 1] AS edition,
+    {EDITIONS}[doc_id % len({EDITIONS}) + 1] AS edition,
     {array(RAW_PORTFOLIOS)}[CAST(replace(source, 'src', '') AS INT) % 20 + 1] AS portfolio,
     CASE lang WHEN 'en' THEN 'payment' WHEN 'fr' THEN 'receipt' ELSE 'capital' END AS document_section,
     CAST(doc_id % 300 + 1 AS INT) AS source_page, string_split(text, chr(10)) AS lines

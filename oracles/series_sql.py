@@ -105,9 +105,7 @@ SELECT *, amount_thousands - previous_amount AS revision FROM q""",
     "A11_trend": f"WITH {PE}, {CLEAN} SELECT fiscal_year, CAST(sum(amount_thousands) AS BIGINT) AS amount_thousands FROM clean GROUP BY ALL",
     "A11_trend_by_portfolio": f"WITH {PE}, {CLEAN} SELECT fiscal_year, portfolio_key, CAST(sum(amount_thousands) AS BIGINT) AS amount_thousands FROM clean GROUP BY ALL",
     "Q14_top_portfolios_pivot": f"""WITH {PE}, ac AS (SELECT * FROM pe WHERE estimate_type = 'estimated_actual'), g AS ({top('ac', 'portfolio', 3)})
-SELECT label_group, """ + ", ".join(
-        f"CAST(sum(CASE WHEN fiscal_year = '{y}-{(y + 1) % 100}' THEN amount_thousands END) AS BIGINT) AS fy_{y}_{(y + 1) % 100}" for y in range(2014, 2022)
-    ) + " FROM g GROUP BY ALL",
+SELECT label_group, string_agg(fiscal_year || ':' || CAST(amount_thousands AS VARCHAR), ',' ORDER BY fiscal_year) AS figures FROM g GROUP BY ALL""",
     "A18_distinct_counts": f"""WITH {PE} SELECT portfolio, count(DISTINCT agency) AS n_agencies, count(DISTINCT program_name) AS n_programs,
   round(avg(CASE WHEN coalesce(outcome_description, '') = '' THEN 1.0 ELSE 0.0 END), 6) AS missing_share FROM pe GROUP BY ALL""",
     "A19_top_groups": f"WITH {PE}, ac AS (SELECT * FROM pe WHERE estimate_type = 'estimated_actual') {top('ac', 'program_name', 3, 'agency')}",
@@ -117,7 +115,6 @@ SELECT agency, outcome_number, coalesce(u.o, r.d, 'Outcome ' || CAST(outcome_num
 FROM r JOIN u USING (agency, budget_year, program_name, outcome_number) GROUP BY ALL""",
     "Q14_outcome_profile": f"""WITH {PE}, {CLEAN} {top('clean', 'outcome_label', 4, 'agency')}""",
     "Q14_program_profile": f"""WITH {PE}, {CLEAN}, c AS (SELECT * FROM clean WHERE contains(lower(outcome_label), 'promo')) {top('c', 'program_name', 3, 'agency')}""",
-    "Q15_program_comparison": f"WITH {PE}, st AS ({stitch('pe', 'program_name')}) SELECT program_name, " + ", ".join(
-        f"CAST(sum(CASE WHEN fiscal_year = '{y}-{(y + 1) % 100}' THEN amount_thousands END) AS BIGINT) AS fy_{y}_{(y + 1) % 100}" for y in range(2014, 2022)
-    ) + " FROM st GROUP BY ALL",
+    "Q15_program_comparison": f"""WITH {PE}, st AS ({stitch('pe', 'program_name')})
+SELECT program_name, string_agg(fiscal_year || ':' || CAST(amount_thousands AS VARCHAR), ',' ORDER BY fiscal_year) AS figures FROM st GROUP BY ALL""",
 }

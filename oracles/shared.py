@@ -75,11 +75,9 @@ MIP = MI + f""", mp AS (
 PE_ONLY = PE[len(BASE):]
 
 LATEST = f"(SELECT {fy('max(CAST(year(o_orderdate) AS INT)) + 20')} || ' Budget' FROM orders WHERE month(o_orderdate) <= 6)"
-EDITIONS = [
-    f"{y}-{(y + 1) % 100} {kind}" for y in range(2015, 2022)
-    for kind in (("March Budget", "October Budget", "MYEFO") if y == 2016 else ("Budget", "MYEFO"))
-]
-_LIST = "[" + ", ".join(f"'{e}'" for e in EDITIONS) + "]"
+_ORDER_YEAR = "(CAST(year(o_orderdate) AS INT) + 20)"
+EDITIONS = f"""(SELECT list(edition ORDER BY {eord('edition')}, edition) FROM (SELECT DISTINCT {fy(_ORDER_YEAR)} || CASE WHEN month(o_orderdate) > 6 THEN ' MYEFO'
+  WHEN {_ORDER_YEAR} = 2016 AND month(o_orderdate) <= 3 THEN ' March Budget' WHEN {_ORDER_YEAR} = 2016 THEN ' October Budget' ELSE ' Budget' END AS edition FROM orders WHERE o_orderdate IS NOT NULL))"""
 ALIASES = f"""
 al AS (
   SELECT edition, substr(edition, 1, 7) AS budget_year, r_name AS portfolio, formal_name, short_name, id FROM (
@@ -89,7 +87,7 @@ al AS (
                 WHEN n_nationkey % 5 = 0 AND edition LIKE '%MYEFO' THEN n_name || ' Commission' END AS formal_name,
            CAST(n_nationkey * 1000 + name_no * 100 + edition_no AS BIGINT) AS id
     FROM nation JOIN region ON r_regionkey = n_regionkey,
-         (SELECT unnest({_LIST}) AS edition, generate_subscripts({_LIST}, 1) - 1 AS edition_no), (VALUES (0), (1)) v(name_no)
+         (SELECT unnest(l) AS edition, generate_subscripts(l, 1) - 1 AS edition_no FROM (SELECT {EDITIONS} AS l)), (VALUES (0), (1)) v(name_no)
   ) WHERE formal_name IS NOT NULL
 )"""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintagebook.functions.names import canonical_portfolio
@@ -54,36 +54,35 @@ def direction_totals(impacts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return impacts.groupBy(*keys, "fiscal_year", "direction").agg(F.sum("amount_thousands").alias("amount_thousands"))
 
 
-def impact_matrix(impacts: DataFrame, keys: Sequence[str], years: Sequence[str], row: str = "agency") -> DataFrame:
-    """Agency by year per direction, absent cells 0, with a "Total" row per direction.
+def _matrix(impacts: DataFrame, keys: Sequence[str], row: str | None) -> DataFrame:
+    """Figures as a map by fiscal year, per (keys, direction) and, with ``row``, per row and for all rows.
 
-    Rows and totals come out of one aggregation over grouping sets; each year is a
-    conditional sum, so no pivot job has to look for the years first.
+    One aggregation over grouping sets gives the cells of all levels and the years that a
+    matrix has; every row then gets all years of its matrix, absent cells as 0. No list of
+    years is asked for, and no job looks for them first.
     """
-    by = [*keys, "direction"]
-    cells = [
-        F.coalesce(F.sum(F.when(F.col("fiscal_year") == y, F.col("amount_thousands"))), F.lit(0)).alias(
-            "fy_" + y.replace("-", "_")
-        )
-        for y in years
-    ]
-    columns = [F.col(c) for c in [*by, row]]
-    sets = [columns, columns[:-1]]
-    out = impacts.groupingSets(sets, *columns).agg(F.grouping(row).alias("is_total"), *cells)
-    return out.withColumn(row, F.when(F.col("is_total") == 1, F.lit("Total")).otherwise(F.col(row))).withColumn(
-        "is_total", F.col("is_total") == 1
+    own, by = list(keys) or ["__all"], [*(list(keys) or ["__all"]), "direction"]
+    year, extra = "fiscal_year", [row] if row else []
+    sets = [[*by, *extra, year], *([[*by, year]] if row else []), [*own, year]]
+    cells = impacts.withColumn("__all", F.lit(0)).groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in sets[0]]).agg(
+        F.sum("amount_thousands").alias("amount"), F.grouping("direction").alias("__years"),
+        (F.grouping(row) if row else F.lit(0)).alias("__total"),
     )
+    years = cells.where("__years = 1").groupBy(*own).agg(F.array_sort(F.collect_set(year)).alias("years"))
+    rows = cells.where("__years = 0").groupBy(*by, *extra, "__total").agg(F.map_from_entries(F.collect_list(F.struct(year, "amount"))).alias("figures"))
+    filled = F.map_from_entries(F.transform("years", lambda y: F.struct(y, F.coalesce(F.try_element_at("figures", y), F.lit(0).cast("long")))))
+    return rows.join(years, own).withColumn("figures", filled).drop("years", *([] if keys else ["__all"]))
 
 
-def combined_matrix(impacts: DataFrame, keys: Sequence[str], years: Sequence[str]) -> DataFrame:
-    """Direction by year over all measures of a selection."""
-    cells = [
-        F.coalesce(F.sum(F.when(F.col("fiscal_year") == y, F.col("amount_thousands"))), F.lit(0)).alias(
-            "fy_" + y.replace("-", "_")
-        )
-        for y in years
-    ]
-    return impacts.groupBy(*keys, "direction").agg(*cells)
+def impact_matrix(impacts: DataFrame, keys: Sequence[str], row: str = "agency") -> DataFrame:
+    """Agency by year per direction: ``figures`` maps every year of the matrix to an amount; a "Total" row per direction."""
+    out = _matrix(impacts, keys, row).withColumn("is_total", F.col("__total") == 1).drop("__total")
+    return out.withColumn(row, F.when(F.col("is_total"), F.lit("Total")).otherwise(F.col(row)))
+
+
+def combined_matrix(impacts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Direction by year over all measures of a selection, as a map."""
+    return _matrix(impacts, keys, None).drop("__total")
 
 
 def net_totals(impacts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -145,6 +144,12 @@ def grouped_financials(financials: DataFrame) -> DataFrame:
     return grouped
 
 
+def ordered_financials(grouped: DataFrame) -> DataFrame:
+    """Groups of figures with their position in the measure's table: by type, own before related, then as printed."""
+    shown = Window.partitionBy("measure_id").orderBy("impact_type", "is_related", "first_row", "department_name")
+    return grouped.withColumn("position", F.row_number().over(shown))
+
+
 def reconcile(parsed: DataFrame, printed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Parsed sums against the printed totals, with the difference; 0 means they agree."""
     sums = parsed.groupBy(*keys).agg(F.sum("amount_thousands").alias("parsed_total"))

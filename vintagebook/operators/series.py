@@ -164,11 +164,12 @@ def top_group_labels(facts: DataFrame, label: str, out: str, top: int = V.TOP_GR
     return joined.withColumn(out, F.when(F.col("__rank").isNotNull(), F.col(label)).otherwise(F.lit("Other"))).drop("__rank")
 
 
-def pivot_years(points: DataFrame, keys: Sequence[str], years: Sequence[str], value: str = "amount_thousands", fill: Column | None = None) -> DataFrame:
-    """Years as columns. The years are given, so that no extra job has to find them."""
-    wide = points.groupBy(*keys).pivot("fiscal_year", list(years)).agg(F.sum(value))
-    for year in years:
-        name = "fy_" + year.replace("-", "_")
-        column = F.col(f"`{year}`")
-        wide = wide.withColumn(name, F.coalesce(column, fill) if fill is not None else column).drop(year)
-    return wide
+def figures_by_year(points: DataFrame, keys: Sequence[str], value: str = "amount_thousands") -> DataFrame:
+    """One row per key, its figures as a map by fiscal year; a year without a figure is absent."""
+    cells = points.groupBy(*keys, "fiscal_year").agg(F.sum(value).alias(value))
+    return cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("fiscal_year", value))).alias("figures"))
+
+
+def figures_text(figures: Column) -> Column:
+    """A map of figures as text, in the order of years."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(figures)), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")

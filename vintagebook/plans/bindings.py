@@ -21,13 +21,6 @@ from vintagebook.session import stored_folder
 from vintagebook.sources.store import PARTITION, write_table
 
 YEAR_SHIFT = 20
-#: Years a matrix or pivot is asked for: arguments of those queries, wide enough for all years of the tables.
-FISCAL_YEARS = [f"{y}-{(y + 1) % 100}" for y in range(2014, 2022)]
-#: Editions of the alias table and of write-ups; 2016-17 has two budgets.
-EDITIONS = [
-    f"{y}-{(y + 1) % 100} {kind}" for y in range(2015, 2022)
-    for kind in (("March Budget", "October Budget", "MYEFO") if y == 2016 else ("Budget", "MYEFO"))
-]
 RAW_PORTFOLIOS = [
     "AG", "DFAT", "PM&C", "Veterans", "DAFF", "2020-21 PAES AGs", "2021-22 PBS PM&C1", "HEALTH", "Health",
     "Foreign Affairs & Trade", "TREASURY", "DISER", "CCEEW", "Parliamentary Departments", "", "EDUCATION",
@@ -45,6 +38,17 @@ def row_id(*key: Column | str) -> Column:
 _BUILT: dict[tuple[str, str, str, str], tuple[str, list[str]]] = {}
 
 
+def edition_of(year: Column, month: Column) -> Column:
+    """The publication of a month: a budget in the first half of a year, two of them in 2016, an update in the second."""
+    half = (
+        F.when(month > 6, F.lit(" MYEFO"))
+        .when((year == 2016) & (month <= 3), F.lit(" March Budget"))
+        .when(year == 2016, F.lit(" October Budget"))
+        .otherwise(F.lit(" Budget"))
+    )
+    return F.concat(fiscal_year_label(year), half)
+
+
 class Bound:
     """Logical tables over one directory of Parquet files.
 
@@ -86,6 +90,14 @@ class Bound:
         year = self.table("orders").where(F.month("o_orderdate") <= 6).agg(F.max(F.year("o_orderdate")) + YEAR_SHIFT).first()[0]
         return f"{year}-{(year + 1) % 100:02d} Budget"
 
+    @cached_property
+    def editions(self) -> list[str]:
+        """All editions there are orders for, in order: two or three a year, asked for once."""
+        dated = self.table("orders").select((F.year("o_orderdate") + YEAR_SHIFT).alias("y"), F.month("o_orderdate").alias("m"))
+        found = dated.select("y", edition_of(F.col("y"), F.col("m")).alias("edition")).where("edition is not null").distinct().collect()
+        rank = {"MYEFO": 2, "October": 1}
+        return [e for _, _, e in sorted((r["y"], rank.get(r["edition"].split(" ")[1], 0), r["edition"]) for r in found)]
+
     # --- facts -------------------------------------------------------------------
 
     @cached_property
@@ -108,19 +120,13 @@ class Bound:
         )
         joined = items.join(orders, "l_orderkey").join(parts, "l_partkey").join(suppliers, "l_suppkey")
         year = F.col("order_year")
-        half = (
-            F.when(F.col("order_month") > 6, F.lit(" MYEFO"))
-            .when((year == 2016) & (F.col("order_month") <= 3), F.lit(" March Budget"))
-            .when(year == 2016, F.lit(" October Budget"))
-            .otherwise(F.lit(" Budget"))
-        )
         short = F.concat(F.when(year % 2 == 0, F.lit("N")).otherwise(F.lit("OCT N")), F.col("s_nationkey").cast("string"))
         gap = F.col("ship_year") - year
         kind = F.when(gap < 0, "estimated_actual").when(gap == 0, "budget").otherwise("forward_estimate")
         return joined.select(
             "id", "l_suppkey", "p_name", "p_type", "l_returnflag", "l_linestatus", "r_name", "n_name", "p_brand",
             year.alias("order_year"), gap.alias("gap"), "amount_thousands",
-            F.concat(fiscal_year_label(year), half).alias("edition"), fiscal_year_label(year).alias("budget_year"),
+            edition_of(year, F.col("order_month")).alias("edition"), fiscal_year_label(year).alias("budget_year"),
             fiscal_year_label(F.col("ship_year")).alias("fiscal_year"), kind.alias("estimate_type"), short.alias("short_name"),
             (F.col("p_size") % 5 + 1).cast("int").alias("outcome_number"),
             F.regexp_extract("p_brand", "(\\d+)$", 1).cast("int").alias("brand"),
@@ -185,7 +191,7 @@ class Bound:
     def agency_aliases(self) -> DataFrame:
         """Every nation under its formal and its short name, per edition; some have a second formal name."""
         places = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        editions = F.posexplode(F.array(*[F.lit(e) for e in EDITIONS])).alias("edition_no", "edition")
+        editions = F.posexplode(F.array(*[F.lit(e) for e in self.editions])).alias("edition_no", "edition")
         rows = places.select("n_nationkey", "n_name", "r_name", editions)
         even = F.substring("edition", 1, 4).cast("int") % 2 == 0
         short = F.concat(F.when(even, F.lit("N")).otherwise(F.lit("OCT N")), F.col("n_nationkey").cast("string"))
@@ -220,7 +226,7 @@ class Bound:
         name = F.when(shared, F.concat_ws(" - ", "p_type", "p_name")).otherwise(
             F.concat(F.col("source"), F.lit(" - write-up "), F.col("doc_id").cast("string"))
         )
-        edition = F.element_at(F.array(*[F.lit(e) for e in EDITIONS]), (F.col("doc_id") % len(EDITIONS) + 1).cast("int"))
+        edition = F.element_at(F.array(*[F.lit(e) for e in self.editions]), (F.col("doc_id") % len(self.editions) + 1).cast("int"))
         source_no = F.regexp_extract("source", "(\\d+)$", 1).cast("int")
         raw = F.element_at(F.array(*[F.lit(p) for p in RAW_PORTFOLIOS]), source_no % len(RAW_PORTFOLIOS) + 1)
         section = F.when(F.col("lang") == "en", "payment").when(F.col("lang") == "fr", "receipt").otherwise("capital")

@@ -33,18 +33,18 @@ def toggle_selection(selection: DataFrame, items: DataFrame, key: Sequence[str])
 
 # --- selected measures --------------------------------------------------------------------------
 
-def combined_summary(impacts: DataFrame, years: Sequence[str], keys: Sequence[str] = ()) -> dict[str, DataFrame]:
+def combined_summary(impacts: DataFrame, keys: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Matrix by direction and year, each measure's totals, and the agency with the largest effect."""
     return {
-        "matrix": M.combined_matrix(impacts, keys, years),
+        "matrix": M.combined_matrix(impacts, keys),
         "measures": M.net_totals(impacts, [*keys, "measure_id", "measure_name", "edition"]),
         "dominant_agency": M.dominant_agency(impacts, keys),
     }
 
 
-def program_comparison(expenses: DataFrame, latest: str, years: Sequence[str]) -> DataFrame:
-    """Program by year matrix of stitched figures; a year without a figure is null."""
-    return S.pivot_years(S.stitched_series(expenses, ["program_name"], latest), ["program_name"], years)
+def program_comparison(expenses: DataFrame, latest: str) -> DataFrame:
+    """Program by year matrix of stitched figures, as maps; a year without a figure is absent."""
+    return S.figures_by_year(S.stitched_series(expenses, ["program_name"], latest), ["program_name"])
 
 
 # --- agency overlay -------------------------------------------------------------------------------

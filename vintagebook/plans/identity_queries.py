@@ -11,7 +11,8 @@ from vintagebook.operators import measures as M
 from vintagebook.operators.identity import MEASURE_KEY
 from vintagebook.operators.lookups import distinct_union
 from vintagebook.plans import comparison as C
-from vintagebook.plans.bindings import FISCAL_YEARS, Bound
+from vintagebook.operators.series import figures_text
+from vintagebook.plans.bindings import Bound
 from vintagebook.plans.registry import query
 
 
@@ -139,12 +140,12 @@ def direction_totals(b: Bound) -> DataFrame:
 
 @query("A13_impact_matrix")
 def matrix(b: Bound) -> DataFrame:
-    return M.impact_matrix(b.measure_impacts, ["edition"], FISCAL_YEARS)
+    return M.impact_matrix(b.measure_impacts, ["edition"]).withColumn("figures", figures_text(F.col("figures")))
 
 
 @query("A14_combined_matrix")
 def combined_matrix(b: Bound) -> DataFrame:
-    return M.combined_matrix(b.measure_impacts, ["edition"], FISCAL_YEARS)
+    return M.combined_matrix(b.measure_impacts, ["edition"]).withColumn("figures", figures_text(F.col("figures")))
 
 
 @query("A14_net_totals")

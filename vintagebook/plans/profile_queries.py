@@ -12,7 +12,7 @@ from vintagebook.operators import series as R
 from vintagebook.operators.identity import MEASURE_KEY
 from vintagebook.plans import comparison as C
 from vintagebook.plans import profiles as P
-from vintagebook.plans.bindings import FISCAL_YEARS, Bound
+from vintagebook.plans.bindings import Bound, row_id
 from vintagebook.plans.registry import query
 from vintagebook.plans.search_queries import TEXT_QUERY, TOPIC_QUERIES, _texts_by_document
 
@@ -85,6 +85,20 @@ def write_up_related(b: Bound) -> DataFrame:
     return _write_up(b)["related_measures"]
 
 
+@query("Q7_write_up_components")
+def write_up_components(b: Bound) -> DataFrame:
+    parts = _write_up(b)["components"]
+    return parts.select("measure_id", "ordinal", "level", "marker", "parent_ordinal", F.md5("text").alias("digest"))
+
+
+@query("Q7_write_up_figures")
+def write_up_figures(b: Bound) -> DataFrame:
+    """Headline figures as printed: groups in order, values in order within."""
+    groups = _write_up(b)["headline_financials"]
+    values = groups.select("measure_id", "position", "impact_type", "is_related", "department_name", F.posexplode("values").alias("value_no", "v"))
+    return values.select("measure_id", "position", "impact_type", "is_related", "department_name", "value_no", "v.value_kind", "v.value_numeric_million", "v.value_raw")
+
+
 @query("Q8_measure_list")
 def measure_list(b: Bound) -> DataFrame:
     cat = M.catalogue(b.measure_text, b.measure_impacts, b.measure_programs)
@@ -98,15 +112,26 @@ def by_id(b: Bound) -> DataFrame:
     return found.select("measure_id", *MEASURE_KEY)
 
 
-@query("Q10_combined_measures")
-def combined(b: Bound) -> DataFrame:
-    """All write-ups plus ids that belong to nothing."""
+def _request(b: Bound) -> DataFrame:
+    """All write-ups plus ids that belong to nothing, in the order of a digest; every tenth is asked for twice."""
     from vintagebook.functions.ids import measure_id
 
     unknown = b.related.select(measure_id(F.col("phrase"), F.lit("nowhere")).alias("measure_id"))
-    requested = b.measure_text.select("measure_id").unionByName(unknown).distinct()
-    rows = P.combined_measures(requested, b.measure_text, b.measure_impacts, b.measure_programs, b.agency_aliases)
-    return rows.select("measure_id", *MEASURE_KEY, listed("portfolios"), listed("agencies"), "n_impacts", "n_programs", "has_financial_data", "not_found")
+    ids = b.measure_text.select("measure_id").unionByName(unknown).distinct()
+    again = row_id("measure_id") % 10 == 0
+    return ids.select("measure_id", F.explode(F.when(again, F.array(row_id("measure_id"), row_id("measure_id", F.lit("again")))).otherwise(F.array(row_id("measure_id")))).alias("position"))
+
+
+@query("Q10_combined_measures")
+def combined(b: Bound) -> DataFrame:
+    rows = P.combined_measures(_request(b), b.measure_text, b.measure_impacts, b.measure_programs, b.agency_aliases)
+    return rows.select("position", "measure_id", *MEASURE_KEY, listed("portfolios"), listed("agencies"), "n_impacts", "n_programs", "has_financial_data", "not_found")
+
+
+@query("Q10_combined_rows")
+def combined_rows(b: Bound) -> DataFrame:
+    """The lists inside the answer: impact and program rows of every requested measure."""
+    return P.combined_rows(_request(b), b.measure_text, b.measure_impacts, b.measure_programs, b.program_expenses, b.agency_aliases)
 
 
 @query("Q11_measures_by_program")
@@ -117,15 +142,17 @@ def by_program(b: Bound) -> DataFrame:
 
 @query("Q12_topic_search")
 def topic_search(b: Bound) -> DataFrame:
-    """Topic hits with the fields of the catalogue."""
+    """Topic hits with the fields of the catalogue; a hit without a document has a null measure and empty fields."""
     found = S.topic_search(b.vectors, b.vector_meta, _texts_by_document(b), b.query_vectors(TOPIC_QUERIES), 50)
     hits = found.withColumn("measure_id", F.col("measure_id").cast("string"))
-    rows = S.with_catalogue_fields(
-        hits.select(*MEASURE_KEY, "portfolio", "measure_id").distinct(), b.measure_impacts, b.measure_programs, []
-    )
-    return hits.select("query_id", "rank", *MEASURE_KEY, "score", "snippet").join(
-        rows.select(*MEASURE_KEY, listed("portfolios"), listed("agencies"), "has_financial_data"), MEASURE_KEY
-    )
+    known = hits.where("measure_name is not null").select(*MEASURE_KEY, "portfolio", "measure_id").distinct()
+    rows = S.with_catalogue_fields(known, b.measure_impacts, b.measure_programs, [])
+    fields = rows.select(*MEASURE_KEY, listed("portfolios"), listed("agencies"), "has_financial_data")
+    joined = hits.select("query_id", "rank", *MEASURE_KEY, "score", "snippet").join(fields, MEASURE_KEY, "left")
+    return joined.withColumns({
+        "portfolios": F.coalesce("portfolios", F.lit("")), "agencies": F.coalesce("agencies", F.lit("")),
+        "has_financial_data": F.coalesce("has_financial_data", F.lit(False)),
+    })
 
 
 @query("Q13_text_search")
@@ -135,17 +162,21 @@ def text_search(b: Bound) -> DataFrame:
     return rows.select("measure_id", *MEASURE_KEY, listed("portfolios"), listed("agencies"), "has_financial_data", "snippet")
 
 
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("figures", R.figures_text(F.col("figures")))
+
+
 @query("Q15_combined_summary")
 def combined_summary(b: Bound) -> DataFrame:
     """One selection per edition: its matrix beside the agency with the largest effect."""
-    parts = C.combined_summary(b.measure_impacts, FISCAL_YEARS, ["edition"])
-    return parts["matrix"].join(parts["dominant_agency"], "edition")
+    parts = C.combined_summary(b.measure_impacts, ["edition"])
+    return shown(parts["matrix"].join(parts["dominant_agency"], "edition"))
 
 
 @query("Q15_program_matrix")
 def program_matrix(b: Bound) -> DataFrame:
     series = R.stitched_series(b.program_expenses, ["portfolio", "program_name"], b.latest)
-    return R.pivot_years(series, ["portfolio", "program_name"], FISCAL_YEARS)
+    return shown(R.figures_by_year(series, ["portfolio", "program_name"]))
 
 
 @query("Q16_overlay_agencies")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintagebook.functions.names import canonical_portfolio
@@ -20,6 +20,10 @@ PROGRAM_COLUMNS = [
     "program_name", "outcome_number", "outcome_description",
 ]
 
+_PROGRAM_PART = {
+    "program_number": "string", "is_departmental": "boolean", "program_name": "string", "outcome_number": "int", "outcome_description": "string",
+}
+
 
 # --- measures ---------------------------------------------------------------------------
 
@@ -63,21 +67,27 @@ def measure_heads(
     )
 
 
+def requested_measures(requested: DataFrame, impacts: DataFrame, programs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(position, measure_id, measure_name, edition) of a request; unknown ids have no name. Tables are reduced to the ids asked for first."""
+    ids = requested.select("measure_id").distinct()
+    resolved = I.resolve_ids(*[t.join(ids, "measure_id", "left_semi") for t in (impacts, programs, texts)])
+    return requested.select("position", "measure_id").join(resolved.drop("source"), "measure_id", "left")
+
+
 def combined_measures(
     requested: DataFrame, texts: DataFrame, impacts: DataFrame, programs: DataFrame, aliases: DataFrame
 ) -> DataFrame:
-    """Requested ids with their measures; text-only measures have empty lists; unknown ids are marked not found."""
-    resolved = I.resolve_ids(impacts, programs, texts)
-    found = requested.select("measure_id").distinct().join(resolved.drop("source"), "measure_id", "left")
+    """Requested (position, measure_id) with their measures, a row per position; text-only measures have empty lists; unknown ids are marked not found."""
+    found = requested_measures(requested, impacts, programs, texts)
     heads = measure_heads(impacts, programs, aliases, found.where("measure_name is not null"), canonical=True).drop("measure_id")
-    own = texts.groupBy(*MEASURE_KEY).agg(F.min_by("portfolio", "id").alias("text_portfolio"))
+    own = restrict(texts, found).groupBy(*MEASURE_KEY).agg(F.min_by("portfolio", "id").alias("text_portfolio"))
     joined = found.join(heads, MEASURE_KEY, "left").join(own, MEASURE_KEY, "left")
     empty = F.array().cast("array<string>")
     lone = F.when(
         F.coalesce(F.col("text_portfolio"), F.lit("")) != "", F.array(canonical_portfolio(F.col("text_portfolio")))
     ).otherwise(empty)
     return joined.select(
-        "measure_id", *MEASURE_KEY,
+        "position", "measure_id", *MEASURE_KEY,
         F.coalesce("portfolios", F.when(F.col("measure_name").isNotNull(), lone)).alias("portfolios"),
         F.coalesce("agencies", F.when(F.col("measure_name").isNotNull(), empty)).alias("agencies"),
         F.coalesce("n_impacts", F.lit(0)).alias("n_impacts"), F.coalesce("n_programs", F.lit(0)).alias("n_programs"),
@@ -85,6 +95,29 @@ def combined_measures(
     )
 
 
+def combined_rows(
+    requested: DataFrame, texts: DataFrame, impacts: DataFrame, programs: DataFrame, expenses: DataFrame, aliases: DataFrame
+) -> DataFrame:
+    """The impact and program rows of every requested measure: one long table by position, kind and place in its list.
+
+    Facts are reduced to the request's measures first and shown once per measure; a
+    measure asked for twice gets its rows at both positions.
+    """
+    found = requested_measures(requested, impacts, programs, texts).where("measure_name is not null")
+    shown_impacts = measure_impacts_shown(impacts, aliases, found).select(
+        *MEASURE_KEY, F.lit("impact").alias("kind"), "id", "portfolio", "agency", "direction", "fiscal_year", "amount_thousands",
+        *[F.lit(None).cast(t).alias(c) for c, t in _PROGRAM_PART.items()],
+    )
+    resolved = I.with_display_agency(I.resolve_programs(restrict(programs, found), expenses, aliases), aliases)
+    shown_programs = resolved.select(
+        *MEASURE_KEY, F.lit("program").alias("kind"), "id", "portfolio", F.col("display_agency").alias("agency"), "direction",
+        F.lit(None).cast("string").alias("fiscal_year"), F.lit(None).cast("long").alias("amount_thousands"), *_PROGRAM_PART,
+    )
+    listed = Window.partitionBy(*MEASURE_KEY, "kind").orderBy("id")
+    rows = shown_impacts.unionByName(shown_programs).withColumn("row_no", F.row_number().over(listed)).drop("id")
+    return found.select("position", "measure_id", *MEASURE_KEY).join(rows, MEASURE_KEY)
+
+
 def measures_by_program(
     impacts: DataFrame, programs: DataFrame, expenses: DataFrame, aliases: DataFrame, wanted: DataFrame | None = None
 ) -> DataFrame:
@@ -98,7 +131,7 @@ def measures_by_program(
 def write_up(
     texts: DataFrame, components: DataFrame, related: DataFrame, financials: DataFrame, impacts: DataFrame, keys: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """A write-up's parts: head, ordered components, related measures, figures."""
+    """A write-up's parts: head, components by ordinal, related measures, figures by position."""
     head = restrict(texts, keys)
     ids = head.select("measure_id").distinct()
     own = related.join(ids.withColumnRenamed("measure_id", "text_id"), "text_id", "left_semi")
@@ -106,7 +139,7 @@ def write_up(
         "head": head,
         "components": components.join(ids, "measure_id", "left_semi"),
         "related_measures": I.related_measures(own, texts, impacts),
-        "headline_financials": M.grouped_financials(financials.join(ids, "measure_id", "left_semi")),
+        "headline_financials": M.ordered_financials(M.grouped_financials(financials.join(ids, "measure_id", "left_semi"))),
     }
 
 

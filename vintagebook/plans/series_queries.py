@@ -9,7 +9,7 @@ from vintagebook.operators import measures as M
 from vintagebook.operators import series as S
 from vintagebook.plans import profiles as P
 from vintagebook.plans import trends as T
-from vintagebook.plans.bindings import FISCAL_YEARS, Bound
+from vintagebook.plans.bindings import Bound
 from vintagebook.plans.registry import query
 
 PROGRAM = ["program_name"]
@@ -146,7 +146,7 @@ def trend_by_portfolio(b: Bound) -> DataFrame:
 @query("Q14_top_portfolios_pivot")
 def top_portfolios(b: Bound) -> DataFrame:
     profile = T.grouped_profile(T.realised(b.program_expenses), "portfolio", top=3)
-    return S.pivot_years(profile, ["label_group"], FISCAL_YEARS)
+    return S.figures_by_year(profile, ["label_group"]).withColumn("figures", S.figures_text(F.col("figures")))
 
 
 @query("A18_distinct_counts")
@@ -196,4 +196,4 @@ def program_drill_down(b: Bound) -> DataFrame:
 def program_comparison(b: Bound) -> DataFrame:
     from vintagebook.plans.comparison import program_comparison as compare
 
-    return compare(b.program_expenses, b.latest, FISCAL_YEARS)
+    return compare(b.program_expenses, b.latest).withColumn("figures", S.figures_text(F.col("figures")))
