@@ -4,7 +4,7 @@ import numpy as np
 from tests.llm.conftest import documents
 
 from vintagebook.llm.language import DIMENSIONS, gram_vectors, grams_of, language_report, products, prototypes
-from vintagebook.llm.toxicity import fit, terms_of, toxicity_report
+from vintagebook.llm.toxicity import Machine, fit, terms_of, toxicity_report
 
 STEMS = {"en": ["the", "ing", "whi", "tion", "and"], "de": ["der", "ung", "sch", "keit", "und"], "fr": ["eau", "que", "éle", "tion", "les"]}
 
@@ -54,6 +54,27 @@ def test_pairs_of_terms_are_learned():
     assert all(right)
 
 
+def test_a_pair_of_words_that_say_nothing_alone():
+    """Toxic if exactly one of two words occurs: each of them is in as many toxic texts as others."""
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in "bcdfghjklm" for b in "aeiouxyzw"]
+    made = lambda a, b: " ".join(["left"] * a + ["right"] * b + rng.choices(words, k=rng.choice([3, 12, 40])))
+    cases = [(rng.random() < 0.5, rng.random() < 0.5) for _ in range(5000)]
+    texts = [made(a, b) for a, b in cases]
+    machine = fit([terms_of(t) for t in texts[:4000]], np.array([float(a != b) for a, b in cases[:4000]]))
+    right = [(machine.score(t) >= 0.5) == (a != b) for t, (a, b) in zip(texts[4000:], cases[4000:])]
+    assert sum(right) >= 0.95 * len(right)
+
+
+def test_logit_is_the_sum_over_explicit_pairs():
+    rng = np.random.default_rng(3)
+    machine = Machine(np.array([2, 5, 9, 11, 40]), 0.3, rng.normal(size=5), rng.normal(size=(5, 4)))
+    for found in ([], [5], [2, 9, 40], [1, 2, 5, 7, 9, 11, 40, 41]):
+        known = [i for i, t in enumerate([2, 5, 9, 11, 40]) if t in found]
+        pairs = sum(machine.factors[i] @ machine.factors[j] for i in known for j in known if i < j)
+        assert np.isclose(machine.logit(machine.rows(np.array(found, np.int64))), 0.3 + machine.weights[known].sum() + pairs)
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     rows, labels = [], []

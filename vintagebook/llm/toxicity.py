@@ -8,7 +8,10 @@ The machine is fitted on at most about ``sample`` labelled rows, chosen by the h
 their ids, in one task; scoring runs over all documents. Its size is bounded by
 ``BUCKETS`` and ``FACTORS``.
 
-Defined cases: null and empty texts score what no terms score; with no labelled rows
+A term is learned if it stands out by itself or in a pair. Thousands of neutral terms of a
+long text would otherwise drown a few insults.
+
+Defined cases: null and empty texts score what no terms score; very long texts are read whole; with no labelled rows
 every score is 0 and so is every prediction; rows with a null label teach nothing;
 repeated rows stay.
 """
@@ -32,6 +35,8 @@ BUCKETS, FACTORS = 1 << 21, 4
 #: Bound on the labelled rows the machine is fitted on.
 SAMPLE = 16_000
 EPOCHS, STEP, DECAY, LEAST_TEXTS, TELLING = 6, 0.08, 1e-4, 4, 4.0
+#: So many of the most frequent terms are also looked at in pairs; a pair has to stand out further, as there are many.
+PAIR_TERMS, PAIR_TELLING = 2048, 13.0
 BEGINNINGS = (3, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 300_000
@@ -77,22 +82,50 @@ class Machine:
 
 
 def telling_terms(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Sorted terms that are in enough texts and whose share among toxic ones stands out by ``TELLING`` deviations.
-
-    Thousands of neutral terms in a long text would otherwise drown a few insults.
-    """
-    flat = np.concatenate([*texts, np.zeros(0, np.int64)])
-    terms, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    toxic = np.bincount(place, weights=np.repeat(labels, [t.size for t in texts]), minlength=terms.size)
+    """Sorted terms that are in enough texts and whose share among toxic ones stands out by ``TELLING`` deviations."""
+    counts, toxic = (np.zeros(BUCKETS, np.float64) for _ in range(2))
+    for text, label in zip(texts, labels):
+        counts[text] += 1
+        toxic[text] += label
+    terms = np.flatnonzero(counts >= LEAST_TEXTS)
+    counts, toxic = counts[terms], toxic[terms]
     some, none = max(labels.sum(), 1.0), max((1 - labels).sum(), 1.0)
-    share = counts / labels.size
+    share = counts / max(labels.size, 1)
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / some + 1 / none))
-    return terms[(counts >= LEAST_TEXTS) & (np.abs(toxic / some - (counts - toxic) / none) >= TELLING * spread)]
+    return terms[np.abs(toxic / some - (counts - toxic) / none) >= TELLING * spread]
+
+
+def telling_pairs(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Sorted terms of pairs that tell more together than both do alone.
+
+    Among texts with both terms the share of toxic ones stands out from what the two single
+    shares add up to. Two words neither of which says anything by itself can be such a pair.
+    """
+    counts = np.zeros(BUCKETS, np.int64)
+    for text in texts:
+        counts[text] += 1
+    often = np.sort(np.argsort(-counts, kind="stable")[:PAIR_TERMS])
+    often = often[counts[often] >= LEAST_TEXTS]
+    both, toxic = (np.zeros((often.size, often.size), np.float32) for _ in range(2))
+    for at in range(0, len(texts), 512):
+        held = np.zeros((len(texts[at : at + 512]), often.size), np.float32)
+        for row, text in zip(held, texts[at : at + 512]):
+            row[np.isin(often, text, assume_unique=True)] = 1
+        both += held.T @ held
+        held = held[labels[at : at + 512] > 0]
+        toxic += held.T @ held
+    base, n = labels.mean() if labels.size else 0.0, np.maximum(both, 1)
+    alone = np.diag(toxic) / np.diag(n)
+    expected = alone[:, None] + alone[None, :] - base
+    apart = np.abs(toxic / n - np.clip(expected, 0, 1)) * np.sqrt(n) >= PAIR_TELLING * np.sqrt(max(base * (1 - base), 1e-9))
+    # always met together: one term in two disguises
+    differ = (both < 0.9 * np.diag(both)[:, None]) & (both < 0.9 * np.diag(both)[None, :])
+    return often[(apart & differ & (both >= LEAST_TEXTS)).any(axis=1)]
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """A machine for term lists and 0/1 labels, by adaptive gradient steps, one text at a time in a seeded order."""
-    terms = telling_terms(texts, labels)
+    terms = np.union1d(telling_terms(texts, labels), telling_pairs(texts, labels))
     rng = np.random.default_rng(seed)
     share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     m = Machine(terms, float(np.log(share / (1 - share))), np.zeros(terms.size), rng.normal(0, 0.01, (terms.size, FACTORS)))
@@ -124,7 +157,7 @@ def _terms(texts: pd.Series) -> pd.Series:
 def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     texts, labels = [], []
     for batch in batches:
-        texts += [np.asarray(t, np.int64) for t in batch["terms"]]
+        texts += [np.asarray(t, np.int32) for t in batch["terms"]]
         labels += batch["toxic"].tolist()
     if labels:
         m = fit(texts, np.asarray(labels, np.float64))
