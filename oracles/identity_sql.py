@@ -99,7 +99,8 @@ SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY measure_name, edition OR
     "A16_programs_by_agency": f"""WITH {MIP}, g AS (SELECT edition, agency, direction, program_number, 'Program ' || program_number AS program_name,
   string_agg(DISTINCT CASE WHEN is_departmental THEN 'Departmental' ELSE 'Administered' END, '+' ORDER BY CASE WHEN is_departmental THEN 'Departmental' ELSE 'Administered' END) AS channels,
   count(DISTINCT measure_id) AS touched_by, min(portfolio) AS portfolio FROM mp GROUP BY edition, agency, direction, program_number)
-SELECT edition, agency, min(portfolio) AS portfolio, string_agg(program_name || ':' || direction || ':' || channels || ':' || CAST(touched_by AS VARCHAR), ',' ORDER BY program_name, program_number, direction) AS programs FROM g GROUP BY edition, agency""",
+SELECT edition, agency, min(portfolio) OVER (PARTITION BY edition, agency) AS portfolio, CAST(row_number() OVER (PARTITION BY edition, agency ORDER BY program_name, program_number, direction) AS INT) AS place,
+  program_name, program_number, direction, channels, touched_by FROM g""",
     "A17_grouped_financials": f"""WITH {MT}, {FIN} SELECT measure_id, impact_type, is_related, department_name, min(row_ordinal) AS first_row,
   string_agg(CAST(row_ordinal AS VARCHAR) || ':' || CAST(year_index AS VARCHAR) || ':' || CASE WHEN value_raw IN ('nfp', '..') THEN 'special' ELSE 'numeric' END || ':' || value_raw, ';' ORDER BY row_ordinal, year_index) AS "values" FROM fin GROUP BY ALL""",
     "A22_reconciliation": f"""WITH {PEF}, s AS (SELECT source_file, CAST(sum(amount_thousands) AS BIGINT) AS parsed_total, CAST(sum(amount_thousands) FILTER (estimate_type <> 'forward_estimate') AS BIGINT) AS printed_total FROM pe GROUP BY ALL)
@@ -122,6 +123,12 @@ UNION ALL SELECT * FROM itm WHERE (portfolio, program_name) NOT IN (SELECT (port
     "U5_assigned_ids": f"WITH {MR} SELECT DISTINCT measure_name, edition, {measure_id('measure_name', 'edition')} AS measure_id, 0 AS salt FROM mr",
     "U5_assigned_ids_seeded": f"""WITH {MR}, {MT}, k AS (SELECT measure_name, edition FROM mr UNION SELECT measure_name, edition FROM mt)
 SELECT measure_name, edition, {measure_id('measure_name', 'edition')} AS measure_id, 0 AS salt FROM k""",
-    "U5_assigned_ids_crowded": f"WITH {DOCS} SELECT count(*) AS n_keys, count(*) AS n_ids FROM (SELECT DISTINCT measure_name, edition FROM docs)",
+    "U5_assigned_ids_crowded": f"""WITH RECURSIVE {DOCS}, k AS MATERIALIZED (SELECT measure_name AS n, edition AS e, row_number() OVER (ORDER BY edition, measure_name) AS i,
+    (SELECT count(*) * 5 // 4 + 1 FROM (SELECT DISTINCT measure_name, edition FROM docs)) AS space FROM (SELECT DISTINCT measure_name, edition FROM docs)),
+c AS MATERIALIZED (SELECT *, list_transform(range(0, 300), lambda x: lpad(CAST(('0x' || substr(sha256(n || chr(31) || e || chr(31) || CAST(x AS VARCHAR)), 1, 12))::BIGINT % space AS VARCHAR), 8, '0')) AS ids FROM k),
+s AS (SELECT CAST(0 AS BIGINT) AS i, CAST('' AS VARCHAR) AS n, CAST('' AS VARCHAR) AS e, CAST('' AS VARCHAR) AS id, CAST([] AS VARCHAR[]) AS taken
+  UNION ALL SELECT c.i, c.n, c.e, f.id, list_append(s.taken, f.id) FROM s JOIN c ON c.i = s.i + 1, LATERAL (SELECT list_filter(c.ids, lambda y: NOT list_contains(s.taken, y))[1] AS id) f)
+SELECT n AS measure_name, e AS edition, id AS measure_id FROM s WHERE i > 0""",
     "P7_canonical_join": f"""WITH {MIP}{PE_ONLY}, {ALIASES}, {RESOLVED.replace(SPELL, SPELL_CANON)} SELECT replace(portfolio, '2017-18 PBS ', '') AS portfolio, program_name, count(*) AS n FROM resolved GROUP BY ALL""",
 }
+SQL["J5_refreshed_index"] = SQL["J5_program_reverse_index"]

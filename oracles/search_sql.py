@@ -35,6 +35,7 @@ SQL = {
   coalesce(regexp_replace(substr(text, 1, 180), '^{_BLANK}|{_BLANK}$', '', 'g'), '') AS snippet FROM ranked LEFT JOIN docs ON doc_id = id WHERE rank <= 30""",
     "J12_nearest_vectors": f"WITH {NEAR} SELECT query_id, id, round(d, 6) AS distance, rank FROM ranked WHERE rank <= 10",
     "V2_text_search": f"WITH {MT}, {MIP}, {CAT}, {HITS} " + ENRICH.format(extra="h.snippet", source="hits"),
+    "V2_indexed_search": f"WITH {MT}, {HITS} SELECT measure_id, measure_name, edition, portfolio, snippet FROM hits",
     "J9_enriched_hits": f"WITH {MT}, {MIP}, {CAT} " + ENRICH.format(extra="h.id", source="mt"),
     "V3_name_search": f"WITH {MT}, {MIP}, {CAT} SELECT measure_id, measure_name, edition, {LISTED} FROM cat WHERE contains(lower(measure_name), 'promo -') AND list_has_any(portfolios, ['EUROPE', 'AFRICA'])",
     "V4_portfolio_facets": f"WITH {MT}, {MIP}, {CAT} SELECT DISTINCT unnest(portfolios) AS portfolio FROM cat",

@@ -1,7 +1,8 @@
 """SQL for the write-up queries."""
 
 from oracles.identity_sql import MT
-from oracles.scalar_sql import _BLANK
+from oracles.scalar_sql import DOCS, _BLANK
+from oracles.shared import measure_id
 
 DL = f"""raw AS (SELECT CAST(doc_id AS VARCHAR) AS doc, doc_id, source, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 st AS (SELECT *, (pos - 1) % 13 AS step, CASE WHEN pos = 0 THEN -1 ELSE (pos - 1) // 13 END AS cyc, doc_id % 10 = 7 AND pos = 45 AS divider, doc_id % 10 = 3 AND pos = 25 AS caption FROM raw),
@@ -45,25 +46,37 @@ jo AS (SELECT *, CAST(sum(CASE WHEN starts AND open_before AND kind NOT IN ('dot
 pt AS (SELECT doc, measure_no, min(line_no) AS line_no, regexp_replace(string_agg(array_to_string(run, ' '), ' ' ORDER BY line_no), '^{_BLANK}|{_BLANK}$', '', 'g') AS phrase FROM jo GROUP BY doc, measure_no, phrase_no),
 px AS (SELECT * FROM pt WHERE regexp_matches(phrase, '[\\p{{L}}\\p{{N}}]'))"""
 
+TITLES = """h AS (SELECT doc, measure_no, string_agg(text, ' ' ORDER BY line_no) AS title, arg_min(section, line_no) AS document_section, arg_min(page, line_no) AS source_page, arg_min(portfolio_no, line_no) AS portfolio_no
+  FROM s2 WHERE style = 'heading' GROUP BY ALL), p AS (SELECT doc, portfolio_no, string_agg(replace(text, 'P ORTFOLIO', 'PORTFOLIO'), ' ' ORDER BY line_no) AS portfolio FROM s2 WHERE style = 'portfolio' GROUP BY ALL),
+ms AS (SELECT doc, measure_no, regexp_replace(replace(title, '–', '-'), ' \\(a\\)$', '') AS measure_name, coalesce(portfolio, '') AS portfolio, document_section, source_page FROM h LEFT JOIN p USING (doc, portfolio_no))"""
+FIGURES = """r AS (SELECT t.doc, t.measure_no, t.table_no * 4294967296 + 1 AS row_order, CASE WHEN h.cyc % 2 = 0 THEN 'Payment' ELSE 'Receipt' END AS impact_type, h.cyc % 2 <> 0 AS is_related,
+  'Department' || CASE WHEN EXISTS (SELECT 1 FROM tp x WHERE x.doc = t.doc AND x.table_no = t.table_no AND x.step = 6) THEN ' and Trade' ELSE '' END AS department_name,
+  [CAST(t.size % 6 AS VARCHAR), CAST(t.size AS VARCHAR) || '.5', '-', 'nfp'] AS vals FROM tp t JOIN tp h ON h.doc = t.doc AND h.line_no = t.table_no WHERE t.step = 5 AND t.style = 'table' AND t.table_no >= 0),
+fv AS (SELECT doc, measure_no, row_order, impact_type, is_related, department_name, CAST(i AS INT) AS year_index, CASE WHEN vals[i + 1] = 'nfp' THEN 'special' ELSE 'numeric' END AS value_kind,
+  CASE WHEN vals[i + 1] = '-' THEN 0.0 ELSE TRY_CAST(vals[i + 1] AS DOUBLE) END AS value_numeric_million, vals[i + 1] AS value_raw FROM r, (VALUES (0), (1), (2), (3)) v(i))"""
+FULL = f"""ft AS (SELECT doc, measure_no, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY ordinal), '^{_BLANK}|{_BLANK}$', '', 'g') AS full_text FROM cm WHERE marker = 'text' GROUP BY ALL)"""
+NAMED = f"""{DOCS}, nm AS (SELECT ms.*, docs.edition, docs.source || '.pdf' AS source_file, {measure_id('measure_name', 'docs.edition')} AS measure_id
+  FROM ms JOIN (SELECT doc_id, edition, source FROM docs) docs ON CAST(docs.doc_id AS VARCHAR) = ms.doc)""".replace("measure_name ||", "ms.measure_name ||").replace("sha256(measure_name", "sha256(ms.measure_name")
+
 SQL = {
     "T15_lines_of_words": f"""WITH {DL} SELECT doc, page, line_no, style, CASE WHEN indented THEN 120e0 ELSE 90e0 END AS indent,
   CASE WHEN step IN (8, 9, 12) OR step = 10 AND len(ws) > 1 THEN 1 ELSE 0 END AS n_runs, md5(text) AS digest FROM dl""",
     "T16_page_sections": f"WITH {DL} SELECT doc, page, section, is_read FROM pg",
-    "T17_measures": f"""WITH {DL}, h AS (SELECT doc, measure_no, string_agg(text, ' ' ORDER BY line_no) AS title, arg_min(section, line_no) AS document_section, arg_min(page, line_no) AS source_page, arg_min(portfolio_no, line_no) AS portfolio_no
-  FROM s2 WHERE style = 'heading' GROUP BY ALL), p AS (SELECT doc, portfolio_no, string_agg(replace(text, 'P ORTFOLIO', 'PORTFOLIO'), ' ' ORDER BY line_no) AS portfolio FROM s2 WHERE style = 'portfolio' GROUP BY ALL)
-SELECT doc, measure_no, regexp_replace(replace(title, '–', '-'), ' \\(a\\)$', '') AS measure_name, coalesce(portfolio, '') AS portfolio, document_section, source_page FROM h LEFT JOIN p USING (doc, portfolio_no)""",
-    "T18_financial_values": f"""WITH {DL}, {TABLES}, r AS (SELECT t.doc, t.measure_no, t.table_no * 4294967296 + 1 AS row_order, CASE WHEN h.cyc % 2 = 0 THEN 'Payment' ELSE 'Receipt' END AS impact_type, h.cyc % 2 <> 0 AS is_related,
-  'Department' || CASE WHEN EXISTS (SELECT 1 FROM tp x WHERE x.doc = t.doc AND x.table_no = t.table_no AND x.step = 6) THEN ' and Trade' ELSE '' END AS department_name,
-  [CAST(t.size % 6 AS VARCHAR), CAST(t.size AS VARCHAR) || '.5', '-', 'nfp'] AS vals FROM tp t JOIN tp h ON h.doc = t.doc AND h.line_no = t.table_no WHERE t.step = 5 AND t.style = 'table' AND t.table_no >= 0)
-SELECT doc, measure_no, row_order, impact_type, is_related, department_name, CAST(i AS INT) AS year_index, CASE WHEN vals[i + 1] = 'nfp' THEN 'special' ELSE 'numeric' END AS value_kind,
-  CASE WHEN vals[i + 1] = '-' THEN 0.0 ELSE TRY_CAST(vals[i + 1] AS DOUBLE) END AS value_numeric_million, vals[i + 1] AS value_raw FROM r, (VALUES (0), (1), (2), (3)) v(i)""",
+    "T17_measures": f"WITH {DL}, {TITLES} SELECT * FROM ms",
+    "T18_financial_values": f"WITH {DL}, {TABLES}, {FIGURES} SELECT * FROM fv",
     "T19_paragraphs": f"WITH {DL}, {TABLES}, {PROSE} SELECT doc, measure_no, bullet_no, line_no, md5(text) AS digest FROM cm WHERE marker = 'text'",
     "T20_components": f"""WITH {DL}, {TABLES}, {PROSE} SELECT doc, measure_no, ordinal, CASE marker WHEN 'text' THEN 0 WHEN 'dot' THEN 1 ELSE 2 END AS level, marker,
   CASE WHEN marker = 'dash' THEN last_value(CASE WHEN marker = 'dot' THEN ordinal END IGNORE NULLS) OVER (PARTITION BY doc, measure_no ORDER BY ordinal) END AS parent_ordinal, md5(text) AS digest FROM cm""",
     "T21_related_phrases": f"""WITH {DL}, {TABLES}, {PROSE}, {PHRASES}, f AS (SELECT doc, measure_no, phrase, min(line_no) AS line_no FROM px GROUP BY ALL)
 SELECT doc, measure_no, CAST(row_number() OVER (PARTITION BY doc, measure_no ORDER BY line_no) - 1 AS INT) AS ordinal, phrase FROM f""",
-    "T22_full_texts": f"""WITH {DL}, {TABLES}, {PROSE}, t AS (SELECT doc, measure_no, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS text FROM cm WHERE marker = 'text' GROUP BY ALL)
-SELECT doc, measure_no, md5(regexp_replace(text, '^{_BLANK}|{_BLANK}$', '', 'g')) AS digest FROM t""",
+    "T22_full_texts": f"WITH {DL}, {TABLES}, {PROSE}, {FULL} SELECT doc, measure_no, md5(full_text) AS digest FROM ft",
+    "S6_built_measure_text": f"""WITH {DL}, {TABLES}, {PROSE}, {FULL}, {TITLES}, {NAMED} SELECT measure_id, measure_name, edition, portfolio, document_section, source_page,
+  md5(coalesce(full_text, '')) AS full_measure_text, source_file FROM nm LEFT JOIN ft USING (doc, measure_no)""",
+    "S6_built_children": f"""WITH {DL}, {TABLES}, {PROSE}, {FIGURES}, {PHRASES}, {TITLES}, {NAMED}, f AS (SELECT doc, measure_no, phrase, min(line_no) AS line_no FROM px GROUP BY ALL)
+SELECT measure_id, 'figure' AS child, CAST(dense_rank() OVER (PARTITION BY measure_id ORDER BY row_order) - 1 AS INT) AS ordinal, year_index AS place, concat_ws('|', impact_type, CAST(is_related AS VARCHAR), department_name) AS label, value_raw AS content
+  FROM fv JOIN nm USING (doc, measure_no)
+UNION ALL SELECT measure_id, 'component', ordinal, CASE marker WHEN 'text' THEN 0 WHEN 'dot' THEN 1 ELSE 2 END, marker, md5(text) FROM cm JOIN nm USING (doc, measure_no)
+UNION ALL SELECT measure_id, 'phrase', CAST(row_number() OVER (PARTITION BY doc, measure_no ORDER BY line_no) - 1 AS INT), 0, NULL, phrase FROM f JOIN nm USING (doc, measure_no)""",
     "W3_running_state": """SELECT user_id, event_id, event_type, round(value, 4) AS value, last_value(CASE WHEN event_type = 'error' THEN round(value, 4) END IGNORE NULLS) OVER w AS last_error,
   lag(event_type) OVER w AS previous_type, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS purchases FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
     "W11_bullet_blocks": f"""WITH {MT}, r AS (SELECT *, (SELECT count(*) FROM comp c WHERE c.measure_id = comp.measure_id AND c.marker = 'dash' AND c.parent_ordinal = comp.ordinal) AS n FROM comp WHERE marker <> 'dash'),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from vintagebook.functions.names import canonical_portfolio
 from vintagebook.operators.identity import MEASURE_KEY
+from vintagebook.operators.lookups import salted_lookup
+from vintagebook.operators.ordered import ranked
 
 LINE_KEY = ["edition", "measure_name", "portfolio", "agency", "direction", "source_file"]
 
@@ -128,11 +130,13 @@ def program_touches(programs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def programs_by_agency(merged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Merged program rows nested under their agency, ordered by name."""
-    entry = F.struct("program_name", "program_number", "direction", "channels", "touched_by")
-    return merged.groupBy(*keys, "agency").agg(
-        F.min("portfolio").alias("portfolio"), F.array_sort(F.collect_list(entry)).alias("programs")
-    )
+    """Merged program rows with their place in their agency's list, ordered by name, and the agency's portfolio.
+
+    A row per program, so that an agency of any size is spread over tasks.
+    """
+    owner = merged.groupBy(*keys, "agency").agg(F.min("portfolio").alias("__portfolio"))
+    placed = ranked(merged, [*keys, "agency"], ["program_name", "program_number", "direction"], "place")
+    return salted_lookup(placed, owner, [*keys, "agency"], how="inner").withColumn("portfolio", F.col("__portfolio")).drop("__portfolio")
 
 
 def grouped_financials(financials: DataFrame) -> DataFrame:

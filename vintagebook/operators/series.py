@@ -110,27 +110,23 @@ def line_segments(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     return series.withColumn("solid", projected.over(upto) == 0).withColumn("dashed", projected.over(after) == 1)
 
 
-def year_window(points: DataFrame, keys: Sequence[str], years: DataFrame, minimum: int = V.MIN_TABLE_YEARS) -> DataFrame:
+def year_window(points: DataFrame, keys: Sequence[str], by: Sequence[str], minimum: int = V.MIN_TABLE_YEARS) -> DataFrame:
     """The years a table shows: first to last non-zero year, padded to ``minimum`` available years.
 
-    ``years`` has the available fiscal years per entity. All inputs are one row per
-    entity and year, already aggregated.
+    The years available to an entity are those of all points that share its ``by`` columns:
+    one list per ``by``, looked up with salt by one row per entity. The years shown are a
+    slice of that list, so entities meet no years but their own.
     """
     nonzero = F.when(F.col("amount_thousands") != 0, F.col("fiscal_year"))
     span = points.groupBy(*keys).agg(
         F.coalesce(F.min(nonzero), F.min("fiscal_year")).alias("first_year"),
         F.coalesce(F.max(nonzero), F.max("fiscal_year")).alias("last_year"),
     )
-    order = Window.partitionBy(*keys).orderBy("fiscal_year")
-    ranked = years.join(span, list(keys)).withColumn("pos", F.row_number().over(order))
-    whole = Window.partitionBy(*keys)
-    marked = ranked.withColumn(
-        "first_pos", F.max(F.when(F.col("fiscal_year") == F.col("first_year"), F.col("pos"))).over(whole)
-    )
-    inside = (F.col("pos") >= F.col("first_pos")) & (
-        (F.col("fiscal_year") <= F.col("last_year")) | (F.col("pos") < F.col("first_pos") + minimum)
-    )
-    return marked.where(inside).select(*keys, "fiscal_year")
+    available = points.groupBy(*by).agg(F.array_sort(F.collect_set("fiscal_year")).alias("years"))
+    first = F.array_position("years", F.col("first_year"))
+    last = F.greatest(F.array_position("years", F.col("last_year")), first + minimum - 1)
+    shown = F.slice("years", first.cast("int"), (last - first + 1).cast("int"))
+    return salted_lookup(span, available, by, how="inner", spread=keys).select(*keys, F.explode(shown).alias("fiscal_year"))
 
 
 def closest_publication(facts: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

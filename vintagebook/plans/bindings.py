@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintagebook.functions.years import budget_year_of, fiscal_year_label
+from vintagebook.operators.grams import GramIndex, gram_counts, postings, sharded
 from vintagebook.operators.identity import MEASURE_KEY, assign_measure_ids
 from vintagebook.operators.lookups import distinct_union
 from vintagebook.operators.measures import combine_impacts, first_of_duplicates, programs_touched
@@ -68,13 +69,13 @@ class Bound:
         found = files.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(mark)).alias("x"), F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("y")).first()
         return f"{found['n']} {found['x']} {found['y']}"
 
-    def built(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def built(self, name: str, make: Callable[[], DataFrame], partition: str = PARTITION) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.directory, self.state, name)
         if key not in _BUILT:
             rows = make()
             folder = stored_folder(self.spark)
-            if PARTITION in rows.columns:
-                write_table(rows, folder)
+            if partition in rows.columns:
+                write_table(rows, folder, partition)
             else:
                 rows.write.parquet(folder)
             _BUILT[key] = folder, rows.columns
@@ -250,6 +251,15 @@ class Bound:
             F.array_join(prose, "\n\n").alias("full_measure_text"), "source_file", F.col("doc_id").alias("id"),
         )
 
+    @cached_property
+    def gram_index(self) -> GramIndex:
+        """Postings of the write-ups' trigrams, and their texts by shard."""
+        posted = self.built("gram_postings", lambda: postings(self.measure_text, self.components), "bucket")
+        return GramIndex(
+            posted, self.built("gram_counts", lambda: gram_counts(posted)),
+            self.built("sharded_texts", lambda: sharded(self.measure_text), "shard"), self.built("sharded_components", lambda: sharded(self.components), "shard"),
+        )
+
     @cached_property
     def components(self) -> DataFrame:
         """Every non-blank line of a write-up: prose, dot and dash by turns."""

@@ -254,7 +254,7 @@ def titles(b: Bound) -> DataFrame:
     turn = F.col("event_id") % 4
     label = F.when(turn == 0, F.concat(F.lit("– "), F.col("event_type"))).when(turn == 1, F.concat(F.col("event_type"), F.lit(": - first"))).when(turn == 2, F.lit("- second")).otherwise(F.col("event_type"))
     starts = F.col("event_type") != "error"
-    titled = measure_tables.resolved_titles(rows.withColumns({"label": label, "starts": starts}), ["user_id"], "event_id", "label", "starts")
+    titled = measure_tables.resolved_titles(rows.withColumns({"label": label, "starts": starts}), ["user_id"], "event_id", "label", "starts", spread=True)
     return titled.select("user_id", "event_id", "label", "title")
 
 

@@ -9,6 +9,7 @@ from vintagebook.operators import measures as M
 from vintagebook.operators import series as S
 from vintagebook.plans import profiles as P
 from vintagebook.plans import trends as T
+from vintagebook.operators.ordered import ranked
 from vintagebook.plans.bindings import Bound
 from vintagebook.plans.registry import query
 
@@ -76,10 +77,7 @@ def year_window(b: Bound) -> DataFrame:
     points = sums.groupBy("measure_name", "edition", "agency", "fiscal_year").agg(
         F.sum(F.abs("amount_thousands")).alias("amount_thousands")
     )
-    years = points.select("edition", "fiscal_year").distinct().join(
-        points.select("measure_name", "edition", "agency").distinct(), "edition"
-    )
-    return S.year_window(points, ["measure_name", "edition", "agency"], years)
+    return S.year_window(points, ["measure_name", "edition", "agency"], ["edition"])
 
 
 @query("W6_latest_meta")
@@ -96,14 +94,12 @@ def vintage_shade(b: Bound) -> DataFrame:
 @query("W8_orderings")
 def orderings(b: Bound) -> DataFrame:
     """The rank of each program line in hierarchy order and by absolute total."""
-    from pyspark.sql import Window
-
     totals = b.program_expenses.groupBy("portfolio", "agency", "outcome_number", "program_number").agg(
         F.sum("amount_thousands").alias("total")
     )
-    by_size = Window.partitionBy("portfolio").orderBy(F.desc(F.abs("total")), "agency", "outcome_number", "program_number")
-    by_name = Window.partitionBy("portfolio").orderBy("agency", "outcome_number", "program_number")
-    return totals.select("*", F.row_number().over(by_size).alias("size_rank"), F.row_number().over(by_name).alias("name_rank"))
+    by_name = ["agency", "outcome_number", "program_number"]
+    sized = ranked(totals, ["portfolio"], [F.desc(F.abs("total")), *by_name], "size_rank")
+    return ranked(sized, ["portfolio"], by_name, "name_rank")
 
 
 @query("W9_top_programs")

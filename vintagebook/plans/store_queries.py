@@ -16,7 +16,8 @@ from vintagebook.plans.registry import query
 from vintagebook.sources import cells as C
 from vintagebook.sources import discovery as D
 from vintagebook.sources import store as S
-from vintagebook.session import ensure_checkpoint_dir
+from vintagebook.sources import versions as V
+from vintagebook.session import ensure_checkpoint_dir, stored
 
 REBUILT_EDITIONS = ["2016-17 MYEFO", "2018-19 Budget"]
 
@@ -35,7 +36,12 @@ def _paths(b: Bound) -> DataFrame:
 
 @query("S1_discovered_workbooks")
 def discovered(b: Bound) -> DataFrame:
-    return D.with_context(_paths(b)).select("path", "edition", "portfolio", "agency", "budget_year")
+    """Files on disk, other files and temporary ones among them, found by their names."""
+    root = _folder(b)
+    workbooks = _paths(b).withColumn("content", F.col("path").cast("binary"))
+    D.write_files(workbooks.unionByName(workbooks.withColumn("path", F.concat("path", F.lit(".txt")))), root)
+    found = D.below(D.listed_workbooks(b.spark, root), root)
+    return D.with_context(found).select("path", "edition", "portfolio", "agency", "budget_year")
 
 
 @query("S3_borrowed_portfolios")
@@ -93,12 +99,12 @@ def rebuilt(b: Bound) -> DataFrame:
 
 @query("S7_rebuilt_table")
 def rebuilt_table(b: Bound) -> DataFrame:
-    """The same on disk: only the affected partitions are written."""
+    """The same on disk: only the affected editions are written, into a generation of their own."""
     current, fresh, files = _rebuild_input(b)
     path = _folder(b)
-    S.write_table(current, path)
-    S.rebuild_table(b.spark, path, fresh, REBUILT_EDITIONS, files)
-    return b.spark.read.parquet(path).groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_thousands").alias("total"))
+    V.create_table(current, path)
+    V.rebuild(b.spark, path, fresh, REBUILT_EDITIONS, files)
+    return V.read_table(b.spark, path).groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_thousands").alias("total"))
 
 
 def _collections(b: Bound) -> tuple[DataFrame, DataFrame]:
@@ -143,13 +149,23 @@ def without_records(b: Bound) -> DataFrame:
 
 @query("S11_isolated_errors")
 def errors(b: Bound) -> DataFrame:
-    """Documents read as files of lines: those of a single line are damaged and become error rows, the others cells."""
+    """Documents written as files and decoded from disk: a file on which the decoder fails becomes an error row, the others cells."""
+    root = _folder(b)
     path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".xlsx"))
-    files = b.table("documents").select(path.alias("source_file"), F.split("text", "\n").alias("lines"))
-    cells = files.where(F.size("lines") > 1).select("source_file", F.posexplode("lines").alias("row_idx", "value"))
+    D.write_files(b.table("documents").select(path.alias("path"), F.col("text").cast("binary").alias("content")), root)
+
+    def line_cells(content: bytes) -> Iterator[C.Cell]:
+        """A caller's decoder: one cell per line; a file of a single line is damaged."""
+        lines = content.decode("utf-8").split("\n")
+        if len(lines) < 2:
+            raise ValueError("a single line")
+        for i, line in enumerate(lines):
+            yield "Sheet", 0, i, 0, line, None
+
+    cells, failed = C.split_decoded(stored(C.decoded_workbooks(b.spark, root, line_cells)))
     read = cells.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_cells")).withColumn("error", F.lit(None).cast("string"))
-    failed = files.where(F.size("lines") < 2).select("source_file", F.lit(0).cast("long").alias("n_cells"), F.lit("ValueError('a single line')").alias("error"))
-    return read.unionByName(failed)
+    every = read.unionByName(failed.select("source_file", F.lit(0).cast("long").alias("n_cells"), "error"))
+    return D.below(every.withColumnRenamed("source_file", "path"), root).withColumnRenamed("path", "source_file")
 
 
 @query("S12_append_and_count")

@@ -11,15 +11,15 @@ from vintagebook.operators import program_tables as PT
 from vintagebook.plans.bindings import Bound
 from vintagebook.plans.registry import query
 from vintagebook.plans import sheets as P
-from vintagebook.session import cut_lineage, stored
+from vintagebook.session import cut_lineage
 from vintagebook.sources.builds import build_agency_aliases, build_program_expenses
 
 SHEET = PT.SHEET
 
 
 def program_cells(b: Bound) -> DataFrame:
-    """The grid as a table on disk, which is what reading starts from."""
-    return stored(P.program_cells(b))
+    """The grid as a table on disk, which is what reading starts from; printed once."""
+    return b.built("program_cells", lambda: P.program_cells(b))
 
 
 def events(b: Bound) -> DataFrame:
@@ -29,7 +29,7 @@ def events(b: Bound) -> DataFrame:
 
 
 def measure_cells(b: Bound) -> DataFrame:
-    return stored(P.measure_cells(b))
+    return b.built("measure_cells", lambda: P.measure_cells(b))
 
 
 def column_text(column: str) -> Column:
@@ -96,7 +96,7 @@ def records(b: Bound) -> DataFrame:
 
 @query("S13_built_agency_aliases")
 def built_aliases(b: Bound) -> DataFrame:
-    return build_agency_aliases(stored(P.resource_cells(b)))
+    return build_agency_aliases(b.built("resource_cells", lambda: P.resource_cells(b)))
 
 
 @query("S14_built_program_expenses")

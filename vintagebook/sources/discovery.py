@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintagebook.functions import fixed as V
 from vintagebook.functions.names import base_name, clean_agency, edition_from_path, portfolio_from_path
 from vintagebook.functions.years import budget_year_of
+from vintagebook.operators.lookups import salted_lookup
 
 WORKBOOK_GLOB = "*.{" + ",".join(V.WORKBOOK_EXTENSIONS) + "}"
 
@@ -23,6 +28,41 @@ def listed_workbooks(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length")
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Write (path, content) rows as files below ``root``, a folder that all executors share; how many there are.
+
+    A file gets its name only when it is whole, and a task that runs again writes the same
+    files again. The folder may be in any store that Arrow's file systems open.
+    """
+    base = root if ":/" in root else Path(root).absolute().as_uri()
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import posixpath
+        import uuid
+
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                target = posixpath.join(top, path)
+                store.create_dir(posixpath.dirname(target), recursive=True)
+                partial = f"{target}.{uuid.uuid4().hex}"
+                with store.open_output_stream(partial) as out:
+                    out.write(content)
+                store.move(partial, target)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    done = files.select("path", "content").mapInPandas(written, "n long").agg(F.sum("n")).first()[0]
+    return int(done or 0)
+
+
+def below(files: DataFrame, root: str) -> DataFrame:
+    """Listed files with their paths as they are below ``root``."""
+    name = root.rstrip("/").split("/")[-1]
+    return files.withColumn("path", F.substring_index("path", f"/{name}/", -1))
+
+
 def without_temporary(files: DataFrame, path: str = "path") -> DataFrame:
     return files.where(~base_name(F.col(path)).rlike("^(~\\$|\\.)"))
 
@@ -44,5 +84,5 @@ def borrowed_portfolios(flat_files: DataFrame, other: DataFrame) -> DataFrame:
     other publication does not have gets "".
     """
     index = other.groupBy("budget_year", "agency").agg(F.max("portfolio").alias("__portfolio"))
-    joined = flat_files.join(index, ["budget_year", "agency"], "left")
+    joined = salted_lookup(flat_files, index, ["budget_year", "agency"])
     return joined.withColumn("portfolio", F.coalesce("__portfolio", F.lit(""))).drop("__portfolio")

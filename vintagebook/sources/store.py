@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vintagebook.operators.identity import MEASURE_KEY, assign_measure_ids
-from vintagebook.session import cut_lineage
 
 PARTITION = "edition"
 
@@ -127,43 +126,6 @@ def with_stable_ids(fresh: DataFrame, current: DataFrame) -> DataFrame:
     return fresh.drop("measure_id").join(assigned, MEASURE_KEY)
 
 
-def rebuild_table(
-    spark: SparkSession, path: str, fresh: DataFrame, editions: Sequence[str] = (), files: DataFrame | None = None
-) -> None:
-    """Rebuild some editions or files of a table partitioned by edition; other partitions are not touched.
-
-    The affected partitions are computed in full and checkpointed before anything is
-    overwritten; the write then replaces them in one commit, and partitions that have become
-    empty are dropped last. A failure before the commit leaves the table as it was. After
-    one between commit and drop, the emptied partitions still stand; the same call again
-    gives the same rows and drops them. Only the names of affected editions, a few dozen at
-    most, reach the driver.
-    """
-    current = spark.read.parquet(path)
-    listed = set(editions)
-    if files is not None:
-        names = files.select("source_file").distinct()
-        rows = current.select("edition", "source_file").unionByName(fresh.select("edition", "source_file"))
-        listed |= {r["edition"] for r in rows.join(names, "source_file", "left_semi").select("edition").distinct().collect()}
-    if not listed:
-        return
-    affected = current.where(F.col("edition").isin(sorted(listed)))
-    replaced = cut_lineage(rebuilt_rows(affected, fresh.select(*current.columns), editions, files))
-    left = {row["edition"] for row in replaced.select("edition").distinct().collect()}
-    replaced.hint("rebalance", PARTITION).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        PARTITION
-    ).parquet(path)
-    for edition in sorted(listed - left):
-        _drop_partition(spark, path, edition)
-
-
-def _drop_partition(spark: SparkSession, path: str, edition: str) -> None:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(PARTITION, edition)
-    target = jvm.org.apache.hadoop.fs.Path(path, folder)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 # --- audit --------------------------------------------------------------------------------------
 
 def ingest_audit(files: DataFrame, records: DataFrame, conflicts: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
