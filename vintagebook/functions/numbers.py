@@ -11,22 +11,22 @@ from vintagebook.functions.text import squash
 _PLAIN_NUMBER = "^-?\\d+(\\.\\d+)?$"
 
 
-def _parsed(value: Column) -> Column:
-    digits = F.replace(squash(value), F.lit(","), F.lit(""))
+def _parsed(value: Column, clean: bool = False) -> Column:
+    digits = F.replace(value if clean else squash(value), F.lit(","), F.lit(""))
     signed = F.translate(digits, "()", "-")
     return F.when(signed.rlike(_PLAIN_NUMBER), signed.try_cast("double"))
 
 
-def numeric_like(value: Column, num: Column | None = None) -> Column:
-    """The number a cell holds with its decimals, or null. ``num`` is set for typed number cells."""
+def numeric_like(value: Column, num: Column | None = None, clean: bool = False) -> Column:
+    """The number a cell holds with its decimals, or null. ``num`` is set for typed number cells, ``clean`` if the value is squashed."""
     if num is None:
-        return _parsed(value)
-    return F.when(num.isNotNull(), F.nullif(num, F.lit(float("nan")))).otherwise(_parsed(value))
+        return _parsed(value, clean)
+    return F.when(num.isNotNull(), F.nullif(num, F.lit(float("nan")))).otherwise(_parsed(value, clean))
 
 
-def to_amount(value: Column, num: Column | None = None) -> Column:
+def to_amount(value: Column, num: Column | None = None, clean: bool = False) -> Column:
     """The cell as a whole amount, halves to even; null where it is no number."""
-    return F.rint(numeric_like(value, num)).cast("long")
+    return F.rint(numeric_like(value, num, clean)).cast("long")
 
 
 def money_cell(raw: Column) -> Column:
@@ -40,11 +40,11 @@ def money_cell(raw: Column) -> Column:
     )
 
 
-def is_data_like(value: Column, num: Column | None = None) -> Column:
+def is_data_like(value: Column, num: Column | None = None, clean: bool = False) -> Column:
     """A number or a marker standing in for one; not a blank, not a bare footnote mark."""
-    clean = squash(value)
-    number = numeric_like(value, num).isNotNull()
-    return number | (value.isNotNull() & (clean != "") & ~clean.rlike(V.FOOTNOTE_MARKER))
+    text = value if clean else squash(value)
+    number = numeric_like(value, num, clean).isNotNull()
+    return number | (value.isNotNull() & (text != "") & ~text.rlike(V.FOOTNOTE_MARKER))
 
 
 def canonical_direction(word: Column) -> Column:

@@ -9,11 +9,11 @@ from vintagebook.functions import fixed as V
 from vintagebook.functions.text import squash
 
 
-def fiscal_year_in(text: Column) -> Column:
-    """The first year span in a header cell, or null."""
-    clean = squash(text)
-    first = F.regexp_extract(clean, V.YEAR_SPAN, 1)
-    return F.when(first != "", F.concat_ws("-", first, F.regexp_extract(clean, V.YEAR_SPAN, 2)))
+def fiscal_year_in(text: Column, clean: bool = False) -> Column:
+    """The first year span in a header cell, or null; ``clean`` if the text is squashed."""
+    text = text if clean else squash(text)
+    first = F.regexp_extract(text, V.YEAR_SPAN, 1)
+    return F.when(first != "", F.concat_ws("-", first, F.regexp_extract(text, V.YEAR_SPAN, 2)))
 
 
 def fiscal_year_label(start: Column) -> Column:

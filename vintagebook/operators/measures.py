@@ -143,7 +143,7 @@ def grouped_financials(financials: DataFrame) -> DataFrame:
     """Year values nested per (measure, type, related, department), in row and year order."""
     value = F.struct("row_ordinal", "year_index", "value_kind", "value_numeric_million", "value_raw")
     grouped = financials.groupBy("measure_id", "impact_type", "is_related", "department_name").agg(
-        F.min("row_ordinal").alias("first_row"), F.array_sort(F.collect_list(value)).alias("values")
+        F.min("row_ordinal").alias("first_row"), F.sort_array(F.collect_list(value)).alias("values")
     )
     return grouped
 

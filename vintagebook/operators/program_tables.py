@@ -15,6 +15,7 @@ from vintagebook.functions import fixed as V
 from vintagebook.functions.numbers import to_amount
 from vintagebook.functions.text import clean_program_name, squash
 from vintagebook.functions.years import fiscal_year_in, fiscal_year_label, start_year
+from vintagebook.operators.lookups import salted_lookup
 from vintagebook.session import cut_lineage
 
 SHEET = ["source_file", "sheet_name"]
@@ -64,8 +65,7 @@ def header_windows(cells: DataFrame) -> DataFrame:
     "actual" are joined back and spread over windows, so data rows are neither sorted nor
     multiplied. Returns one row per sheet: start, row of the actual heading, and its columns.
     """
-    text = squash(F.col("value"))
-    low = F.lower(F.coalesce(F.col("value"), F.lit("")))
+    text, low = squash(F.col("value")), F.lower("value")
     names_program = text.rlike(V.PROGRAM_HEADING) | text.rlike(V.PROGRAM_TOTAL) | text.rlike(V.PROGRAM_TOTAL_UNNUMBERED)
     barrier = F.col("num").isNotNull() | (low.contains("program") & names_program)
     by_row = Window.partitionBy(*SHEET).orderBy("row_idx")
@@ -88,16 +88,18 @@ def header_windows(cells: DataFrame) -> DataFrame:
     spread = nearby.withColumn("start", F.explode(starts)).where(
         (F.col("start") == F.col("row_idx")) | F.col("barrier_row").isNull() | (F.col("barrier_row") <= F.col("start"))
     )
-    pieces = F.array_sort(F.collect_list(F.struct("row_idx", "value")))
+    pieces = F.sort_array(F.collect_list(F.struct("row_idx", "value")))
     merged = spread.groupBy(*SHEET, "sheet_idx", "start", "col_idx").agg(
-        header_cell(F.array_join(F.transform(pieces, lambda p: p["value"]), " ")).alias("h"),
-        F.max("heading_row").alias("heading_row"),
+        F.array_join(F.transform(pieces, lambda p: p["value"]), " ").alias("text"), F.max("heading_row").alias("heading_row"),
     )
+    # headers say the same on most sheets: each wording is read once
+    wordings = merged.select("text").distinct().withColumn("h", header_cell(F.col("text"))).where("h is not null")
+    merged = salted_lookup(merged, wordings, ["text"], spread=[*SHEET, "start", "col_idx"])
     is_actual = F.col("h.estimate_type") == V.ESTIMATE_TYPES[0]
     column = F.when(F.col("h").isNotNull(), F.struct("col_idx", "h.fiscal_year", "h.estimate_type"))
     windows = merged.groupBy(*SHEET, "sheet_idx", "start").agg(
         F.sum(is_actual.cast("int")).alias("n_actual"),
-        F.array_sort(F.collect_list(column)).alias("columns"),
+        F.sort_array(F.collect_list(column)).alias("columns"),
         F.max("heading_row").alias("heading_row"),
     ).where(F.col("n_actual") == 1)
     first = windows.groupBy(*SHEET, "sheet_idx").agg(
@@ -122,7 +124,7 @@ def borrowed_columns(sheets: DataFrame, columns: DataFrame) -> DataFrame:
     ``sheets`` and ``columns`` have one row per sheet and per header column.
     """
     entry = F.struct("col_idx", "fiscal_year", "estimate_type")
-    own = columns.groupBy(*SHEET, "sheet_idx", "header_row").agg(F.array_sort(F.collect_list(entry)).alias("own"))
+    own = columns.groupBy(*SHEET, "sheet_idx", "header_row").agg(F.sort_array(F.collect_list(entry)).alias("own"))
     first = own.groupBy("source_file").agg(F.min_by("own", "sheet_idx").alias("borrowed"))
     both = sheets.join(own.drop("sheet_idx"), SHEET, "left").join(first, "source_file", "left")
     return both.select(
@@ -131,14 +133,15 @@ def borrowed_columns(sheets: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def speaking_cells(cells: DataFrame) -> DataFrame:
-    """Text cells that mention an outcome or a program: the only ones the patterns below can match."""
+    """Text cells that mention an outcome or a program, with their ``text``: the only ones the patterns below can match."""
     low = F.lower("value")
-    return cells.where(F.col("num").isNull() & (low.contains("outcome") | low.contains("program")))
+    spoken = cells.where(F.col("num").isNull() & (low.contains("outcome") | low.contains("program")))
+    return spoken.withColumn("text", squash(F.col("value")))
 
 
 def outcome_signals(cells: DataFrame) -> DataFrame:
     """Per sheet, the outcome number its title, its description and its first program state."""
-    text = squash(F.col("value"))
+    text = F.col("text")
     title = F.nullif(F.regexp_extract(text, V.OUTCOME_TITLE, 1), F.lit("")).cast("int")
     desc_no = F.nullif(F.regexp_extract(text, V.OUTCOME_LINE, 1), F.lit("")).cast("int")
     desc = F.struct(desc_no.alias("no"), F.trim(F.regexp_extract(text, V.OUTCOME_LINE, 2)).alias("text"))
@@ -175,7 +178,7 @@ def outcome_consensus(signals: DataFrame) -> DataFrame:
 
 def outcome_names(cells: DataFrame) -> DataFrame:
     """(workbook, outcome) -> the first short "Outcome N: name" line anywhere in the workbook."""
-    text = squash(F.col("value"))
+    text = F.col("text")
     number = F.nullif(F.regexp_extract(text, V.OUTCOME_LINE, 1), F.lit("")).cast("int")
     lines = speaking_cells(cells).where(F.length(text) <= V.OUTCOME_NAME_MAX).select(
         "source_file", "sheet_idx", "row_idx", "col_idx", number.alias("outcome_number"),
@@ -205,7 +208,7 @@ def row_events(cells: DataFrame, outcomes: DataFrame) -> DataFrame:
     total, unnumbered (a total that names no program, only meaningful once a
     program is open). After a summary row only summary and outcome_total count.
     """
-    text = squash(F.col("value"))
+    text = F.col("text")
     outcome_total = F.regexp_extract(text, V.OUTCOME_TOTAL, 1)
     heading = F.regexp_extract(text, V.PROGRAM_HEADING, 1)
     total = F.regexp_extract(text, V.PROGRAM_TOTAL, 1)

@@ -62,7 +62,7 @@ def vintage_series(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per entity and edition with its ordered points; a handful of years per row."""
     points = vintage_points(facts, keys)
     point = F.struct("fiscal_year", "estimate_type", "amount_thousands")
-    return points.groupBy(*keys, "edition", "budget_year").agg(F.array_sort(F.collect_list(point)).alias("series"))
+    return points.groupBy(*keys, "edition", "budget_year").agg(F.sort_array(F.collect_list(point)).alias("series"))
 
 
 def actual_series(facts: DataFrame, keys: Sequence[str]) -> DataFrame:

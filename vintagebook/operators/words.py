@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintagebook.functions import fixed as V
+from vintagebook.session import stored
 
 PAGE = ["doc", "page"]
 LINE = ["doc", "page", "line"]
@@ -42,13 +43,13 @@ def numbered_words(words: DataFrame) -> DataFrame:
     """
     inside = words.where(F.col("top").between(V.CONTENT_TOP, V.CONTENT_BOTTOM)).withColumn("band", F.rint("top"))
     reading = Window.partitionBy(*PAGE).orderBy("band", "x0", "top", "x1", "text")
-    placed = inside.withColumn("place", F.row_number().over(reading)).withColumn(
+    placed = stored(inside.withColumn("place", F.row_number().over(reading)).withColumn(
         "highest", F.max("top").over(reading.rowsBetween(Window.unboundedPreceding, -1))
-    ).drop("band")
+    ).drop("band"))
     lower = placed.where("highest is null or top > highest").select(*PAGE, "place", "top")
     within = f"count(*) over (partition by doc, page order by top range between unbounded preceding and {V.LINE_TOLERANCE}D following)"
     chain = lower.withColumn("beyond", F.expr(within).cast("int"))
-    pages = chain.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("place", "top", "beyond"))).alias("w"))
+    pages = chain.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("place", "top", "beyond"))).alias("w"))
     pages = pages.withColumn("n", F.size("w"))
 
     def beyond(word: Column) -> Column:
@@ -64,22 +65,28 @@ def numbered_words(words: DataFrame) -> DataFrame:
         pages = pages.withColumn("jump", F.transform("jump", follow))
     opens = pages.select(*PAGE, "w", F.explode(F.array_distinct("openers")).alias("i")).where(F.col("i") < F.size("w"))
     opens = opens.select(*PAGE, F.get("w", F.col("i"))["place"].alias("place"), F.lit(1).alias("opens"))
-    lines = F.sum("opens").over(Window.partitionBy(*PAGE).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    return placed.join(opens, [*PAGE, "place"], "left").withColumn("line", lines.cast("int")).drop("opens", "highest")
+    # openers go in among the words, before the word they stand for, so that one sort by page numbers the lines
+    marked = placed.drop("highest").withColumn("opens", F.lit(0)).unionByName(opens, allowMissingColumns=True)
+    upto = Window.partitionBy(*PAGE).orderBy("place", F.desc("opens")).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("line", F.sum("opens").over(upto).cast("int")).where("opens = 0").drop("opens")
 
 
-def _spaced(words: str) -> Column:
+def _spaced(words: Column) -> Column:
     """Words run together where the gap between two is too small for a blank."""
 
-    def piece(word: Column, i: Column) -> Column:
-        gap = word["x0"] - F.get(words, i - 1)["x1"]
-        return F.concat(F.when((i > 0) & (gap > V.WORD_GAP), F.lit(" ")).otherwise(F.lit("")), word["text"])
+    def joined(all_words: Column) -> Column:
+        def piece(word: Column, i: Column) -> Column:
+            gap = word["x0"] - F.get(all_words, i - 1)["x1"]
+            return F.concat(F.when((i > 0) & (gap > V.WORD_GAP), F.lit(" ")).otherwise(F.lit("")), word["text"])
 
-    return F.array_join(F.transform(words, piece), "")
+        return F.array_join(F.transform(all_words, piece), "")
+
+    # as the element of an array, the words are made once and not again for every word
+    return F.transform(F.array(words), joined)[0]
 
 
 def styled_words(words: DataFrame) -> DataFrame:
-    """Words with their number ``n`` in the line, the line's ``look`` (style by its first word) and whether they are ``shown``: a bullet's glyph is not."""
+    """Words with their number ``n`` in the line, the line's ``look`` (style by its first word), whether they are ``shown`` (a bullet's glyph is not), and the ``run`` of italics they are in."""
     across = Window.partitionBy(*LINE).orderBy("x0", "place")
     font, size, text = F.col("font"), F.col("size"), F.col("text")
     bold, close = _is_bold(font), lambda to: F.abs(size - to) < V.SIZE_TOLERANCE
@@ -93,25 +100,22 @@ def styled_words(words: DataFrame) -> DataFrame:
     )
     ordered = numbered_words(words).withColumn("n", F.row_number().over(across))
     looked = ordered.withColumn("look", F.first(look).over(across)).withColumn("large", F.first(bold & (size > V.DIVIDER_SIZE)).over(across))
-    return looked.withColumn("shown", ~((F.col("n") == 1) & F.col("look").isin("bullet", "dash")))
-
-
-def italic_runs(styled: DataFrame) -> DataFrame:
-    """(doc, page, line, italic_runs): the runs of italic words of every line that has some, as islands over the words' italic flag."""
-    across = Window.partitionBy(*LINE).orderBy("n")
-    flagged = styled.where("shown").select(*LINE, "n", "x0", "x1", "text", _is_italic(F.col("font")).alias("italic"))
-    flagged = flagged.withColumns({
-        "first": F.first("n").over(across), "last": F.max("n").over(Window.partitionBy(*LINE)),
-        "opens": F.col("italic") & ~F.coalesce(F.lag("italic").over(across), F.lit(False)),
-    })
-    numbered = flagged.withColumn("run", F.sum(F.col("opens").cast("int")).over(across.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.where("italic").groupBy(*LINE, "run").agg(
-        (F.min("n") == F.min("first")).alias("starts_first"), (F.max("n") == F.max("last")).alias("ends_last"),
-        F.array_sort(F.collect_list(F.struct("n", "x0", "x1", "text"))).alias("w"),
-    ).withColumn("phrase", _spaced("w"))
-    sorted_runs = F.array_sort(F.collect_list(F.struct("run", "starts_first", "ends_last", "phrase")))
-    without_number = F.transform(sorted_runs, lambda r: F.struct(r["starts_first"].alias("starts_first"), r["ends_last"].alias("ends_last"), r["phrase"].alias("phrase")))
-    return runs.groupBy(*LINE).agg(without_number.alias("italic_runs"))
+    shown = looked.withColumn("shown", ~((F.col("n") == 1) & F.col("look").isin("bullet", "dash")))
+    # runs of italic words are islands over the words' flag
+    slanted = shown.withColumn("italic", F.col("shown") & _is_italic(font))
+    begun = slanted.withColumn("begins", F.col("italic") & ~F.coalesce(F.lag("italic").over(across), F.lit(False)))
+    run = F.sum(F.col("begins").cast("int")).over(across.rowsBetween(Window.unboundedPreceding, 0))
+    return begun.withColumn("run", F.when(F.col("italic"), run)).drop("begins")
+
+
+def _italic_runs(words: str) -> Column:
+    """The runs of a line's shown words, in order."""
+    numbers = F.array_distinct(F.transform(F.filter(words, lambda w: w["run"].isNotNull()), lambda w: w["run"]))
+    return F.transform(numbers, lambda k: F.struct(
+        F.coalesce(F.get(words, F.lit(0))["run"] == k, F.lit(False)).alias("starts_first"),
+        F.coalesce(F.get(words, F.size(words) - 1)["run"] == k, F.lit(False)).alias("ends_last"),
+        _spaced(F.filter(words, lambda w: w["run"] == k)).alias("phrase"),
+    ))
 
 
 def lines_of_words(words: DataFrame) -> DataFrame:
@@ -122,14 +126,13 @@ def lines_of_words(words: DataFrame) -> DataFrame:
     large bold appendix title as divider, else body. A bullet's text leaves out its glyph.
     """
     styled = styled_words(words)
-    shown = F.when(F.col("shown"), F.struct("n", "x0", "x1", "text"))
+    shown = F.when(F.col("shown"), F.struct("n", "x0", "x1", "text", "run"))
     lines = styled.groupBy(*LINE).agg(
-        F.array_sort(F.collect_list(shown)).alias("w"), F.min("x0").alias("indent"), F.first("look").alias("look"), F.first("large").alias("large"),
-    ).withColumn("text", _spaced("w"))
+        F.sort_array(F.collect_list(shown)).alias("w"), F.min("x0").alias("indent"), F.first("look").alias("look"), F.first("large").alias("large"),
+    ).withColumn("text", _spaced(F.col("w")))
     divider = F.col("large") & F.col("text").rlike(V.NEXT_APPENDIX)
     style = F.when(divider, "divider").when(F.col("look") == "large", "body").otherwise(F.col("look"))
-    none = F.array().cast("array<struct<starts_first:boolean,ends_last:boolean,phrase:string>>")
-    return lines.join(italic_runs(styled), LINE, "left").select(
+    return lines.select(
         "doc", "page", (F.col("page") * PAGE_LINES + F.col("line")).alias("line_no"), "text", style.alias("style"), "indent",
-        F.coalesce("italic_runs", none).alias("italic_runs"),
+        _italic_runs("w").alias("italic_runs"),
     )
