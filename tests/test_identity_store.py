@@ -9,6 +9,7 @@ from vintagebook.operators import identity as I
 from vintagebook.operators import measures as M
 from vintagebook.operators import search as S
 from vintagebook.operators import series as T
+from vintagebook.plans import bindings
 from vintagebook.plans import profiles as P
 from vintagebook.sources import cells as C
 from vintagebook.sources import discovery as D
@@ -66,6 +67,15 @@ def test_ids_of_a_request_are_looked_up_once_over_all_sources(spark):
     assert "Join" not in plan[plan.index("Union"):]
 
 
+def test_write_ups_do_not_change_ids_of_facts(spark, monkeypatch):
+    monkeypatch.setattr(bindings, "_BUILT", {})
+    monkeypatch.setattr(bindings, "assign_measure_ids", lambda keys: I.assign_measure_ids(keys, space=8000))
+    bound = bindings.Bound(spark, "/root/testdata/sf0.001")
+    for rows, ids in ((bound.measure_records, bound.measure_ids), (bound.documents, bound.text_ids)):
+        keys = sorted({tuple(r) for r in rows.select("measure_name", "edition").collect()}, key=lambda k: (k[1], k[0]))
+        assert {(r["measure_name"], r["edition"]): r["measure_id"] for r in ids.collect()} == brute_force_ids(keys, 8000)
+
+
 def test_stitched_series_prefers_actuals_then_latest_budget(spark):
     rows = [
         ("p", "2022-23", "estimated_actual", "2023-24 Budget", "2023-24", 5, 1), ("p", "2022-23", "estimated_actual", "2023-24 MYEFO", "2023-24", 6, 2),
