@@ -1,9 +1,11 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from tests.llm.conftest import documents
 
-from vintagebook.llm.nearcopies import near_copies, without_near_copies
+from vintagebook.llm.nearcopies import _chosen_sets, near_copies, row_key, without_near_copies
 
 
 def units(text):
@@ -83,3 +85,10 @@ def test_stage_drops_copies_of_similarity_of_four_fifths(spark):
 
 def test_empty_table(spark):
     assert near_copies(documents(spark, [])).count() == 0 and without_near_copies(documents(spark, [])).count() == 0
+
+
+def test_pairs_linked_by_fingerprints_go_on_without_a_shared_band(spark):
+    docs = documents(spark, [(i, f"a b c d e {i}", None, None) for i in range(4)])
+    nodes = docs.select(F.col("doc_id").alias("s"), F.array("doc_id").alias("keys"), F.struct(row_key(F.col("doc_id"), F.col("text")).alias("k")).alias("low"))
+    linked = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert sorted(r["s"] for r in _chosen_sets(docs, nodes, linked).collect()) == [1, 2]

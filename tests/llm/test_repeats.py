@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import vintagebook.llm.repeats as R
 from tests.llm.conftest import documents
 
@@ -80,3 +81,22 @@ def test_kept_text_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert R.repeats_report(documents(spark, [])).count() == 0
+
+
+def test_large_batches_are_sorted_in_parts(monkeypatch):
+    sorted_bytes = []
+    monkeypatch.setattr(R, "SORT_BYTES", 4000)
+    ranked = R._ranked
+    monkeypatch.setattr(R, "_ranked", lambda rows: sorted_bytes.append(int(rows["bytes"].map(len).sum())) or ranked(rows))
+    texts = [bytes([i % 251]) * 400 for i in range(100)]
+    rows = pd.DataFrame({"key": [i // 2 for i in range(100)], "phrase": range(100), "copies": 1, "bytes": texts})
+    runs = {r.phrase: r.runs for f in R._sorted_runs(iter([rows])) for r in f.itertuples()}
+    assert sorted(runs) == list(range(100)) and sum(sorted_bytes) == 40_000 and max(sorted_bytes) <= 8000
+
+
+def test_window_ranks_order_windows():
+    data = np.frombuffer(b"abcabcabcxabcabcabcaab" * 3, np.uint8)
+    starts = np.arange(data.size - 20 + 1)
+    windows = [data[i : i + 20].tobytes() for i in starts]
+    places = {w: i for i, w in enumerate(sorted(set(windows)))}
+    assert R.window_ranks(data, starts, 20).tolist() == [places[w] for w in windows]

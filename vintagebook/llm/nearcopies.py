@@ -6,9 +6,10 @@ them once in 2.5 million. Nodes that go on are compared by prefixes: with shingl
 from rare to frequent, two sets that are near share one among the first fifth of each, and
 at places that leave room for the overlap they need. Few texts that are not near do.
 
-Candidates come from SimHash first (nodes of one group of fingerprints within its radius)
-and from the prefixes: every node is compared with one star of each of its prefix shingles,
-the one whose place there is first. Then members of a prefix shingle that are still in
+Candidates come from SimHash first (nodes of one group of fingerprints within its radius):
+they go on whether or not they share a band, and those found near are one component before
+prefixes are looked at. Then every node is compared with one star of each of its prefix
+shingles, the one whose place there is first, unless both are in one component already. Then members of a prefix shingle that are still in
 different components are compared with each other, all of them. Every link is an exact
 comparison of the two sets.
 
@@ -96,11 +97,12 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text, F.lit(""))).cast("binary"))
 
 
-def _chosen_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(s, size, hashes) of the nodes that share a bucket with another."""
+def _chosen_sets(docs: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(s, size, hashes) of the nodes that share a bucket with another, or are in one of the ``linked`` pairs."""
     spread = nodes.select("s", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    chosen = spread.join(shared, "key", "left_semi").select("s").distinct()
+    chosen = spread.join(shared, "key", "left_semi").select("s")
+    chosen = chosen.unionByName(linked.select(F.explode(F.array("a", "b")).alias("s"))).distinct()
     chosen = stored(chosen.join(nodes, "s").select("s", F.col("low.k").alias("k")))
     # only texts that a filter of the chosen keys lets through are moved
     digest = F.unhex(F.col("k")).alias(exactdedup._SHA)
@@ -159,21 +161,23 @@ def near_copies(docs: DataFrame) -> DataFrame:
     marked = stored(marked.select("doc_id", "k", "m.s", "m.fp", "m.keys"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("low")
     nodes = stored(marked.groupBy("s").agg(F.first("keys").alias("keys"), F.min("fp").alias("fp"), first))
-    sets = _chosen_sets(docs, nodes)
-    entries = stored(prefixes(sets))
-    stars = entries.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("pos", "s", "size")).alias("star")).where("n > 1").drop("n")
-    beside = entries.join(stars, "token").where("s <> star.s").where(_roomy(F.col("size"), F.col("pos"), F.col("star.size"), F.col("star.pos")))
-    tried = beside.select(*_pairs(F.col("s"), F.col("star.s"))).unionByName(_fingerprint_pairs(nodes))
-    tried = stored(tried.distinct())
-    edges = stored(_checked(tried, sets))
+    linked = stored(_fingerprint_pairs(nodes).distinct())
+    sets = _chosen_sets(docs, nodes, linked)
+    edges = stored(_checked(linked, sets))
+    entries = prefixes(sets).join(components(edges).withColumnRenamed("node", "s"), "s", "left")
+    entries = stored(entries.withColumn("root", F.coalesce("root", "s")))
+    stars = entries.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("pos", "s", "size", "root")).alias("star")).where("n > 1").drop("n")
+    beside = entries.join(stars, "token").where("root <> star.root").where(_roomy(F.col("size"), F.col("pos"), F.col("star.size"), F.col("star.pos")))
+    tried = stored(beside.select(*_pairs(F.col("s"), F.col("star.s"))).distinct())
+    edges = stored(edges.unionByName(_checked(tried, sets)))
 
     roots = stored(components(edges).withColumnRenamed("node", "s"))
-    placed = stored(entries.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")))
+    placed = stored(entries.drop("root").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")))
     apart = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     apart = placed.join(apart, "token", "left_semi")
     others = apart.selectExpr("token", "s AS other", "size AS other_size", "pos AS other_pos", "root AS other_root")
     rest = apart.join(others, "token").where("s < other AND root <> other_root").where(_roomy(F.col("size"), F.col("pos"), F.col("other_size"), F.col("other_pos")))
-    rest = rest.select(F.col("s").alias("a"), F.col("other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = rest.select(F.col("s").alias("a"), F.col("other").alias("b")).distinct().join(tried.unionByName(linked), ["a", "b"], "left_anti")
     more = _checked(rest, sets)
 
     known = roots.select(F.col("root").alias("a"), F.col("s").alias("b"))

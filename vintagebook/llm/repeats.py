@@ -128,18 +128,36 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names)
 
 
+def _dense(values: np.ndarray) -> np.ndarray:
+    """The place of every value among the different ones."""
+    order = np.argsort(values)
+    ranked = values[order]
+    steps = ranked[1:] != ranked[:-1]
+    del ranked
+    places = np.zeros(values.size, np.int32)
+    places[order[1:]] = np.cumsum(steps, dtype=np.int32)
+    return places
+
+
 def window_ranks(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Order of the ``length`` bytes from every start (equal ones alike), by doubling the length of what is ranked."""
     size = data.size - 7
     packed = np.zeros(size, np.uint64)
     for i in range(8):
-        packed = packed << np.uint64(8) | data[i : i + size].astype(np.uint64)
-    rank, known = np.unique(packed, return_inverse=True)[1].astype(np.int64), 8
+        packed <<= np.uint64(8)
+        packed |= data[i : i + size]
+    rank, known = _dense(packed), 8
+    del packed
+
+    def pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        both = left.astype(np.int64)
+        both *= rank.size + 1
+        both += right
+        return both
+
     while known * 2 < length:
-        pair = rank[: rank.size - known] * (rank.size + 1) + rank[known:]
-        rank, known = np.unique(pair, return_inverse=True)[1].astype(np.int64), known * 2
-    pair = rank[starts] * (rank.size + 1) + rank[starts + length - known]
-    return np.unique(pair, return_inverse=True)[1]
+        rank, known = _dense(pairs(rank[: rank.size - known], rank[known:])), known * 2
+    return _dense(pairs(rank[starts], rank[starts + length - known]))
 
 
 def _runs(flags: np.ndarray) -> list[dict]:
@@ -163,14 +181,15 @@ def _ranked(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sorted_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Repeated windows of dictionary phrases; rows of a key come together, many keys are sorted at a time."""
+    """Repeated windows of dictionary phrases; rows of a key come together, many keys are sorted at a time.
+
+    Batches are taken in parts, as sorting takes about thirty times the bytes that are sorted.
+    """
     held: list[pd.DataFrame] = []
     size = 0
-    for batch in batches:
-        if not len(batch):
-            continue
-        held.append(batch)
-        size += int(batch["bytes"].map(len).sum())
+    for part in (p for b in batches if len(b) for _, p in b.groupby(b["bytes"].map(len).cumsum() // SORT_BYTES)):
+        held.append(part)
+        size += int(part["bytes"].map(len).sum())
         if size < SORT_BYTES:
             continue
         rows = pd.concat(held, ignore_index=True)
