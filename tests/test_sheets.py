@@ -34,6 +34,15 @@ def test_sheets_with_one_header_share_its_block_and_are_read_from_one_row_each(s
     assert sorted((r["sheet_name"], r["amount_thousands"]) for r in found) == [("S", 1), ("S", 2), ("S", 3), ("T", 4), ("T", 5), ("T", 6)]
 
 
+def test_measure_rows_are_read_alike_from_cells_and_from_rows_with_their_cells(spark):
+    sheet = [["Table 1.2: Measures"], ["Program", "", "", "2023-24 $'000", "2024-25 $'000"], ["Payment measures"], ["Name"], ["Administered payments", 1.1, "", 5, "nfp"]]
+    cells = grid(spark, {"Table 1.2": sheet})
+    rows = MT.gathered_rows(cells)
+    assert rows.count() == 5
+    found = [sorted(map(str, MT.measure_records(table).collect())) for table in (cells, rows)]
+    assert len(found[0]) == 1 and found[0] == found[1]
+
+
 def test_header_on_three_rows_and_total_with_wrong_number(spark):
     sheet = [
         ["Budgeted expenses for Outcome 2"], ["Outcome 2: Better health"],
