@@ -365,3 +365,14 @@ def test_refreshed_index_equals_a_full_build(spark, tmp_path):
     assert rows(root) == rows(full) and len(rows(full)) == 4
     parts = versions._newest(root)["parts"]
     assert [e for e in parts if before.get(e) == parts[e]] == ["edition=2016-17 Budget"]
+
+
+def test_workbooks_are_listed_by_tasks_at_any_depth(spark, tmp_path):
+    from vintagebook.sources.discovery import listed_workbooks
+
+    for name in ("a b/c/x 1.xlsx", "a b/y.XLS", "a b/.hidden.xlsx", "z.xlsm", "a b/c/x.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"123")
+    found = listed_workbooks(spark, str(tmp_path))
+    assert found.inputFiles() and not any(f.endswith("xlsx") for f in found.inputFiles())
+    assert sorted((r["path"].split("/")[-1], r["length"]) for r in found.collect()) == [("x 1.xlsx", 3), ("z.xlsm", 3)]

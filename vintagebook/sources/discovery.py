@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +14,44 @@ from vintagebook.functions import fixed as V
 from vintagebook.functions.names import base_name, clean_agency, edition_from_path, portfolio_from_path
 from vintagebook.functions.years import budget_year_of
 from vintagebook.operators.lookups import salted_lookup
+from vintagebook.session import stored
 
 WORKBOOK_GLOB = "*.{" + ",".join(V.WORKBOOK_EXTENSIONS) + "}"
 
 
+def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The workbooks and folders directly in each folder; hidden names are passed over, as Spark's readers do."""
+    from pyarrow import fs
+
+    endings = tuple(f".{e}" for e in V.WORKBOOK_EXTENSIONS)
+    for batch in batches:
+        for folder in batch["path"]:
+            store, top = fs.FileSystem.from_uri(folder)
+            scheme = folder[: len(folder) - len(top)] if folder.endswith(top) else "file://"
+            rows = []
+            for info in store.get_file_info(fs.FileSelector(top)):
+                inner = info.type == fs.FileType.Directory
+                hidden = info.base_name.startswith(".") or (info.base_name.startswith("_") and "=" not in info.base_name)
+                if not hidden and (inner or info.base_name.endswith(endings)):
+                    rows.append((quote(info.path) if inner and scheme == "file://" else info.path, None if inner else info.size, inner))
+            yield pd.DataFrame([(scheme + path, size, inner) for path, size, inner in rows], columns=["path", "length", "is_folder"]).astype({"length": "Int64"})
+
+
 def listed_workbooks(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length) of every workbook below ``root``. File contents are not read: the column is pruned."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", WORKBOOK_GLOB)
-        .load(root)
-    )
-    return files.select("path", "length")
+    """(path, length) of every workbook below ``root``. File contents are not read.
+
+    Folders are listed by tasks, level by level; the driver only learns whether there is
+    another level, and never holds the files.
+    """
+    base = root if ":/" in root else Path(root).absolute().as_uri()
+    folders, found = spark.createDataFrame([(base,)], "path string"), None
+    while not folders.isEmpty():
+        dealt = folders.repartition(max(8, spark.sparkContext.defaultParallelism), "path")
+        level = stored(dealt.mapInPandas(_children, "path string, length long, is_folder boolean"))
+        files = level.where("not is_folder").select("path", "length")
+        found = files if found is None else found.unionByName(files)
+        folders = level.where("is_folder").select("path")
+    return found
 
 
 def write_files(files: DataFrame, root: str) -> int:
