@@ -71,3 +71,14 @@ def test_changed_files_are_read_again(spark, tmp_path):
     (tmp_path / "lineitem.parquet").unlink(missing_ok=True)
     items.withColumn("l_extendedprice", F.col("l_extendedprice") * 2).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert before > 0 and abs(count() / before - 2) < 0.01
+
+
+def test_facts_are_stored_once_and_narrow(spark):
+    """Expenses and measure lines are read from stored numbers, not stored again with the words that follow from them."""
+    bound = Bound(spark, DIRECTORY)
+    words = {"edition", "source_file", "sheet_name", "measure_name", "fiscal_year", "program_number"}
+    for rows in (bound.program_expenses, bound.measure_records):
+        folder, = {f.rsplit("/", 1)[0] for f in rows.inputFiles() if "stored-" in f}
+        stored = spark.read.parquet(folder)
+        assert not words & set(stored.columns)
+        assert rows.count() == stored.count() == bound.table("lineitem").count()
