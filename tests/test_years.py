@@ -82,3 +82,12 @@ def test_facts_are_stored_once_and_narrow(spark):
         stored = spark.read.parquet(folder)
         assert not words & set(stored.columns)
         assert rows.count() == stored.count() == bound.table("lineitem").count()
+
+
+def test_stale_keys_read_no_texts(spark):
+    """Keys of write-ups come from their ids; no table with texts is built for them."""
+    found = entry.queries()["U3_stale_keys"](spark, DIRECTORY)
+    bound = Bound(spark, DIRECTORY)
+    wanted = bound.measure_text.select("measure_name", "edition").subtract(bound.measure_impacts.select("measure_name", "edition"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+    assert all("lines" not in spark.read.parquet(f).columns for f in found.inputFiles())
