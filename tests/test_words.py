@@ -149,3 +149,12 @@ def test_runs_over_cuts(spark):
             want.append((k, i, v, counts.get((k, "h"), 0), counts.get((k, "p"), 0)))
         for made in (ordered_state(frame, ["k"], "i", runs=runs), ordered_state(frame, ["k"], "i", runs=runs, spread=True), ordered_state(with_ranges(frame, ["k"], "i"), ["k"], "i", runs=runs, spread=True).drop(RANGE)):
             assert sorted(map(tuple, made.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_words_move_once(spark):
+    """Lines are read where the words of their page are: one exchange, and no job before the rows are asked for."""
+    spec = [([("one two", SERIF)], 10.0, 86.0), ([("three", SLANT)], 10.0, 86.0)]
+    made = lines_of_words(spark.createDataFrame(printed(spec), WORDS))
+    assert [r["text"] for r in made.orderBy("line_no").collect()] == ["one two", "three"]
+    assert str(made._jdf.queryExecution().sparkPlan()).count("Exchange") <= 1
+    assert made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
