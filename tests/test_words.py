@@ -158,3 +158,10 @@ def test_words_move_once(spark):
     assert [r["text"] for r in made.orderBy("line_no").collect()] == ["one two", "three"]
     assert str(made._jdf.queryExecution().sparkPlan()).count("Exchange") <= 1
     assert made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
+def test_words_of_a_page_move_once_and_stay_with_their_line(spark):
+    words = spark.createDataFrame([("a", 1, "Budget", 90.0, 120.0, 200.0, "BookAntiqua", 10.02)], WORDS)
+    plan = lines_of_words(words)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and plan.count("Aggregate") == 1 and "Window" not in plan
+    assert [(r["text"], r["style"]) for r in lines_of_words(words).collect()] == [("Budget", "body")]
