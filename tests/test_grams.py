@@ -44,3 +44,12 @@ def test_a_rare_query_reads_few_folders(tables):
     files = read.inputFiles()
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert plan.count("PartitionFilters: [isnotnull(shard") + plan.count("PartitionFilters: [shard") >= 2 and files
+
+
+def test_trigrams_are_made_distinct_where_the_texts_of_a_measure_meet(spark):
+    texts = spark.createDataFrame([("m", "abca"), ("n", "ab"), (None, "xyz")], "measure_id string, full_measure_text string")
+    parts = spark.createDataFrame([("m", "BCAB"), ("n", None)], "measure_id string, text string")
+    made = postings(texts, parts)
+    assert sorted((r["measure_id"] or "", r["gram"]) for r in made.collect()) == [("", "xyz"), ("m", "abc"), ("m", "bca"), ("m", "cab")]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.index("Generate") < plan.index("Aggregate")
