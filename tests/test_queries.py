@@ -40,3 +40,14 @@ def test_query_equals_sql(spark, con, name):
     columns = [c[0] for c in result.description]
     assert sorted(found.columns) == sorted(columns)
     assert rows_of(found.columns, found.collect()) == rows_of(columns, result.fetchall())
+
+
+def test_measures_alone_store_no_facts(spark, tmp_path):
+    import shutil
+
+    from vintagebook.plans.bindings import Bound
+
+    shutil.copytree("/root/testdata/sf0.001", tmp_path / "t")
+    bound = Bound(spark, str(tmp_path / "t"))
+    made = {tuple(r) for r in bound.measure_records.select("edition", "measure_name", "fiscal_year", "amount_thousands").collect()}
+    assert made and not bound.is_built("facts")
