@@ -169,3 +169,19 @@ def test_other_tables_are_left_out(spark):
     assert measures(spark, [["Table 1.1: Resource statement"], *body]) == []
     assert measures(spark, body, name="2.1.2 Prog 1.2") == []
     assert measures(spark, [*body, ["(spare space"], ["Later"], ["Administered payments", 1.1, 9, 9]]) == measures(spark, body)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_measure_sheets_are_read_where_they_are_printed(spark):
+    from vintagebook.plans import sheets as P
+    from vintagebook.plans.bindings import Bound
+
+    printed = P.measure_cells(Bound(spark, "/root/testdata/sf0.001"))
+    near = MT.measure_records(printed, together=True)
+    assert exchanges(near) == exchanges(printed)
+    assert exchanges(MT.impact_tables(printed, together=True)[1]) == exchanges(printed)
+    apart = MT.measure_records(printed.localCheckpoint())
+    assert near.count() > 0 and sorted(map(str, near.collect())) == sorted(map(str, apart.collect()))
