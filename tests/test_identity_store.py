@@ -376,3 +376,19 @@ def test_workbooks_are_listed_by_tasks_at_any_depth(spark, tmp_path):
     found = listed_workbooks(spark, str(tmp_path))
     assert found.inputFiles() and not any(f.endswith("xlsx") for f in found.inputFiles())
     assert sorted((r["path"].split("/")[-1], r["length"]) for r in found.collect()) == [("x 1.xlsx", 3), ("z.xlsm", 3)]
+
+
+def test_workbooks_are_read_by_tasks_that_the_driver_has_no_list_of(spark, tmp_path):
+    for name in ("a b/x 1.xlsx", "a b/%20y.xlsx", "z.xlsm", "a b/~$x.xlsx", "gone.xlsx"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+
+    def decoder(content):
+        yield "S", 0, 0, 0, content.decode(), None
+
+    decoded = C.decoded_workbooks(spark, str(tmp_path), decoder)
+    (tmp_path / "gone.xlsx").unlink()
+    assert not any(f.endswith(("xlsx", "xlsm")) for f in decoded.inputFiles())
+    cells, errors = C.split_decoded(decoded)
+    assert sorted(r["value"] for r in cells.collect()) == ["a b/%20y.xlsx", "a b/x 1.xlsx", "z.xlsm"]
+    assert [r["source_file"].split("/")[-1] for r in errors.collect()] == ["gone.xlsx"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.parse import quote
 
@@ -16,25 +16,43 @@ from vintagebook.functions.years import budget_year_of
 from vintagebook.operators.lookups import salted_lookup
 from vintagebook.session import stored
 
-WORKBOOK_GLOB = "*.{" + ",".join(V.WORKBOOK_EXTENSIONS) + "}"
 
+def uri_of(root: str) -> str:
+    return root if ":/" in root else Path(root).absolute().as_uri()
 
-def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The workbooks and folders directly in each folder; hidden names are passed over, as Spark's readers do."""
+
+def scheme_of(root: str) -> str:
+    """What stands before the store's own path in the paths of files listed below ``root``."""
     from pyarrow import fs
 
+    base = uri_of(root)
+    _, top = fs.FileSystem.from_uri(base)
+    return base[: len(base) - len(top)] if base.endswith(top) else "file://"
+
+
+def _children() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What lists the workbooks and folders directly in each folder; hidden names are passed over, as Spark's readers do.
+
+    It is made anew for each call, so that it travels to the tasks itself and they need no package of this library.
+    """
     endings = tuple(f".{e}" for e in V.WORKBOOK_EXTENSIONS)
-    for batch in batches:
-        for folder in batch["path"]:
-            store, top = fs.FileSystem.from_uri(folder)
-            scheme = folder[: len(folder) - len(top)] if folder.endswith(top) else "file://"
-            rows = []
-            for info in store.get_file_info(fs.FileSelector(top)):
-                inner = info.type == fs.FileType.Directory
-                hidden = info.base_name.startswith(".") or (info.base_name.startswith("_") and "=" not in info.base_name)
-                if not hidden and (inner or info.base_name.endswith(endings)):
-                    rows.append((quote(info.path) if inner and scheme == "file://" else info.path, None if inner else info.size, inner))
-            yield pd.DataFrame([(scheme + path, size, inner) for path, size, inner in rows], columns=["path", "length", "is_folder"]).astype({"length": "Int64"})
+
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for folder in batch["path"]:
+                store, top = fs.FileSystem.from_uri(folder)
+                scheme = folder[: len(folder) - len(top)] if folder.endswith(top) else "file://"
+                rows = []
+                for info in store.get_file_info(fs.FileSelector(top)):
+                    inner = info.type == fs.FileType.Directory
+                    hidden = info.base_name.startswith(".") or (info.base_name.startswith("_") and "=" not in info.base_name)
+                    if not hidden and (inner or info.base_name.endswith(endings)):
+                        rows.append((quote(info.path) if inner and scheme == "file://" else info.path, None if inner else info.size, inner))
+                yield pd.DataFrame([(scheme + path, size, inner) for path, size, inner in rows], columns=["path", "length", "is_folder"]).astype({"length": "Int64"})
+
+    return children
 
 
 def listed_workbooks(spark: SparkSession, root: str) -> DataFrame:
@@ -43,11 +61,11 @@ def listed_workbooks(spark: SparkSession, root: str) -> DataFrame:
     Folders are listed by tasks, level by level; the driver only learns whether there is
     another level, and never holds the files.
     """
-    base = root if ":/" in root else Path(root).absolute().as_uri()
+    base = uri_of(root)
     folders, found = spark.createDataFrame([(base,)], "path string"), None
     while not folders.isEmpty():
         dealt = folders.repartition(max(8, spark.sparkContext.defaultParallelism), "path")
-        level = stored(dealt.mapInPandas(_children, "path string, length long, is_folder boolean"))
+        level = stored(dealt.mapInPandas(_children(), "path string, length long, is_folder boolean"))
         files = level.where("not is_folder").select("path", "length")
         found = files if found is None else found.unionByName(files)
         folders = level.where("is_folder").select("path")
@@ -60,7 +78,7 @@ def write_files(files: DataFrame, root: str) -> int:
     A file gets its name only when it is whole, and a task that runs again writes the same
     files again. The folder may be in any store that Arrow's file systems open.
     """
-    base = root if ":/" in root else Path(root).absolute().as_uri()
+    base = uri_of(root)
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import posixpath
